@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rans
+from . import linededup, packing, rans
 
-MODULES = (rans,)
+MODULES = (rans, packing, linededup)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
