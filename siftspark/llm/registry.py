@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import linededup, packing, rans
+from . import jaccard, linededup, packing, rans
 
-MODULES = (rans, packing, linededup)
+MODULES = (rans, packing, linededup, jaccard)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
