@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, linededup, packing, rans
+from . import decontam, jaccard, linededup, packing, pii, rans
 
-MODULES = (rans, packing, decontam, linededup, jaccard)
+MODULES = (rans, packing, decontam, pii, linededup, jaccard)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
