@@ -9,8 +9,8 @@ enough for every pair to meet in a cell. Each cell names its lowest document its
 pivot that it met. Inside a region, document pivots divide recursively: Voronoi cells, copies of a document in every cell j with
 d(x, p_j) <= min_i d(x, p_i) + 2 eps and d(x, p_j) <= radius_j + eps (both by the triangle inequality), until cells are small.
 
-The order is by the corpus counts of an n-gram's words in `BUCKETS` hash buckets, over all documents. Any order gives the same
-result; this one makes chance meetings rare. Sets are of 56-bit hashes.
+The order is by the corpus counts of an n-gram's words, and of the n-gram itself where it is frequent, in hash buckets over all documents. Any
+order gives the same result; this one makes chance meetings rare. Sets are of 56-bit hashes.
 
 Defined results: words are runs of characters other than ASCII white space; a text of fewer than n words but at least one is one n-gram; a
 null or wordless text pairs with nothing; equal texts pair at 1; a doc_id that repeats doesn't pair with itself but counts as one document, whose
@@ -24,15 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernels import Powers, buffers, mix, ngram_hashes, segments, slices, word_hashes
 from .shared import dropped, written
 
-N = 2
-THRESHOLD = 0.7
-BUCKETS = 1 << 18
+N = 3
+THRESHOLD = 0.6
+WORD_BUCKETS = 1 << 18
+GRAM_BUCKETS = 1 << 19
+HEAVY = 3
+#: Share of a set's n-grams that two sets within the threshold share at least among their prefixes; longer prefixes for fewer chance regions.
+SHARED = 0.1
 #: Documents of regions, or (document, pivot) pairs, that are broadcast; beyond, Spark joins them by shuffle.
 BROADCAST_ROWS = 1_000_000
 LEAF = 64
@@ -42,35 +46,44 @@ MATRIX = 1 << 23
 _HASH_BITS = np.uint64(56)
 
 
-def _bucket_counts(docs: DataFrame, buckets: int) -> np.ndarray:
+class Order:
+    """Where an n-gram stands among all: those of rare words first, those that are themselves frequent (`grams` above 0) last."""
+
+    def __init__(self, words: np.ndarray, grams: np.ndarray) -> None:
+        self.words = np.minimum(np.log2(np.maximum(words, 1)) * 3, 127).astype(np.uint8)
+        self.grams = np.where(grams > 0, 128 + np.minimum(np.log2(np.maximum(grams, 1)) * 3, 127), 0).astype(np.uint8)
+
+
+def _order(docs: DataFrame, n: int) -> Order:
+    """Counts of words and of n-grams by hash bucket over all documents. A task reports the n-gram buckets above `HEAVY` times its mean."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = Powers(), np.zeros(buckets, dtype=np.int64)
+        table, words, grams = Powers(), np.zeros(WORD_BUCKETS, dtype=np.int64), np.zeros(GRAM_BUCKETS, dtype=np.int64)
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             for a, b in slices(offsets):
-                h, *_ = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table)
-                total += np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
+                h, doc, _, _ = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table)
+                words += np.bincount((h & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), minlength=WORD_BUCKETS)
+                g, _ = ngram_hashes(h, doc, n)
+                grams += np.bincount((g & np.uint64(GRAM_BUCKETS - 1)).astype(np.int64), minlength=GRAM_BUCKETS)
+        w = np.flatnonzero(words)
+        g = np.flatnonzero(grams > HEAVY * max(1.0, grams.sum() / len(grams)))
+        bucket, total = np.concatenate([w, g + WORD_BUCKETS]), np.concatenate([words[w], grams[g]])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(total)], ["bucket", "n"])
 
-    out = np.ones(buckets, dtype=np.int64)
     rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(WORD_BUCKETS + GRAM_BUCKETS, dtype=np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return out
-
+    return Order(out[:WORD_BUCKETS], out[WORD_BUCKETS:])
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """A byte for each bucket that grows with the logarithm of its count."""
-    return np.minimum(np.log2(counts) * 3, 127).astype(np.uint8)
 
-
-def ngram_sets(column: pa.Array, table: Powers, ranks: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def ngram_sets(column: pa.Array, table: Powers, order: Order, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, keys, offsets) of slices of the rows: each row's distinct n-gram keys, in ascending order, rarest first."""
     data, offsets = buffers(column)
-    mask = np.uint64(len(ranks) - 1)
+    word_mask, gram_mask = np.uint64(len(order.words) - 1), np.uint64(len(order.grams) - 1)
     for a, b in slices(offsets):
         h, doc, _, _ = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table)
-        rank = ranks[(h & mask).astype(np.int64)].astype(np.uint64)
+        rank = order.words[(h & word_mask).astype(np.int64)].astype(np.uint64)
         grams, at = ngram_hashes(h, doc, n)
         weight = rank[at]
         for k in range(1, n):
@@ -85,9 +98,10 @@ def ngram_sets(column: pa.Array, table: Powers, ranks: np.ndarray, n: int) -> It
                 at = np.minimum(words[short] + k, len(h) - 1)
                 whole = np.where(more, mix(whole * np.uint64(31) + h[at]), whole)
             grams, weight, owner = np.concatenate([grams, mix(whole + np.uint64(1))]), np.concatenate([weight, w]), np.concatenate([owner, short])
-            order = np.argsort(owner, kind="stable")
-            grams, weight, owner = grams[order], weight[order], owner[order]
-        keys = (np.minimum(weight * np.uint64(2) // np.uint64(n), np.uint64(255)) << _HASH_BITS) | (grams >> np.uint64(8))
+            by = np.argsort(owner, kind="stable")
+            grams, weight, owner = grams[by], weight[by], owner[by]
+        heavy = order.grams[(grams & gram_mask).astype(np.int64)].astype(np.uint64)
+        keys = (np.where(heavy, heavy, np.minimum(weight // np.uint64(n), np.uint64(127))) << _HASH_BITS) | (grams >> np.uint64(8))
         where = segments(owner, b - a)
         for i, j in zip(where[:-1].tolist(), where[1:].tolist()):
             keys[i:j].sort()
@@ -96,18 +110,29 @@ def ngram_sets(column: pa.Array, table: Powers, ranks: np.ndarray, n: int) -> It
         yield a, keys[keep], segments(owner[keep], b - a)
 
 
+def meetings_least(size: np.ndarray) -> np.ndarray:
+    """Two sets within the threshold share so many n-grams, by the smaller of the two, among the prefixes of both."""
+    return np.maximum(1, np.floor(SHARED * size + 1e-9).astype(np.int64))
+
+
 def prefix_sizes(size: np.ndarray, threshold: float) -> np.ndarray:
-    return np.where(size > 0, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, 0)
+    """Sets that overlap in ceil(threshold * size) share l of the size - ceil(threshold * size) + l first elements in any order of all."""
+    return np.where(size > 0, np.minimum(size, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + meetings_least(size)), 0)
+
+
+def unneeded(size, threshold: float):
+    """As a Column: how many of its meetings a document may drop. What two documents of a pair drop together is below meetings_least of both."""
+    return F.floor((F.greatest(F.lit(1), F.floor(F.lit(SHARED * threshold) * size - 1e-9)) - 1) / 2)
 
 
-def _cells(docs: DataFrame, ranks, n: int, threshold: float) -> DataFrame:
+def _cells(docs: DataFrame, order, n: int, threshold: float) -> DataFrame:
     """(cell, doc_id, size): a row for each n-gram pivot whose cell a document enters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, keys, offsets in ngram_sets(batch.column("text"), table, ranks.value, n):
+            for a, keys, offsets in ngram_sets(batch.column("text"), table, order.value, n):
                 size = np.diff(offsets)
                 p = prefix_sizes(size, threshold)
                 ends = np.cumsum(p)
@@ -118,17 +143,19 @@ def _cells(docs: DataFrame, ranks, n: int, threshold: float) -> DataFrame:
 
 
 def _meetings(threshold: float):
-    """From rows sorted by cell and size: (doc_id, pivot) of cells with more than one document of comparable sizes."""
+    """From rows sorted by cell and size: (doc_id, pivot, n, size): n cells in which the document meets that pivot, the lowest document of a cell.
+    A cell is first divided where sizes are too far apart to pair."""
 
     def pairs(cell: np.ndarray, doc: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
         head = np.ones(len(cell), dtype=bool)
         head[1:] = (cell[1:] != cell[:-1]) | (size[:-1] < threshold * size[1:] - 1e-9)
         start = np.flatnonzero(head)
-        lowest = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(cell))))
-        highest = np.repeat(np.maximum.reduceat(doc, start), np.diff(np.append(start, len(cell))))
-        met = lowest != highest
-        both = np.unique(np.stack([doc[met], lowest[met]], axis=1), axis=0) if met.any() else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "pivot"])
+        n = np.diff(np.append(start, len(cell)))
+        lowest, highest = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+        met = np.repeat(lowest != highest, n)
+        rows = np.stack([doc[met], np.repeat(lowest, n)[met], size[met]], axis=1)
+        found, times = np.unique(rows, axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(times.astype(np.int64)), pa.array(found[:, 2].astype(np.int32))], ["doc_id", "pivot", "n", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = [[], [], []]
@@ -286,14 +313,14 @@ def connections(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray
     return nodes[root[member]], nodes[member], best[member]
 
 
-def _sets(docs: DataFrame, ranks, n: int) -> DataFrame:
+def _sets(docs: DataFrame, order, n: int) -> DataFrame:
     """(pivot, doc_id, keys) of rows (doc_id, text, pivots)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
         for batch in batches:
             ids, pivots = batch.column("doc_id").to_numpy(), batch.column("pivots").to_pylist()
-            for a, keys, offsets in ngram_sets(batch.column("text"), table, ranks.value, n):
+            for a, keys, offsets in ngram_sets(batch.column("text"), table, order.value, n):
                 rows = [(p, i, keys[offsets[i - a] : offsets[i - a + 1]].tobytes()) for i in range(a, a + len(offsets) - 1) if offsets[i - a + 1] > offsets[i - a] for p in pivots[i]]
                 for at in range(0, len(rows), 2000):
                     some = rows[at : at + 2000]
@@ -309,12 +336,15 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, link
         raise ValueError("threshold must be above 0 and at most 1")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    ranks = spark.sparkContext.broadcast(rarity(_bucket_counts(docs, BUCKETS)))
-    cells = _cells(docs, ranks, n, threshold).repartition("cell").sortWithinPartitions("cell", "size")
-    met = written(cells.mapInArrow(_meetings(threshold), "doc_id long, pivot long").distinct().groupBy("doc_id").agg(F.collect_set("pivot").alias("pivots")), "meetings")
+    order = spark.sparkContext.broadcast(_order(docs, n))
+    cells = _cells(docs, order, n, threshold).repartition("cell").sortWithinPartitions("cell", "size")
+    met = cells.mapInArrow(_meetings(threshold), "doc_id long, pivot long, n long, size int").groupBy("doc_id", "pivot").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
+    fewest = Window.partitionBy("doc_id").orderBy("n", "pivot")
+    needed = met.withColumn("upto", F.sum("n").over(fewest)).filter(F.col("upto") > unneeded(F.col("size"), threshold))
+    met = written(needed.groupBy("doc_id").agg(F.collect_list("pivot").alias("pivots")), "meetings")
     if (met.agg(F.sum(F.size("pivots"))).first()[0] or 0) <= BROADCAST_ROWS:
         met = F.broadcast(met)
-    regions = _sets(docs.join(met, "doc_id"), ranks, n).repartition("pivot").sortWithinPartitions("pivot")
+    regions = _sets(docs.join(met, "doc_id"), order, n).repartition("pivot").sortWithinPartitions("pivot")
     pairs = regions.mapInArrow(_regions(threshold, links), "doc_a long, doc_b long, jaccard double")
     return pairs.groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
@@ -357,7 +387,7 @@ SQL = {
 WITH w AS (
   SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+') AS w FROM documents
 ), g AS (
-  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS g FROM w
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1
 ), o AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
