@@ -100,23 +100,27 @@ def hash32(text: Column, at: int = 1) -> Column:
     return F.conv(F.substring(F.md5(text), at, 8), 16, 10).cast("bigint")
 
 
-def simhash(docs: DataFrame, text: str = "content", key: str = "doc_id", size: int = 5) -> DataFrame:
-    """(key, hi, lo): the fingerprint as two halves of 32 bits, over shingles of all words. A bit is set where more shingles have it than not.
+def fingerprint(pieces: Column) -> Column:
+    """struct<hi,lo>: 32 bits each, set where more pieces' hashes have the bit than not; 0 for no pieces.
+
+    Votes are counted inside a row: nothing is exploded or shuffled. Lambda variables hold the hashes, so that they are computed once."""
+    bits = F.sequence(F.lit(0), F.lit(31))
 
-    One row a shingle and 64 sums a group: partial aggregation leaves one row a document before the shuffle."""
-    rows = docs.select(key, F.explode_outer(shingles(tokens(F.col(text)), size)).alias("_s"))
-    rows = rows.select(key, *[hash32(F.col("_s"), at).alias(h) for h, at in (("_h", 1), ("_l", 9))])
+    def half(hashes: Column, at: int) -> Column:
+        def vote(total: Column, bit: Column) -> Column:
+            ones = F.size(F.filter(hashes, lambda h: F.call_function("shiftright", h[f"h{at}"], bit).bitwiseAND(F.lit(1)) == 1))
+            return total + F.when(ones * 2 > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint"))
 
-    def votes(h: str) -> list[Column]:
-        return [F.sum(F.when(F.col(h).bitwiseAND(F.lit(1 << b)) != 0, 1).otherwise(-1)).alias(f"{h}{b}") for b in range(32)]
+        return F.aggregate(bits, F.lit(0).cast("bigint"), vote)
 
-    summed = rows.groupBy(key).agg(F.count("_h").alias("_n"), *votes("_h"), *votes("_l"))
+    hashed = F.transform(F.transform(pieces, F.md5), lambda m: F.struct(*[F.conv(F.substring(m, at, 8), 16, 10).cast("bigint").alias(f"h{at}") for at in (1, 9)]))
+    return F.transform(F.array(hashed), lambda hs: F.struct(half(hs, 1).alias("hi"), half(hs, 9).alias("lo")))[0]
 
-    def half(h: str) -> Column:
-        total = sum((F.when(F.col(f"{h}{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("bigint") for b in range(32)), F.lit(0).cast("bigint"))
-        return F.when(F.col("_n") > 0, total).otherwise(F.lit(0).cast("bigint"))
 
-    return summed.select(key, half("_h").alias("hi"), half("_l").alias("lo"))
+def simhash(docs: DataFrame, text: str = "content", key: str = "doc_id", size: int = 5) -> DataFrame:
+    """(key, hi, lo): the fingerprint of the shingles of all words."""
+    pieces = F.transform(F.array(tokens(F.col(text))), lambda w: shingles(w, size))[0]
+    return docs.select(key, F.coalesce(fingerprint(pieces), F.struct(F.lit(0).cast("bigint").alias("hi"), F.lit(0).cast("bigint").alias("lo"))).alias("_f")).select(key, "_f.hi", "_f.lo")
 
 
 def hamming(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:

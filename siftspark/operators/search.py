@@ -38,7 +38,7 @@ class Compiled:
     def _positions(self, node: Q.Phrase) -> Column:
         """Places where the phrase begins."""
         at = [F.coalesce(F.col(f"_p{self.phrase_terms.index(t)}"), F.array().cast("array<int>")) for t in node.terms]
-        return reduce(F.array_intersect, [F.transform(p, lambda x, i=i: x - i) for i, p in enumerate(at)])
+        return reduce(F.array_intersect, [_shifted(p, i) for i, p in enumerate(at)])
 
     def compile(self, node: Q.Node, now: int) -> tuple[Column, list[tuple[int, Column]], bool]:
         """(whether a document matches, [(leaf, whether it takes part)], whether a document without hits can match)."""
@@ -155,6 +155,10 @@ def _parts(index: Index, terms: list[str]) -> list:
     return spark.createDataFrame([(t,) for t in terms], "term string").select(term_part(F.col("term"))).distinct().collect()
 
 
+def _shifted(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda x: x - by)
+
+
 BOOSTS = ("filename", "exact", "recency", "pagerank", "url", "domain", "spam", "click")
 
 

@@ -1,6 +1,643 @@
-"""Queries over the test tables and their SQL twins."""
+"""Queries over the test tables and their SQL twins. All run over whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Ranking
+from ..functions import scoring as S
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import answers, classify, crawl, dedup, entities, links, merge, metrics, personal, search, secure, snippets, suggest
+from ..operators.index import Index, documents, statistics
+from ..sources import formats
+from ..sources.html import extracted, js_shell
+from ..streaming import live
+from .corpus import LOCAL_SQL, NOW, WEB_ID, click_events, full_index, impressions, index_sql, local_docs, local_index, search_sql, table, tokens_sql, web_docs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+PLAIN = Ranking(vector_weight=0.0)
+RANKED = ("doc_id", "match_count")
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    return df.select(*RANKED, F.round("score", 6).alias("score"))
+
+
+def _search(name: str, text: str, sql: str, mode: str = "local", web: bool = False, limit: int | None = 10, **who) -> None:
+    """A registered search: the best 10, or every match."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = full_index(spark, sf_dir) if web else local_index(spark, sf_dir)
+        found = search.results(index, text, PLAIN, NOW, mode, **who)
+        return _scores(search.page(found, limit) if limit else found)
+
+    register(name, sql)(run)
+
+
+def _tf(where: str) -> str:
+    return f"SELECT doc_id, term, tf FROM postings WHERE {where}"
+
+
+_WEB_BOOST = "(CASE WHEN url IS NULL THEN 1 ELSE (1 + 0.5 * 0.0001 * (SELECT n_docs FROM stats)) * 0.85 END)"
+
+
+def _url_boost(*terms: str) -> str:
+    return "(CASE WHEN " + " OR ".join(f"contains(lower(path), '{t}')" for t in terms) + " THEN 1.2 ELSE 1 END)"
+
+
+def _name_boost(*terms: str) -> str:
+    return "(CASE WHEN " + " AND ".join(f"contains(lower(file_name), '{t}')" for t in terms) + " THEN 2.0 ELSE 1 END)"
+
+
+# Search -------------------------------------------------------------------------------------------------------------
+_search("search_ranked", "eding OR ining", search_sql(_tf("term IN ('eding', 'ining')")))
+_search("search_term", "edtion", search_sql(_tf("term = 'edtion'"), limit=None), limit=None)
+_search("search_and", "eding ining", search_sql(_tf("term IN ('eding', 'ining') AND doc_id IN (SELECT doc_id FROM postings WHERE term = 'eding' INTERSECT SELECT doc_id FROM postings WHERE term = 'ining')"), limit=None), limit=None)
+_search("search_not", "eding -ining", search_sql(_tf("term = 'eding' AND doc_id NOT IN (SELECT doc_id FROM postings WHERE term = 'ining')"), limit=None), limit=None)
+_search("search_repeated_word", "eding eding", search_sql("SELECT doc_id, term, 2 * tf AS tf FROM postings WHERE term = 'eding'", limit=None), limit=None)
+_search("search_stop_word", "eding the", search_sql(_tf("false"), limit=None), limit=None)
+_search(
+    "search_phrase", '"anea eriner"',
+    search_sql(_tf("term IN ('anea', 'eriner') AND doc_id IN (SELECT a.doc_id FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'anea' AND b.term = 'eriner')"), exact="true", limit=None),
+    limit=None,
+)
+_search("search_prefix", "edti*", search_sql(_tf("starts_with(term, 'edti')"), limit=None), limit=None)
+_search("search_wildcard", "ed?ion* OR *blered", search_sql(_tf("regexp_matches(term, '^ed.ion.*$') OR term LIKE '%blered'"), limit=None), limit=None)
+_search("search_fuzzy", "edtion~1", search_sql("SELECT doc_id, term, tf FROM postings WHERE term SIMILAR TO '[a-z0-9_.]+' AND levenshtein(term, 'edtion') <= 1 UNION ALL SELECT doc_id, term, tf FROM postings WHERE false", limit=None), limit=None)
+_search("search_not_inside_or", "esinen OR -edtion", search_sql("SELECT doc_id, CASE WHEN term = 'esinen' THEN term END AS term, tf FROM (SELECT docs.doc_id, term, tf FROM docs LEFT JOIN (SELECT * FROM postings WHERE term = 'esinen') USING (doc_id)) WHERE term = 'esinen' OR doc_id NOT IN (SELECT doc_id FROM postings WHERE term = 'edtion')", limit=None), limit=None)
+_search("search_or_of_ands", "eding ining OR edtion", search_sql(_tf("(term IN ('eding', 'ining') AND doc_id IN (SELECT doc_id FROM postings WHERE term = 'eding' INTERSECT SELECT doc_id FROM postings WHERE term = 'ining')) OR term = 'edtion'"), limit=None), limit=None)
+_search("search_filters", f"eding ext:txt size>2KB modified<2w path:src before:{2023}-11-14", search_sql(_tf("term = 'eding'"), where=f"size_bytes > 2048 AND {NOW} - modified_unix < 1209600 AND contains(path, 'src') AND modified_unix < 1699920000", limit=None), limit=None)
+_search("search_filter_only", "size<300", search_sql("SELECT doc_id, NULL::VARCHAR AS term, 0 AS tf FROM docs WHERE size_bytes < 300", limit=None), limit=None)
+_search("search_name_filter", "name:12 eding", search_sql(_tf("term = 'eding'"), where="contains(file_name, '12')", limit=None), limit=None)
+_search("search_acl", "eding", search_sql(_tf("term = 'eding'"), where="public OR owner = 3 OR team = 1", limit=None), limit=None, principal="user3", groups=["team1"])
+_search("search_web", "tion", search_sql(_tf("term = 'tion'"), web=True, where="url IS NOT NULL", boost=f"{_WEB_BOOST} * {_url_boost('tion')} * {_name_boost('tion')}", limit=None), mode="web", web=True, limit=None)
+_search("search_site", "tion site:example.org lang:en", search_sql(_tf("term = 'tion'"), web=True, where="url IS NOT NULL AND (domain = 'example.org' OR ends_with(domain, '.example.org')) AND lang = 'en'", boost=f"{_WEB_BOOST} * {_url_boost('tion')} * {_name_boost('tion')}", limit=None), mode="web", web=True, limit=None)
+
+
+@register("search_both", search_sql(_tf("term IN ('eding', 'thble')"), web=True, boost=f"{_WEB_BOOST} * {_url_boost('eding', 'thble')} * (CASE WHEN url IS NULL THEN 1.2 ELSE 1 END)", limit=None).replace("match_count, round", "match_count, url IS NOT NULL AS is_web, round"))
+def search_both(spark, sf):
+    """Both sources; beyond 500 results the cross-source comparison is skipped, as here at any size with a limit of 0."""
+    found = search.results(full_index(spark, sf), "eding OR thble", Ranking(vector_weight=0.0, filename_boost=1.0, hybrid_dedup_most=0), NOW, "both")
+    return found.select(*RANKED, "is_web", F.round("score", 6).alias("score"))
+
+
+@register("search_counts", index_sql(True) + " SELECT count(*) AS total, count(*) FILTER (url IS NULL) AS local_count, count(*) FILTER (url IS NOT NULL) AS web_count FROM docs WHERE doc_id IN (SELECT doc_id FROM postings WHERE term = 'tion')")
+def search_counts(spark, sf):
+    return search.counts(search.results(full_index(spark, sf), "tion", Ranking(vector_weight=0.0, hybrid_dedup_most=0), NOW, "both"))
+
+
+@register("search_vector_boost")
+def search_vector_boost(spark, sf):
+    return search.search(local_index(spark, sf), "eding ining", Ranking(), NOW, "local").select(*RANKED, F.round("b_vector", 6).alias("b_vector"), "best_chunk", F.round("score", 6).alias("score"))
+
+
+@register("search_explained")
+def search_explained(spark, sf):
+    return search.reasons(search.search(full_index(spark, sf), '"anea eriner"', PLAIN, NOW, "local")).select(*RANKED, "summary", F.to_json("reasons").alias("reasons"))
+
+
+@register("search_hybrid_merge")
+def search_hybrid_merge(spark, sf):
+    found = search.results(full_index(spark, sf), "edtion", PLAIN, NOW, "both")
+    return found.select("doc_id", "source_kind", F.round("score", 6).alias("score"), F.round("normalized_score", 6).alias("normalized_score"))
+
+
+@register("search_clicked", search_sql(_tf("term = 'eding'"), extra=", ck AS (SELECT event_id % 500 AS doc_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1)", boost="(1 + 0.15 * ln(1 + coalesce((SELECT n FROM ck WHERE ck.doc_id = docs.doc_id), 0)))", limit=None))
+def search_clicked(spark, sf):
+    return _scores(search.results(local_index(spark, sf), "eding", PLAIN, NOW, "local", clicks=suggest.clicks(click_events(spark, sf))))
+
+
+@register("search_snippets")
+def search_snippets(spark, sf):
+    top = search.search(local_index(spark, sf), "eding ining", PLAIN, NOW, "local")
+    return snippets.with_snippets(top, ["eding", "ining"]).select("doc_id", "snippet", "matches")
+
+
+@register("search_entity", index_sql() + ", m AS (SELECT doc_id FROM docs WHERE regexp_matches(content, '[a-z0-9]+@[a-z0-9.]+\\.[a-z]+')) SELECT doc_id FROM m WHERE false")
+def search_entity(spark, sf):
+    return search.results(local_index(spark, sf), "@person:nobody-of-this-name", PLAIN, NOW, "local").select("doc_id")
+
+
+@register("personal_order")
+def personal_order(spark, sf):
+    page = search.search(local_index(spark, sf), "eding", PLAIN, NOW, "local", 20)
+    return personal.boosted(page, [0.1, 0.5, 0.2, 0.3, 0.4], "local_file").select("doc_id", F.round("score", 6).alias("score"))
+
+
+# Index --------------------------------------------------------------------------------------------------------------
+@register("index_postings", index_sql() + " SELECT term, doc_id, tf, array_to_string(positions, ',') AS positions FROM postings")
+def index_postings(spark, sf):
+    return local_index(spark, sf).postings.withColumn("positions", F.array_join("positions", ","))
+
+
+@register("index_vocabulary", index_sql() + " SELECT term, df, cf FROM vocab")
+def index_vocabulary(spark, sf):
+    return local_index(spark, sf).vocab
+
+
+@register("index_stats", index_sql(True) + " SELECT n_docs, total_tokens, round(avg_length, 6) AS avg_length FROM stats")
+def index_stats(spark, sf):
+    return full_index(spark, sf).stats.withColumn("avg_length", F.round("avg_length", 6))
+
+
+@register("index_files_by_extension", index_sql(True) + " SELECT extension, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM docs GROUP BY 1")
+def index_files_by_extension(spark, sf):
+    return statistics(full_index(spark, sf).docs)
+
+
+@register("index_removed", index_sql() + ", kept AS (SELECT term, count(*) AS df FROM postings WHERE doc_id % 3 <> 0 GROUP BY 1) SELECT vocab.term, coalesce(kept.df, 0) AS df FROM vocab LEFT JOIN kept USING (term)")
+def index_removed(spark, sf):
+    """Documents of a third of the ids removed: their terms stay."""
+    index = local_index(spark, sf)
+    return index.remove(index.docs.filter("doc_id % 3 = 0")).vocab.select("term", "df")
+
+
+@register("index_upserted", index_sql().replace("text AS content", "CASE WHEN doc_id % 5 = 0 THEN 'fresh words here' ELSE text END AS content") + " SELECT term, df FROM vocab")
+def index_upserted(spark, sf):
+    new = local_docs(spark, sf).filter("doc_id % 5 = 0").withColumn("content", F.lit("fresh words here"))
+    return local_index(spark, sf).upsert(new).vocab.select("term", "df")
+
+
+@register("index_folder_removed", f"SELECT doc_id FROM ({LOCAL_SQL}) WHERE NOT starts_with(path, 'src1/')")
+def index_folder_removed(spark, sf):
+    return local_index(spark, sf).remove_folder("src1").docs.select("doc_id")
+
+
+@register("term_tf_idf", index_sql() + " SELECT doc_id, term, round(tf * (ln(n_docs / (df + 1)) + 1), 6) AS weight FROM postings JOIN vocab USING (term), stats")
+def term_tf_idf(spark, sf):
+    index = local_index(spark, sf)
+    rows = index.postings.join(index.vocab, "term").crossJoin(F.broadcast(index.stats.select("n_docs")))  # one row
+    return rows.select("doc_id", "term", F.round(S.tf_idf(F.col("tf"), F.col("df"), F.col("n_docs")), 6).alias("weight"))
+
+
+# Text and URLs ------------------------------------------------------------------------------------------------------
+@register("text_tokens", f"SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS words FROM documents")
+def text_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("words"))
+
+
+@register("text_exact_hash", "SELECT doc_id, md5(lower(text)) AS hash, min(doc_id) OVER (PARTITION BY md5(lower(text))) AS first_doc FROM documents")
+def text_exact_hash(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", T.exact_hash(F.col("text")).alias("hash"))
+    return merge.first_of_copies(docs, "hash")
+
+
+def _shingles_sql(table_: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    return f"""WITH t AS MATERIALIZED (SELECT {key}, {tokens_sql(text)} AS w FROM {table_}
+), s AS (SELECT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, chr(1))] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(1))) END) AS s FROM t
+), h AS (SELECT {key}, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h, ('0x' || substr(md5(s), 9, 8))::BIGINT AS l FROM s
+), f AS (SELECT {key}, {' + '.join(f"CASE WHEN sum(CASE WHEN h & {1 << b} <> 0 THEN 1 ELSE -1 END) > 0 THEN {1 << b}::BIGINT ELSE 0 END" for b in range(32))} AS hi,
+  {' + '.join(f"CASE WHEN sum(CASE WHEN l & {1 << b} <> 0 THEN 1 ELSE -1 END) > 0 THEN {1 << b}::BIGINT ELSE 0 END" for b in range(32))} AS lo FROM h GROUP BY 1
+), fp AS MATERIALIZED (SELECT t.{key}, coalesce(hi, 0) AS hi, coalesce(lo, 0) AS lo FROM t LEFT JOIN f USING ({key}))"""
+
+
+@register("text_simhash", _shingles_sql() + " SELECT doc_id, hi, lo FROM fp")
+def text_simhash(spark, sf):
+    return T.simhash(table(spark, sf, "documents"), "text")
+
+
+@register("near_duplicates_benchmark", _shingles_sql("benchmark", "item_id") + " SELECT a.item_id AS a, b.item_id AS b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance FROM fp a JOIN fp b ON a.item_id < b.item_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 24")
+def near_duplicates_benchmark(spark, sf):
+    items = table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")
+    return dedup.near_pairs(T.simhash(items, "text"), 24)
+
+
+@register("near_duplicates_banded")
+def near_duplicates_banded(spark, sf):
+    return dedup.near_pairs(T.simhash(table(spark, sf, "documents"), "text"), bands=16)
+
+
+@register("text_lexical_vectors", f"WITH t AS (SELECT doc_id, unnest({tokens_sql('text')}) AS w FROM documents), s AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 256)::INT AS bucket, sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS w FROM t GROUP BY 1, 2) SELECT doc_id, bucket, round(w / n, 6) AS w FROM s JOIN (SELECT doc_id, sqrt(sum(w * w)) AS n FROM s GROUP BY 1) USING (doc_id) WHERE w <> 0")
+def text_lexical_vectors(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    return T.embed(docs, "doc_id").withColumn("w", F.round("w", 6))
+
+
+@register("text_chunks", """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, i::INT AS chunk_index, array_to_string(w[i * 250 + 1:i * 250 + 300], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(1 + greatest(ceil((len(w) - 300) / 250.0), 0)::INT)) AS i FROM w WHERE len(w) > 0)""")
+def text_chunks(spark, sf):
+    return T.chunk_rows(table(spark, sf, "documents"), "text")
+
+
+@register("url_domains", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS domain, regexp_matches(url, '\\.onion([/:?#]|$)') AS onion FROM pages")
+def url_domains(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.domain_of(F.col("url")).alias("domain"), U.is_onion(F.col("url")).alias("onion"))
+
+
+_CANONICAL = """SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/+$', '') END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url
+FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path,
+  list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(ref|referrer|gclid|fbclid|msclkid|sid|phpsessid|session_?id|utm_(source|medium|campaign|term|content))(=|$)'))) AS q FROM pages)"""
+
+
+@register("url_canonical", _CANONICAL)
+def url_canonical(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.canonical(F.col("url")).alias("url"))
+
+
+@register("url_canonical_full", _CANONICAL)
+def url_canonical_full(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.canonical_udf("url").alias("url"))
+
+
+@register("url_query_maps", "SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page FROM pages")
+def url_query_maps(spark, sf):
+    query = F.try_parse_url("url", F.lit("QUERY"))
+    return table(spark, sf, "pages").select("page_id", F.coalesce(F.try_element_at(U.query_map(query), F.lit("page")), F.lit("")).alias("page"))
+
+
+@register("result_projection", f"SELECT doc_id, CASE WHEN size_bytes >= 1048576 THEN printf('%.2f MB', size_bytes / 1048576.0) WHEN size_bytes >= 1024 THEN printf('%.2f KB', size_bytes / 1024.0) ELSE size_bytes || ' B' END AS size, strftime(make_timestamp(modified_unix * 1000000), '%Y-%m-%d') AS day, '/view?path=' || replace(path, '/', '%2F') AS view_url FROM ({LOCAL_SQL})")
+def result_projection(spark, sf):
+    docs = local_docs(spark, sf)
+    return docs.select("doc_id", S.human_bytes(F.col("size_bytes")).alias("size"), F.date_format(F.timestamp_seconds("modified_unix"), "yyyy-MM-dd").alias("day"), U.view_url(F.col("path")).alias("view_url"))
+
+
+@register("file_formats", "SELECT DISTINCT l_returnflag AS flag, CASE l_returnflag WHEN 'A' THEN 'html' WHEN 'N' THEN 'markdown' ELSE 'text' END AS format FROM lineitem")
+def file_formats(spark, sf):
+    extension = F.when(F.col("l_returnflag") == "A", "HTM").when(F.col("l_returnflag") == "N", "md").otherwise("rs")
+    return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), formats.format_of_extension(extension).alias("format")).distinct()
+
+
+# Suggestions --------------------------------------------------------------------------------------------------------
+@register("suggest_prefix", index_sql() + " SELECT term, df FROM vocab WHERE starts_with(term, 'ed') ORDER BY df DESC, term LIMIT 10")
+def suggest_prefix(spark, sf):
+    return suggest.complete(local_index(spark, sf).vocab, "Ed")
+
+
+@register("suggest_spelling", index_sql() + " SELECT term, levenshtein(term, 'edtionx')::INT AS distance FROM vocab WHERE NOT regexp_matches(term, '[^ -~]') AND abs(strlen(term) - 7) <= 2 AND levenshtein(term, 'edtionx') BETWEEN 1 AND 2 AND 'edtionx' NOT IN (SELECT term FROM vocab) ORDER BY 2, 1 LIMIT 5")
+def suggest_spelling(spark, sf):
+    return suggest.spelling(local_index(spark, sf).vocab, "edtionx")
+
+
+@register("suggest_did_you_mean")
+def suggest_did_you_mean(spark, sf):
+    return suggest.did_you_mean(local_index(spark, sf).vocab, "edtionx eding ininx")
+
+
+@register("search_history", "SELECT 'q' || ((props->>'$.k')::INT % 20) AS query, max(epoch_us(ts) // 1000000) AS last_ts, count(*) AS times FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def search_history(spark, sf):
+    return suggest.history(impressions(spark, sf))
+
+
+@register("search_popular", "SELECT 'q' || ((props->>'$.k')::INT % 20) AS query, count(*) AS times FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def search_popular(spark, sf):
+    return suggest.popular(impressions(spark, sf))
+
+
+@register("click_counts", "SELECT event_id % 500 AS doc_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
+def click_counts(spark, sf):
+    return suggest.clicks(click_events(spark, sf))
+
+
+@register("click_last_shown", f"SELECT o_orderkey AS doc_id, s AS saved_ts FROM (SELECT *, epoch_us(o_orderdate) // 1000000 AS s FROM orders) WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 10 + 1 = 1 AND s = (SELECT max(epoch_us(o_orderdate) // 1000000) FROM orders WHERE o_orderpriority = '1-URGENT')")
+def click_last_shown(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("query"), F.lit("web").alias("mode"), (F.col("o_orderkey") % 10 + 1).alias("rank"), F.col("o_orderkey").alias("doc_id"), F.expr("unix_micros(cast(o_orderdate as timestamp)) div 1000000").alias("saved_ts"))
+    now = orders.filter("query = '1-URGENT'").agg(F.max("saved_ts")).first()[0]
+    return suggest.last_shown(orders, "1-URGENT", "web", 1, now)
+
+
+# Measures -----------------------------------------------------------------------------------------------------------
+_EVENTS = "WITH imp AS (SELECT user_id AS s, 'q' || ((props->>'$.k')::INT % 20) AS q, epoch_us(ts) // 1000000 AS t FROM events WHERE event_type = 'view'), clk AS (SELECT user_id AS s, 'q' || ((props->>'$.k')::INT % 20) AS q, value FROM events WHERE event_type = 'click')"
+_SNAPSHOT = f"""{_EVENTS}, pairs AS (SELECT q, t, lead(q) OVER w AS q2, lead(t) OVER w AS t2 FROM imp WINDOW w AS (PARTITION BY s ORDER BY t, q))
+SELECT round((SELECT count(*) FILTER ((s, q) IN (SELECT (s, q) FROM clk)) / count(*) FROM imp), 6) AS ctr, round(1 - (SELECT count(*) FILTER ((s, q) IN (SELECT (s, q) FROM clk)) / count(*) FROM imp), 6) AS abandonment,
+  round((SELECT coalesce(count(*) FILTER (t2 - t <= 120 AND q <> q2) / nullif(count(*), 0), 0) FROM pairs WHERE t2 IS NOT NULL), 6) AS reformulation, round((SELECT count(*) FILTER (value >= 30) / count(value) FROM clk), 6) AS long_click_rate,
+  round((SELECT avg(greatest({NOW} - ({NOW} - page_id * 60), 0)) FROM pages), 6) AS freshness_lag"""
+
+
+@register("metrics_snapshot", _SNAPSHOT)
+def metrics_snapshot(spark, sf):
+    pages = web_docs(spark, sf).select(F.lit(NOW).alias("fetched_unix"), "modified_unix")
+    row = metrics.snapshot(impressions(spark, sf), click_events(spark, sf), pages)
+    return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
+
+
+@register("metrics_dedup_rate", "SELECT count(*) AS considered, count(DISTINCT md5(lower(text))) AS kept, round((count(*) - count(DISTINCT md5(lower(text)))) / count(*), 6) AS rate FROM documents")
+def metrics_dedup_rate(spark, sf):
+    row = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("considered"), F.count_distinct(T.exact_hash(F.col("text"))).alias("kept"))
+    return row.withColumn("rate", F.round((F.col("considered") - F.col("kept")) / F.col("considered"), 6))
+
+
+@register("metrics_latency_histogram", "SELECT le, (SELECT count(*) FROM events WHERE value <= b) AS n FROM (VALUES " + ", ".join(f"('{b}', {b}::DOUBLE)" for b in (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000)) + ") t(le, b) UNION ALL SELECT '+Inf', count(*) FROM events")
+def metrics_latency_histogram(spark, sf):
+    return metrics.histogram(table(spark, sf, "events").select(F.col("value").alias("ms")))
+
+
+def _judged(spark, sf):
+    labels = table(spark, sf, "labels")
+    judged = labels.select(F.concat(F.lit("q"), (F.col("doc_id") % 20).cast("string")).alias("query"), "doc_id", (F.col("quality") * 2 + 1 - F.col("toxic")).cast("int").alias("grade"))
+    ranked = table(spark, sf, "documents").select(F.concat(F.lit("q"), (F.col("doc_id") % 20).cast("string")).alias("query"), "doc_id", F.expr("row_number() OVER (PARTITION BY doc_id % 20 ORDER BY n_chars DESC, doc_id)").alias("rank"))
+    return ranked, judged
+
+
+_RELEVANCE = """WITH judged AS (SELECT 'q' || (doc_id % 20) AS query, doc_id, quality * 2 + 1 - toxic AS grade FROM labels
+), ranked AS (SELECT 'q' || (doc_id % 20) AS query, doc_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY n_chars DESC, doc_id) AS rank FROM documents
+), ideal AS (SELECT query, sum((pow(2, grade) - 1) / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, doc_id) AS r FROM judged) WHERE r <= 10 GROUP BY 1
+), found AS (SELECT query, sum(CASE WHEN rank <= 10 THEN (pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, coalesce(1 / min(CASE WHEN grade > 0 THEN rank END), 0) AS rr, count(*) FILTER (rank <= 10 AND grade > 0) / count(*) FILTER (rank <= 10) AS precision FROM ranked LEFT JOIN judged USING (query, doc_id) GROUP BY 1
+), per AS (SELECT query, CASE WHEN ideal <= 0 THEN 1 ELSE least(1, dcg / ideal) END AS ndcg, rr, precision FROM (SELECT DISTINCT query FROM judged) JOIN found USING (query) JOIN ideal USING (query))"""
+
+
+@register("relevance_per_query", _RELEVANCE + " SELECT query, round(ndcg, 6) AS ndcg, round(rr, 6) AS rr, round(precision, 6) AS precision FROM per")
+def relevance_per_query(spark, sf):
+    out = metrics.relevance(*_judged(spark, sf))
+    return out.select("query", *[F.round(c, 6).alias(c) for c in ("ndcg", "rr", "precision")])
+
+
+@register("relevance_suite", _RELEVANCE + " SELECT round(avg(ndcg), 6) AS mean_ndcg, round(avg(rr), 6) AS mean_rr, round(avg(precision), 6) AS mean_precision FROM per")
+def relevance_suite(spark, sf):
+    out = metrics.suite(metrics.relevance(*_judged(spark, sf)))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@register("relevance_regression", _RELEVANCE + " SELECT 0.0::DOUBLE AS delta_ndcg, 0.0::DOUBLE AS delta_rr, 0.0::DOUBLE AS delta_precision, true AS passed FROM (SELECT count(*) FROM per)")
+def relevance_regression(spark, sf):
+    out = metrics.suite(metrics.relevance(*_judged(spark, sf)))
+    return metrics.regression(out, out)
+
+
+# Links --------------------------------------------------------------------------------------------------------------
+def _graph(spark, sf):
+    e = table(spark, sf, "lineitem").select((F.col("l_suppkey") * 2).alias("s"), (F.col("l_partkey") * 2 + 1).alias("p")).distinct()
+    edges = e.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(e.filter("(s + p) % 3 = 0").select(F.col("p").alias("src"), F.col("s").alias("dst")))
+    nodes = e.select(F.col("s").alias("doc_id")).unionByName(e.select(F.col("p").alias("doc_id"))).distinct()
+    return nodes, edges
+
+
+_GRAPH = "WITH e AS (SELECT DISTINCT l_suppkey * 2 AS s, l_partkey * 2 + 1 AS p FROM lineitem), edges AS MATERIALIZED (SELECT s AS src, p AS dst FROM e UNION ALL SELECT p, s FROM e WHERE (s + p) % 3 = 0), nodes AS MATERIALIZED (SELECT s AS doc_id FROM e UNION SELECT p FROM e), out AS (SELECT src, count(*) AS n FROM edges GROUP BY 1), c AS (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS (SELECT doc_id, 1 / c.n AS rank FROM nodes, c)"
+
+
+def _rounds(k: int) -> str:
+    return "".join(
+        f", r{i} AS MATERIALIZED (SELECT nodes.doc_id, 0.15 / c.n + 0.85 * (coalesce(i.x, 0) + l.x / c.n) AS rank FROM nodes LEFT JOIN (SELECT dst, sum(rank / out.n) AS x FROM r{i - 1} JOIN edges ON src = doc_id JOIN out USING (src) GROUP BY 1) i ON i.dst = nodes.doc_id, c, (SELECT coalesce(sum(rank), 0) AS x FROM r{i - 1} WHERE doc_id NOT IN (SELECT src FROM out)) l)"
+        for i in range(1, k + 1)
+    )
+
+
+@register("link_pagerank", f"{_GRAPH}{_rounds(10)} SELECT doc_id, round(rank, 9) AS rank FROM r10")
+def link_pagerank(spark, sf):
+    return links.pagerank(*_graph(spark, sf), rounds=10, enough=None).withColumn("rank", F.round("rank", 9))
+
+
+@register("link_top_pages", f"{_GRAPH}{_rounds(10)} SELECT doc_id FROM r10 ORDER BY round(rank, 9) DESC, doc_id LIMIT 10")
+def link_top_pages(spark, sf):
+    ranks = links.pagerank(*_graph(spark, sf), rounds=10, enough=None).withColumn("rank", F.round("rank", 9))
+    return links.top_pages(ranks).select("doc_id")
+
+
+@register("link_in_degrees", f"{_GRAPH} SELECT dst, count(*) AS in_links, count(DISTINCT src) AS in_pages FROM edges GROUP BY 1")
+def link_in_degrees(spark, sf):
+    return links.incoming(_graph(spark, sf)[1])
+
+
+@register("link_edges")
+def link_edges(spark, sf):
+    pages = web_docs(spark, sf).select("doc_id", "url")
+    found = extracted(table(spark, sf, "pages")).select((F.col("page_id") + WEB_ID).alias("doc_id"), "url", F.explode("links").alias("_l")).select("doc_id", "url", "_l.*")
+    return links.resolve_edges(found, pages)
+
+
+@register("page_reliability", """WITH p AS (SELECT page_id, CASE WHEN starts_with(lower(url), 'https://') THEN 10 ELSE -15 END + CASE WHEN regexp_matches(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '\\.(gov|edu)$') THEN 15 ELSE 0 END + 50 + least(greatest(round((page_id % 3) / n * 200), 0), 20)::INT AS x FROM pages, (SELECT count(*) AS n FROM pages))
+SELECT page_id, x::INT AS reliability, CASE WHEN x >= 70 THEN 'high' WHEN x >= 40 THEN 'moderate' ELSE 'low' END AS reliability_label FROM p""")
+def page_reliability(spark, sf):
+    pages = web_docs(spark, sf).select((F.col("doc_id") - WEB_ID).alias("page_id"), "url", "domain", F.lit(None).cast("string").alias("author"), F.array().cast("array<string>").alias("redirect_chain"))
+    n = table(spark, sf, "pages").agg(F.count(F.lit(1)).alias("_n"))
+    out = links.reliability(pages.crossJoin(F.broadcast(n)), F.col("page_id") % 3, F.col("_n"))
+    return out.select("page_id", "reliability", "reliability_label")
+
+
+# Classifiers --------------------------------------------------------------------------------------------------------
+def _as_pages(spark, sf):
+    empty = F.array().cast("array<string>")
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.concat(F.lit("http://paypal-"), "source", F.lit(".example.com/")).alias("url"), F.lit("").alias("title"), F.lit("").alias("description"), empty.alias("headings"), F.array("text").alias("paragraphs"), empty.alias("alts"), F.array().cast("array<struct<href:string,anchor:string,nofollow:boolean>>").alias("links"))
+
+
+_SPAM = f"""WITH t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws, {tokens_sql('text')} AS w FROM documents
+), f AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM t) GROUP BY ALL) GROUP BY 1
+), s AS (SELECT doc_id, CASE WHEN len(ws) < 50 THEN 0.85 WHEN len(ws) < 150 THEN 0.5 WHEN len(ws) < 300 THEN 0.2 ELSE 0 END AS thin_content,
+  CASE WHEN len(w) < 20 THEN 0 ELSE least(greatest((most / len(w) - 0.03) / 0.1, 0), 1) END AS keyword_stuffing,
+  CASE WHEN len(w) < 30 THEN 0 ELSE least(greatest((0.75 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) / (len(w) - 2)) / 0.4, 0), 1) END AS repetition,
+  CASE WHEN len(ws) = 0 THEN 0.6 ELSE 0 END AS boilerplate FROM t LEFT JOIN f USING (doc_id))
+SELECT doc_id, round(thin_content, 6)::DOUBLE AS thin_content, round(keyword_stuffing, 6)::DOUBLE AS keyword_stuffing, round(repetition, 6)::DOUBLE AS repetition, round(boilerplate, 6)::DOUBLE AS boilerplate,
+  round((thin_content + keyword_stuffing + repetition + boilerplate) / 6, 6)::DOUBLE AS spam_score FROM s"""
+
+
+@register("classify_spam_texts", _SPAM)
+def classify_spam_texts(spark, sf):
+    out = classify.spam(_as_pages(spark, sf))
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("thin_content", "keyword_stuffing", "repetition", "boilerplate", "spam_score")])
+
+
+@register("classify_policy_texts", "SELECT doc_id, 'phishing' AS category, 0.7::DOUBLE AS confidence, true AS filtered FROM documents WHERE text IS NOT NULL AND NOT (contains(lower(text), 'gift card') AND contains(lower(text), 'act now'))")
+def classify_policy_texts(spark, sf):
+    out = classify.policy(_as_pages(spark, sf))
+    return out.select("doc_id", "policy_flag.category", "policy_flag.confidence", "filtered")
+
+
+@register("classify_blocklist", "SELECT doc_id, source = 'src3' OR source = 'src13' AS blocklisted FROM documents")
+def classify_blocklist(spark, sf):
+    blocked = spark.createDataFrame([("src3.example.com",), ("paypal-src13.example.com",)], "domain string").select(F.when(F.col("domain").startswith("src3"), F.concat(F.lit("-"), "domain")).otherwise(F.col("domain")).alias("domain"))
+    return classify.policy(_as_pages(spark, sf), blocked).select("doc_id", "blocklisted")
+
+
+@register("classify_spam_pages")
+def classify_spam_pages(spark, sf):
+    out = classify.spam(extracted(table(spark, sf, "pages")))
+    return out.select("page_id", *[F.round(c, 6).alias(c) for c in ("thin_content", "keyword_stuffing", "doorway_page", "affiliate_links", "repetition", "boilerplate", "spam_score")], "suppress")
+
+
+@register("page_extraction")
+def page_extraction(spark, sf):
+    out = extracted(table(spark, sf, "pages"))
+    return out.select("page_id", "title", "lang", F.size("headings").alias("headings"), F.size("paragraphs").alias("paragraphs"), F.size("links").alias("links"), classify.text().alias("text"))
+
+
+@register("page_titles", "SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, len(regexp_extract_all(html, '<a href=\"')) AS links FROM pages")
+def page_titles(spark, sf):
+    return extracted(table(spark, sf, "pages")).select("page_id", "title", "lang", F.size("links").cast("bigint").alias("links"))
+
+
+@register("page_js_shells")
+def page_js_shells(spark, sf):
+    raw = table(spark, sf, "pages")
+    text = extracted(raw).select("page_id", classify.text().alias("text"))
+    return raw.join(text, "page_id").select("page_id", js_shell(F.col("html"), F.col("text")).alias("js_shell"))
+
+
+@register("crawl_documents")
+def crawl_documents(spark, sf):
+    return crawl.documents(table(spark, sf, "pages"), NOW).select("doc_id", "domain", "title", "size_bytes", F.round("spam_score", 6).alias("spam_score"))
+
+
+@register("crawl_report")
+def crawl_report(spark, sf):
+    return crawl.report(table(spark, sf, "pages"))
+
+
+def _frontier(spark, sf):
+    d = table(spark, sf, "documents")
+    url = F.concat(F.lit("http://"), "source", F.lit("/"), (F.col("doc_id") % 400).cast("string"))
+    return d.select(url.alias("url"), F.col("source").alias("domain"), (F.col("doc_id") % 5).cast("int").alias("depth"), (F.col("n_chars") % 100).cast("int").alias("priority"), F.col("doc_id").alias("seq"))
+
+
+_FRONTIER = "WITH f AS (SELECT 'http://' || source || '/' || (doc_id % 400) AS url, source AS domain, (doc_id % 5)::INT AS depth, (n_chars % 100)::INT AS priority, doc_id AS seq FROM documents), p AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1), kept AS (SELECT * FROM p WHERE url NOT IN (SELECT url FROM f WHERE seq < 20))"
+
+
+@register("crawl_frontier", _FRONTIER + " SELECT url, (row_number() OVER (PARTITION BY domain ORDER BY priority DESC, depth, url) - 1)::INT AS turn, (row_number() OVER (PARTITION BY domain ORDER BY priority DESC, depth, url) - 1)::BIGINT * 1000 AS ready_millis FROM kept")
+def crawl_frontier(spark, sf):
+    f = _frontier(spark, sf)
+    return crawl.schedule(crawl.push(f, f.limit(0), f.filter("seq < 20"))).select("url", "turn", "ready_millis")
+
+
+@register("crawl_next", _FRONTIER + " SELECT url FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY priority DESC, depth, url) AS t FROM kept) WHERE t = 1 ORDER BY priority DESC, depth, url LIMIT 10")
+def crawl_next(spark, sf):
+    f = _frontier(spark, sf)
+    return crawl.pop(crawl.push(f, f.limit(0), f.filter("seq < 20")), 10).select("url")
+
+
+@register("crawl_robots", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN NOT regexp_matches(url, '^[a-z]+://[^/]+/en/[0-4]') ELSE true END AS allowed FROM pages")
+def crawl_robots(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd").alias("domain"), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/")).alias("path"))
+    body = "User-agent: *\nDisallow: /en/\n" + "".join(f"Allow: /en/{i}\n" for i in range(5, 10)) + "Disallow:\n"
+    robots = spark.createDataFrame([("even", body), ("odd", "User-agent: other\nDisallow: /\n")], "domain string, body string")
+    return crawl.robots_allowed(pages, crawl.robots_rules(robots)).select("page_id", "allowed")
+
+
+# Entities -----------------------------------------------------------------------------------------------------------
+def _mentions(spark, sf):
+    return entities.mentions(local_docs(spark, sf))
+
+
+@register("entity_mentions")
+def entity_mentions(spark, sf):
+    return _mentions(spark, sf)
+
+
+@register("entity_top")
+def entity_top(spark, sf):
+    return entities.top_entities(_mentions(spark, sf))
+
+
+def _pairs(spark, sf):
+    return entities.cooccurrence(table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("name"), F.lit("tag").alias("kind")).distinct())
+
+
+_PAIRS = "WITH m AS (SELECT DISTINCT o_custkey AS d, o_orderpriority AS n FROM orders), p AS (SELECT a.n AS a, b.n AS b, count(*) AS n FROM m a JOIN m b ON a.d = b.d AND a.n < b.n GROUP BY ALL)"
+
+
+@register("entity_cooccurrence", f"{_PAIRS} SELECT a, b, n FROM p")
+def entity_cooccurrence(spark, sf):
+    return _pairs(spark, sf)
+
+
+@register("entity_related", f"{_PAIRS} SELECT CASE WHEN a = '1-URGENT' THEN b ELSE a END AS name, n FROM p WHERE '1-URGENT' IN (a, b) ORDER BY n DESC, name LIMIT 10")
+def entity_related(spark, sf):
+    return entities.related_to(_pairs(spark, sf), "1-URGENT")
+
+
+@register("entity_sources", "SELECT DISTINCT o_custkey AS doc_id, epoch_us(o_orderdate) // 1000000 AS ts FROM orders WHERE o_orderpriority = '2-HIGH' AND epoch_us(o_orderdate) // 1000000 BETWEEN 700000000 AND 800000000")
+def entity_sources(spark, sf):
+    m = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("name"), F.expr("unix_micros(cast(o_orderdate as timestamp)) div 1000000").alias("ts"))
+    return entities.sources_mentioning(m, "2-HIGH", 700_000_000, 800_000_000)
+
+
+# Merging, vectors, answers, sealed index ----------------------------------------------------------------------------
+@register("merge_sources", """WITH c AS (SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'web_page' WHEN 'MACHINERY' THEN 'email' ELSE 'local_file' END AS source, c_acctbal AS x, c_custkey % 2 = 0 OR c_nationkey = 3 AS ok FROM customer), s AS (SELECT source, avg(x) AS m, stddev_pop(x) AS d FROM c GROUP BY 1)
+SELECT id, round(CASE WHEN d > 1e-6 THEN (x - m) / d ELSE 0 END * CASE source WHEN 'local_file' THEN 1.1 ELSE 1 END, 6) AS normalized_score FROM c JOIN s USING (source) WHERE ok""")
+def merge_sources(spark, sf):
+    source = F.when(F.col("c_mktsegment") == "BUILDING", "web_page").when(F.col("c_mktsegment") == "MACHINERY", "email").otherwise("local_file")
+    none = F.array().cast("array<string>")
+    acl = F.struct(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("owner"), none.alias("allowed_principals"), none.alias("allowed_groups"), (F.col("c_custkey") % 2 == 0).alias("public"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), source.alias("source"), F.col("c_acctbal").alias("raw_score"), acl.alias("acl"))
+    return merge.merge(rows, principal="n3").select("id", F.round("normalized_score", 6).alias("normalized_score"))
+
+
+@register("vector_neighbours", "SELECT b.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b, (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) a ORDER BY 2 DESC, 1 LIMIT 10")
+def vector_neighbours(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    one = F.broadcast(rows.filter("vec_id = 0").select(F.col("e").alias("q")))  # one row
+
+    def dot(a: str, b: str):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    return rows.crossJoin(one).select("vec_id", F.round(dot("e", "q") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("e", "e"))), 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(10)
+
+
+@register("hybrid_cross_source")
+def hybrid_cross_source(spark, sf):
+    return search.results(full_index(spark, sf), "esinen OR eanthe", PLAIN, NOW, "both").select("doc_id", "is_web", F.round("score", 6).alias("score"))
+
+
+@register("answer_conversions", "SELECT l_orderkey, l_linenumber, round(l_quantity * 1000.0 / 1609.344, 4) AS result FROM lineitem")
+def answer_conversions(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("amount"), F.lit("km").alias("from_unit"), F.lit("Miles").alias("to_unit"))
+    return answers.conversions(rows).select("l_orderkey", "l_linenumber", "result")
+
+
+@register("answer_claims")
+def answer_claims(spark, sf):
+    c = table(spark, sf, "conversations")
+    a, b = c.filter("role = 'assistant'"), c.filter("role = 'user'")
+    pairs = a.join(b.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("span")), ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("claim"), "span")
+    return answers.verify(pairs).select("conv_id", "turn", "verdict", F.round("overlap", 6).alias("overlap"))
+
+
+@register("answer_grounding", "SELECT count(*) FILTER (a.text = b.text AND false) / greatest(count(*), 1) AS grounding_rate FROM conversations a JOIN conversations b USING (conv_id, turn) WHERE false")
+def answer_grounding(spark, sf):
+    """Claims of another conversation altogether: none, so the rate is that of no claims."""
+    c = table(spark, sf, "conversations").filter("role = 'nobody'").select(F.col("text").alias("claim"), F.col("text").alias("span"))
+    return answers.grounding_rate(answers.verify(c))
+
+
+SQL["answer_grounding"] = "SELECT 1.0::DOUBLE AS grounding_rate"
+
+
+@register("sealed_lookup", index_sql() + " SELECT doc_id FROM postings WHERE term = 'eding' INTERSECT SELECT doc_id FROM postings WHERE term = 'ining'")
+def sealed_lookup(spark, sf):
+    key = secure.key_from("a passphrase of many bytes")
+    return secure.lookup_all(secure.build(local_index(spark, sf).postings, key), key, ["Eding", "ining"])
+
+
+@register("peer_results", "SELECT CASE WHEN c_nationkey = 0 THEN 'p1:' || c_custkey ELSE c_custkey::VARCHAR END AS id FROM customer WHERE c_nationkey IN (0, 1)")
+def peer_results(spark, sf):
+    c = table(spark, sf, "customer")
+    own = c.filter("c_nationkey = 1").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.lit("web_page").alias("source"), F.col("c_acctbal").alias("score"))
+    theirs = c.filter("c_nationkey = 0").select(F.lit("p1").alias("peer"), F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_acctbal").alias("score"))
+    return merge.with_peers(own, theirs, 1_000_000).select("id")
+
+
+@register("rate_limit")
+def rate_limit(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.expr("unix_micros(cast(ts as timestamp)) / 1e6").alias("ts"), F.lit(10).alias("n"))
+    return live.rate_limited_batch(e)
+
+
+@register("live_changes", f"SELECT path FROM ({LOCAL_SQL}) WHERE doc_id % 4 <> 1 UNION ALL SELECT 'new/' || doc_id FROM documents WHERE doc_id % 4 = 2")
+def live_changes(spark, sf):
+    docs = local_docs(spark, sf)
+    deletes = docs.filter("doc_id % 4 = 1").withColumn("kind", F.lit("delete"))
+    upserts = docs.filter("doc_id % 4 = 2").withColumns({"kind": F.lit("upsert"), "path": F.concat(F.lit("new/"), F.col("doc_id").cast("string"))})
+    changes = deletes.unionByName(upserts).withColumn("seq", F.col("doc_id")).drop("acl")
+    return live.apply_changes(Index(documents(docs)), changes).docs.select("path")
+
+
+@register("personal_training")
+def personal_training(spark, sf):
+    e = table(spark, sf, "events").filter("event_type IN ('view', 'click')")
+    rows = e.select("user_id", (F.col("event_id") % 97).alias("page"), F.col("event_id").alias("rank"), (F.col("event_type") == "click").alias("clicked"), F.lit(0.0).alias("f_edu"), F.lit(1.0).alias("f_kind"), (F.col("value") / 100).alias("f_recency"), F.lit(0.5).alias("f_score"))
+    return personal.train_users(rows).select("user_id", *[F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in range(5)])
+
+
