@@ -9,7 +9,7 @@ tags are not features, so that pages without them are read alike. At most `max_p
 and of no more than `MAX_BLOCKS` blocks; extraction covers every page and every block.
 
 Defined results: a null html gives a null text and no blocks; an html without text gives an empty text; without labelled pages every block is content;
-unclosed tags end with their parent; repeated rows are extracted each by itself; only page_id and html are looked at; an empty table gives no rows.
+unclosed tags end with their parent and a tag cut off by the end of the page is dropped with what follows; repeated rows are extracted each by itself; only page_id and html are looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ L2 = 1e-3
 OUT = "page_id long, text string, n_blocks int, n_content int"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
+_UNENDED = re.compile(r"<[a-zA-Z/!?]")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -111,7 +112,7 @@ def blocks_of(page: str) -> list[Block]:
             stack.append(tag)
             rest = m.group(4)
             named.append([zlib.crc32(w.lower().encode()) % _N_NAMES for x in _NAMES.findall(rest) for w in re.split(r"[\s_-]+", "".join(x)) if w] if rest else [])
-    parts.append(page[at:])
+    parts.append(_UNENDED.split(page[at:], maxsplit=1)[0])
     close()
     for i, b in enumerate(out):  # place in the page
         b.features.append(N_FEATURES - 3 + (0 if i < 2 else 2 if i >= len(out) - 2 else 1))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 
 RATIO = 0.02
 MIN_PAGES = 3
@@ -35,17 +35,19 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
 
 
 def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The given rows with `text` rid of boilerplate, and n_lines, n_dropped added."""
-    bad = written(boilerplate(docs, ratio, min_pages), "lines").withColumnRenamed("lines", "_boilerplate").withColumnRenamed("source", "_site")
-    if (bad.agg(F.sum(F.size("_boilerplate"))).first()[0] or 0) <= BROADCAST_LINES:
-        bad = F.broadcast(bad)
+    """The given rows with `text` rid of boilerplate, and n_lines, n_dropped added (in place of columns of these names)."""
+    bad = written(boilerplate(docs, ratio, min_pages), "lines")
+    few = (bad.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_LINES
+    site, marked, left = (unused(c, docs.columns) for c in ("_site", "_boilerplate", "_kept"))
+    bad = bad.select(F.col("source").alias(site), F.col("lines").alias(marked))
+    bad = F.broadcast(bad) if few else bad
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: F.col("_boilerplate").isNull() | (F.trim(x) == "") | ~F.array_contains("_boilerplate", _key(x)))
-    joined = docs.join(bad, docs["source"] == bad["_site"], "left")
+    kept = F.filter(lines, lambda x: F.col(marked).isNull() | (F.trim(x) == "") | ~F.array_contains(marked, _key(x)))
+    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return joined.select(
-        *[F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")], kept.alias("_kept"), n.alias("n_lines")
-    ).select(*[c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")], F.array_join("_kept", "\n").alias("text"), "n_lines", F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).alias("n_dropped"))
+    staged = docs.join(bad, docs["source"] == bad[site], "left").select(*[F.col(f"`{c}`") for c in rest], kept.alias(left), n.alias("n_lines"))
+    gone = F.when(F.col(left).isNull(), 0).otherwise(F.col("n_lines") - F.size(left))
+    return staged.select(*[F.col(f"`{c}`") for c in rest], F.array_join(left, "\n").alias("text"), "n_lines", gone.alias("n_dropped"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

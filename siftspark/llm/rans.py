@@ -117,6 +117,8 @@ def decode_block(states: bytes, payload: bytes, n_tokens: int, freq: np.ndarray,
         out[i : i + k] = sym
         state = freq[sym] * (x[:k] >> np.uint64(SCALE_BITS)) + slot - start[sym]
         low = np.flatnonzero(state < LOW)
+        if at + len(low) > len(words):
+            raise ValueError("the words end before the tokens")
         state[low] = (state[low] << _W) | words[at : at + len(low)]
         at += len(low)
         x[:k] = state
@@ -205,7 +207,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, vocabulary_size: int =
 
 
 def decode(blocks: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """(doc_id, block, ids) of the rows of encode(); a block whose checksum differs fails the task."""
+    """(doc_id, block, ids) of the rows of encode(); a damaged block fails the task."""
     spark = spark or blocks.sparkSession
     shared = spark.sparkContext.broadcast(np.frombuffer(bytes(blocks.filter("kind = 'table'").first().payload), "<u4").astype(np.uint64))
 
@@ -215,8 +217,11 @@ def decode(blocks: DataFrame, spark: SparkSession | None = None) -> DataFrame:
             rows = batch.to_pylist()
             out = []
             for r in rows:
-                ids = decode_block(r["states"], r["payload"], r["n_tokens"], freq)
-                if zlib.crc32(ids.astype("<u4").tobytes()) != r["crc32"]:
+                try:
+                    ids = decode_block(r["states"], r["payload"], r["n_tokens"], freq)
+                except ValueError:
+                    ids = None
+                if ids is None or zlib.crc32(ids.astype("<u4").tobytes()) != r["crc32"]:
                     raise ValueError(f"checksum of block {r['block']} of document {r['doc_id']}")
                 out.append(ids.tolist())
             yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["block"] for r in rows], pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "block", "ids"])

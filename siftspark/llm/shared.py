@@ -29,6 +29,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, longer by as many signs as it takes to differ from every column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that no later step reads."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -1,7 +1,7 @@
 """Language of a text by a string kernel.
 
 The kernel of two texts is the blended-spectrum presence kernel: the number of distinct byte n-grams (n from 1 to 3, letters in lower case,
-digits and ASCII marks as one class each, runs of blanks as one) that both have, divided by the root of the product of both numbers. Landmarks
+digits and ASCII marks as one class each, runs of blanks as one, none at the start) that both have, divided by the root of the product of both numbers. Landmarks
 are labelled texts; the Nystrom map phi(x) = k(x, landmarks) K^-1/2 feeds a kernel ridge regression for each language against the rest (targets
 1 and -1 with a bias), and the highest score wins.
 
