@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import FOLDED_CODES, NON_ALNUM, Powers, buffers, ngram_hashes, segments, slices, word_hashes
+from .kernels import FOLDED_CODES, NON_ALNUM, Powers, buffers, ngram_hashes, release, segments, slices, word_hashes
 from .shared import written
 from .tokens import gather
 
@@ -144,7 +144,7 @@ def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["gram", "n"])
 
     out = np.zeros(len(items.grams), dtype=np.int64)
-    for r in docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(release(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[r.gram] = r.n
     return out
 
@@ -194,7 +194,7 @@ def _matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 ["doc_id", "item_id", "score", "ratio"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, score int, ratio double")
+    return docs.mapInArrow(release(run), "doc_id long, item_id long, score int, ratio double")
 
 
 def _chunks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:

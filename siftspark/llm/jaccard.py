@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kernels import Powers, buffers, mix, ngram_hashes, segments, slices, word_hashes
+from .kernels import Powers, buffers, mix, ngram_hashes, release, segments, slices, word_hashes
 from .shared import dropped, written
 
 N = 3
@@ -71,7 +71,7 @@ def _order(docs: DataFrame, n: int) -> Order:
         bucket, total = np.concatenate([w, g + WORD_BUCKETS]), np.concatenate([words[w], grams[g]])
         yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(total)], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(release(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(WORD_BUCKETS + GRAM_BUCKETS, dtype=np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return Order(out[:WORD_BUCKETS], out[WORD_BUCKETS:])
@@ -139,7 +139,7 @@ def _cells(docs: DataFrame, order, n: int, threshold: float) -> DataFrame:
                 at = np.arange(int(ends[-1])) + np.repeat(offsets[:-1] - (ends - p), p)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(np.repeat(ids[a : a + len(size)], p)), pa.array(np.repeat(size, p).astype(np.int32))], ["cell", "doc_id", "size"])
 
-    return docs.mapInArrow(run, "cell long, doc_id long, size int")
+    return docs.mapInArrow(release(run), "cell long, doc_id long, size int")
 
 
 def _meetings(threshold: float):
@@ -326,7 +326,7 @@ def _sets(docs: DataFrame, order, n: int) -> DataFrame:
                     some = rows[at : at + 2000]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array(ids[[r[1] for r in some]]), pa.array([r[2] for r in some], pa.binary())], ["pivot", "doc_id", "keys"])
 
-    return docs.mapInArrow(run, "pivot long, doc_id long, keys binary")
+    return docs.mapInArrow(release(run), "pivot long, doc_id long, keys binary")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, links: bool = False) -> DataFrame:
@@ -338,14 +338,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, link
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     order = spark.sparkContext.broadcast(_order(docs, n))
     cells = _cells(docs, order, n, threshold).repartition("cell").sortWithinPartitions("cell", "size")
-    met = cells.mapInArrow(_meetings(threshold), "doc_id long, pivot long, n long, size int").groupBy("doc_id", "pivot").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
+    met = cells.mapInArrow(release(_meetings(threshold)), "doc_id long, pivot long, n long, size int").groupBy("doc_id", "pivot").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
     fewest = Window.partitionBy("doc_id").orderBy("n", "pivot")
     needed = met.withColumn("upto", F.sum("n").over(fewest)).filter(F.col("upto") > unneeded(F.col("size"), threshold))
     met = written(needed.groupBy("doc_id").agg(F.collect_list("pivot").alias("pivots")), "meetings")
     if (met.agg(F.sum(F.size("pivots"))).first()[0] or 0) <= BROADCAST_ROWS:
         met = F.broadcast(met)
     regions = _sets(docs.join(met, "doc_id"), order, n).repartition("pivot").sortWithinPartitions("pivot")
-    pairs = regions.mapInArrow(_regions(threshold, links), "doc_a long, doc_b long, jaccard double")
+    pairs = regions.mapInArrow(release(_regions(threshold, links)), "doc_a long, doc_b long, jaccard double")
     return pairs.groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Text of a batch that is worked on at a time by operators whose results are larger than it.
+PORTION_BYTES = 1 << 22
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -76,6 +78,27 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def portions(batch: pa.RecordBatch, column: str = "text", most: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of whole rows whose texts have about `most` bytes together."""
+    for a, b in slices(buffers(batch.column(column))[1], most):
+        yield batch.slice(a, b - a)
+
+
+def release(run):
+    """run, after which the worker's free memory goes back to the system: Spark keeps its Python workers for later tasks."""
+
+    def then_release(batches):
+        yield from run(batches)
+        import ctypes
+
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return then_release
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about `most` bytes together."""
     n, a = len(offsets) - 1, 0

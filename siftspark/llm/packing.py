@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import portions, release
 from .tokens import VOCABULARY, gather, tokenizer
 
 MAX_LENGTH = 8192
@@ -40,7 +41,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, max_length: int = MAX_LE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary)
-        for batch in batches:
+        for batch in (part for b in batches for part in portions(b)):
             ids, offsets = t.encode(batch.column("text"))
             each, length = pieces(np.diff(offsets), max_length)
             doc_ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(each)), each)))
@@ -55,7 +56,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, max_length: int = MAX_LE
                 yield pa.RecordBatch.from_arrays([columns[0].slice(a, b - a), *(pa.array(c[a:b]) for c in columns[1:]), lists], schema=_PACKED)
                 a = b
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PACKED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(release(run), PACKED)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

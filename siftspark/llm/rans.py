@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import portions, release
 from .shared import written
 from .tokens import VOCABULARY, VOCABULARY_SIZE, gather, tokenizer
 
@@ -134,13 +135,13 @@ def checkpoints_of(record: bytes) -> list[tuple[int, int, bytes]]:
 def _texts_to_ids(path: str, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for batch in batches:
+        for batch in (part for b in batches for part in portions(b)):
             ids, offsets = t.encode(batch.column("text"))
             raw = np.ascontiguousarray(ids.astype(kind))
             column = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((offsets * raw.itemsize).astype(np.int64)), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column.cast(pa.binary())], ["doc_id", "ids"])
 
-    return run
+    return release(run)
 
 
 def _ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +169,7 @@ def token_counts(tokens: DataFrame, kind: str, vocabulary_size: int) -> np.ndarr
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(release(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(vocabulary_size, dtype=np.int64)
     out[[r.id for r in rows]] = [r.n for r in rows]
     return out
@@ -203,7 +204,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, vocabulary_size: int =
                     schema=_BLOCKS,
                 )
 
-    return tokens.mapInArrow(run, BLOCKS).unionByName(table)
+    return tokens.mapInArrow(release(run), BLOCKS).unionByName(table)
 
 
 def decode(blocks: DataFrame, spark: SparkSession | None = None) -> DataFrame:

@@ -21,8 +21,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _WIDE_SPACE = np.zeros(256, dtype=bool)
 _WIDE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Pieces kept between batches of a task, with their ids.
-CACHE_PIECES = 1 << 21
-SLICE_BYTES = 1 << 22
+CACHE_PIECES = 1 << 19
+SLICE_BYTES = 1 << 20
 
 
 class Tokenizer:
