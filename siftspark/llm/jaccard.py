@@ -31,7 +31,7 @@ from .kernels import Powers, buffers, mix, ngram_hashes, release, segments, slic
 from .shared import dropped, written
 
 N = 3
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 WORD_BUCKETS = 1 << 18
 GRAM_BUCKETS = 1 << 19
 HEAVY = 3

@@ -77,7 +77,7 @@ def test_one_of_each_group_stays(spark):
             x = root[x]
         return x
 
-    for a, b in by_hand(rows, 0.6):
+    for a, b in by_hand(rows, jaccard.THRESHOLD):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     kept = jaccard.drop_near_duplicates(df)
