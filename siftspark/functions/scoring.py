@@ -31,11 +31,11 @@ def query_weight(df: Column, n: Column) -> Column:
 
 
 def human_bytes(size: Column, decimals: int = 2) -> Column:
-    """Binary steps; whole bytes without decimals."""
+    """Binary steps, halves to the even digit; whole bytes without decimals."""
     s = size.cast("double")
     out = F.format_string("%d B", size.cast("bigint"))
     for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(s >= 1024.0**i, F.format_string(f"%.{decimals}f {unit}", s / 1024.0**i)).otherwise(out)
+        out = F.when(s >= 1024.0**i, F.format_string(f"%.{decimals}f {unit}", F.bround(s / 1024.0**i, decimals))).otherwise(out)
     return out
 
 

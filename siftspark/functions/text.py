@@ -65,6 +65,11 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x computed once: as a lambda variable it isn't copied into the places that use it, nor into loops over arrays."""
+    return F.transform(F.array(x), lambda v: f(v))[0]
+
+
 def is_stop_word(word: Column) -> Column:
     return word.isin(*STOP_WORDS)
 
@@ -114,12 +119,12 @@ def fingerprint(pieces: Column) -> Column:
         return F.aggregate(bits, F.lit(0).cast("bigint"), vote)
 
     hashed = F.transform(F.transform(pieces, F.md5), lambda m: F.struct(*[F.conv(F.substring(m, at, 8), 16, 10).cast("bigint").alias(f"h{at}") for at in (1, 9)]))
-    return F.transform(F.array(hashed), lambda hs: F.struct(half(hs, 1).alias("hi"), half(hs, 9).alias("lo")))[0]
+    return bound(hashed, lambda hs: F.struct(half(hs, 1).alias("hi"), half(hs, 9).alias("lo")))
 
 
 def simhash(docs: DataFrame, text: str = "content", key: str = "doc_id", size: int = 5) -> DataFrame:
     """(key, hi, lo): the fingerprint of the shingles of all words."""
-    pieces = F.transform(F.array(tokens(F.col(text))), lambda w: shingles(w, size))[0]
+    pieces = bound(tokens(F.col(text)), lambda w: shingles(w, size))
     return docs.select(key, F.coalesce(fingerprint(pieces), F.struct(F.lit(0).cast("bigint").alias("hi"), F.lit(0).cast("bigint").alias("lo"))).alias("_f")).select(key, "_f.hi", "_f.lo")
 
 

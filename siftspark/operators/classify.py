@@ -80,15 +80,21 @@ def boilerplate(headings: Column, paragraphs: Column) -> Column:
     return F.when(p + h == 0, 0.6).when(p * 4 < p + h, 0.4).otherwise(0.0)
 
 
+SIGNALS = ("thin_content", "keyword_stuffing", "doorway_page", "affiliate_links", "repetition", "boilerplate")
+
+
+def signals(t: Column, words: Column) -> Column:
+    """A struct of the signals of a page's text and its words."""
+    values = (thin_content(t), keyword_stuffing(words), doorway_page(t, F.col("links")), affiliate_links(F.col("links"), host_of(F.col("url"))), repetition(words), boilerplate(F.col("headings"), F.col("paragraphs")))
+    return F.struct(*[v.cast("double").alias(k) for k, v in zip(SIGNALS, values)])
+
+
 def spam(pages: DataFrame) -> DataFrame:
     """pages with a column for each signal, spam_score, their mean, and suppress."""
-    staged = pages.withColumn("_text", text()).withColumn("_words", T.tokens(F.col("_text")))
-    signals = {
-        "thin_content": thin_content(F.col("_text")), "keyword_stuffing": keyword_stuffing(F.col("_words")), "doorway_page": doorway_page(F.col("_text"), F.col("links")),
-        "affiliate_links": affiliate_links(F.col("links"), host_of(F.col("url"))), "repetition": repetition(F.col("_words")), "boilerplate": boilerplate(F.col("headings"), F.col("paragraphs")),
-    }
-    out = staged.withColumns(signals)
-    return out.withColumn("spam_score", sum((F.col(k) for k in signals), F.lit(0.0)) / len(signals)).withColumn("suppress", F.col("spam_score") >= SUPPRESS_AT).drop("_text", "_words")
+    found = T.bound(text(), lambda t: T.bound(T.tokens(t), lambda w: signals(t, w)))
+    out = pages.withColumn("_s", found)
+    out = out.withColumns({k: F.col(f"_s.{k}") for k in SIGNALS}).drop("_s")
+    return out.withColumn("spam_score", sum((F.col(k) for k in SIGNALS), F.lit(0.0)) / len(SIGNALS)).withColumn("suppress", F.col("spam_score") >= SUPPRESS_AT)
 
 
 def _any(t: Column, phrases: tuple[str, ...]) -> Column:
@@ -125,7 +131,7 @@ def flags(url: Column, t: Column, links: Column) -> Column:
 
 def policy(pages: DataFrame, blocklist: DataFrame | None = None) -> DataFrame:
     """pages with flags, policy_flag (the first of highest confidence), blocklisted and filtered. blocklist: domain."""
-    out = pages.withColumn("flags", flags(F.col("url"), F.lower(text()), F.col("links")))
+    out = pages.withColumn("flags", T.bound(F.lower(text()), lambda t: flags(F.col("url"), t, F.col("links"))))
     if blocklist is None:
         out = out.withColumn("blocklisted", F.lit(False))
     else:

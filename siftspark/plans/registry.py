@@ -89,7 +89,7 @@ _search("search_web", "tion", search_sql(_tf("term = 'tion'"), web=True, where="
 _search("search_site", "tion site:example.org lang:en", search_sql(_tf("term = 'tion'"), web=True, where="url IS NOT NULL AND (domain = 'example.org' OR ends_with(domain, '.example.org')) AND lang = 'en'", boost=f"{_WEB_BOOST} * {_url_boost('tion')} * {_name_boost('tion')}", limit=None), mode="web", web=True, limit=None)
 
 
-@register("search_both", search_sql(_tf("term IN ('eding', 'thble')"), web=True, boost=f"{_WEB_BOOST} * {_url_boost('eding', 'thble')} * (CASE WHEN url IS NULL THEN 1.2 ELSE 1 END)", limit=None).replace("match_count, round", "match_count, url IS NOT NULL AS is_web, round"))
+@register("search_both", search_sql(_tf("term IN ('eding', 'thble')"), web=True, boost=f"{_WEB_BOOST} * (CASE WHEN doc_id IN (SELECT t.doc_id FROM tfs t JOIN docs d ON t.doc_id = d.doc_id WHERE contains(lower(d.path), t.term)) THEN 1.2 ELSE 1 END) * (CASE WHEN url IS NULL THEN 1.2 ELSE 1 END)", limit=None).replace("match_count, round", "match_count, url IS NOT NULL AS is_web, round"))
 def search_both(spark, sf):
     """Both sources; beyond 500 results the cross-source comparison is skipped, as here at any size with a limit of 0."""
     found = search.results(full_index(spark, sf), "eding OR thble", Ranking(vector_weight=0.0, filename_boost=1.0, hybrid_dedup_most=0), NOW, "both")
