@@ -16,7 +16,7 @@ from ..operators.index import Index, documents, statistics
 from ..sources import formats
 from ..sources.html import extracted, js_shell
 from ..streaming import live
-from .corpus import LOCAL_SQL, NOW, WEB_ID, click_events, full_index, impressions, index_sql, local_docs, local_index, search_sql, table, tokens_sql, web_docs
+from .corpus import LOCAL_SQL, NOW, STOP_SQL, WEB_ID, click_events, full_index, impressions, index_sql, local_docs, local_index, search_sql, table, tokens_sql, web_docs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,9 +128,13 @@ def search_snippets(spark, sf):
     return snippets.with_snippets(top, ["eding", "ining"]).select("doc_id", "snippet", "matches")
 
 
-@register("search_entity", index_sql() + ", m AS (SELECT doc_id FROM docs WHERE regexp_matches(content, '[a-z0-9]+@[a-z0-9.]+\\.[a-z]+')) SELECT doc_id FROM m WHERE false")
+_MAIL = r"""list_filter(list_transform(regexp_split_to_array(content, '\s+'), lambda x: regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}@.]+', ''), '[^\p{L}\p{N}@.]+$', '')), lambda x: regexp_matches(x, '^[^@]+@[^@]*$') AND contains(x, '.'))"""
+
+
+@register("search_entity", search_sql(f"SELECT doc_id, NULL::VARCHAR AS term, 0 AS tf FROM docs WHERE len({_MAIL}) > 0", limit=None))
 def search_entity(spark, sf):
-    return search.results(local_index(spark, sf), "@person:nobody-of-this-name", PLAIN, NOW, "local").select("doc_id")
+    """Documents that mention an address."""
+    return _scores(search.results(local_index(spark, sf), "@entity:@", PLAIN, NOW, "local"))
 
 
 @register("personal_order")
@@ -595,14 +599,11 @@ def answer_claims(spark, sf):
     return answers.verify(pairs).select("conv_id", "turn", "verdict", F.round("overlap", 6).alias("overlap"))
 
 
-@register("answer_grounding", "SELECT count(*) FILTER (a.text = b.text AND false) / greatest(count(*), 1) AS grounding_rate FROM conversations a JOIN conversations b USING (conv_id, turn) WHERE false")
+@register("answer_grounding", f"SELECT round(count(*) FILTER (len(list_filter({tokens_sql('text')}, lambda x: strlen(x) > 1 AND x NOT IN ({STOP_SQL}))) > 0) / count(*), 6) AS grounding_rate FROM conversations")
 def answer_grounding(spark, sf):
-    """Claims of another conversation altogether: none, so the rate is that of no claims."""
-    c = table(spark, sf, "conversations").filter("role = 'nobody'").select(F.col("text").alias("claim"), F.col("text").alias("span"))
-    return answers.grounding_rate(answers.verify(c))
-
-
-SQL["answer_grounding"] = "SELECT 1.0::DOUBLE AS grounding_rate"
+    """Every turn held against itself: supported where it has a significant term."""
+    c = table(spark, sf, "conversations").select(F.col("text").alias("claim"), F.col("text").alias("span"))
+    return answers.grounding_rate(answers.verify(c)).select(F.round("grounding_rate", 6).alias("grounding_rate"))
 
 
 @register("sealed_lookup", index_sql() + " SELECT doc_id FROM postings WHERE term = 'eding' INTERSECT SELECT doc_id FROM postings WHERE term = 'ining'")
