@@ -10,6 +10,7 @@ Terms are kept words with their places among all words, so gaps remain where sto
 from __future__ import annotations
 
 import json
+import zlib
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -47,6 +48,10 @@ def term_part(term: Column) -> Column:
     return F.pmod(F.crc32(term), F.lit(TERM_PARTS)).cast("int")
 
 
+def term_part_of(term: str) -> int:
+    return zlib.crc32(term.encode()) % TERM_PARTS
+
+
 @dataclass
 class Index:
     """Tables given or derived from docs. A table that several queries use should be saved; nothing is cached here."""
@@ -113,14 +118,20 @@ class Index:
     def save(self, path: str, version: int = 1) -> None:
         """Every table under path/v<version>, then the manifest that makes the version current."""
         spark = self.docs.sparkSession
-        for name in TABLES:
-            df = self.table(name)
+        base, source, counts = f"{path}/v{version}", self, {}
+        for name in TABLES:  # docs come first and postings before vocab: each later table is made from what is written already
+            df = source.table(name)
             if name == "postings":
                 df = df.withColumn("part", term_part(F.col("term"))).repartition("part").sortWithinPartitions("term", "doc_id")
-                df.write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{version}/{name}")
+                df.write.mode("overwrite").partitionBy("part").parquet(f"{base}/{name}")
             else:
-                df.write.mode("overwrite").parquet(f"{path}/v{version}/{name}")
-        counts = {name: spark.read.parquet(f"{path}/v{version}/{name}").count() for name in TABLES}
+                df.write.mode("overwrite").parquet(f"{base}/{name}")
+            done = spark.read.parquet(f"{base}/{name}")
+            counts[name] = done.count()
+            if name == "docs":
+                source = Index(done, {k: v for k, v in (self.tables or {}).items() if k != "docs"})
+            elif name == "postings" and source._table("vocab") is None:
+                source = Index(source.docs, {**source.tables, "postings": done})
         manifest = json.dumps({"format": VERSION, "version": version, "rows": counts})
         spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 

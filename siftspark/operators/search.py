@@ -18,7 +18,7 @@ from ..config import Ranking
 from ..functions import scoring as S
 from ..functions import text as T
 from ..plans import query as Q
-from .index import Index, term_part
+from .index import Index, term_part_of
 
 
 @dataclass
@@ -124,7 +124,7 @@ def evaluate(index: Index, node: Q.Node, now: int) -> DataFrame:
         rows, vocab = index.postings, index.vocab.filter(hit)
         exact = c.exact_terms()
         if exact is not None and "part" in rows.columns:
-            rows = rows.filter(F.col("part").isin(*[r[0] for r in _parts(index, exact)]))
+            rows = rows.filter(F.col("part").isin(*{term_part_of(t) for t in exact}))
         rows = rows.filter(hit).join(vocab.select("term", "df"), "term")
         leaf = F.array(*[c.leaf_terms(x) for x in c.leaves])
         found = F.struct("term", "tf", "df", leaf.alias("leaves"))
@@ -150,11 +150,6 @@ def evaluate(index: Index, node: Q.Node, now: int) -> DataFrame:
     return docs.drop("_active", "_hits", *[f"_l{i}" for i in range(len(c.leaves))], *[f"_p{k}" for k in range(len(c.phrase_terms))], *[f"_e{k}" for k in range(len(c.entities))])
 
 
-def _parts(index: Index, terms: list[str]) -> list:
-    spark = index.docs.sparkSession
-    return spark.createDataFrame([(t,) for t in terms], "term string").select(term_part(F.col("term"))).distinct().collect()
-
-
 def _shifted(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda x: x - by)
 
