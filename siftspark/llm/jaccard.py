@@ -237,8 +237,8 @@ def join_region(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, n
     return np.minimum(i, j), np.maximum(i, j), s
 
 
-def _regions(threshold: float, links: bool):
-    """From rows sorted by pivot: (doc_a, doc_b, similarity) of each region; with links, just as many pairs as connect its groups."""
+def _regions(threshold: float, links: bool, order, n_gram: int):
+    """From rows (pivot, doc_id, text) sorted by pivot: (doc_a, doc_b, similarity) of each region; with links, just as many pairs as connect its groups."""
 
     def solve(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         same: dict[bytes, list[int]] = {}
@@ -271,19 +271,22 @@ def _regions(threshold: float, links: bool):
             a, b, s = (np.concatenate(x) for x in zip(*parts))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["doc_a", "doc_b", "jaccard"])
 
-        pivot, ids, sets, parts, n = None, [], [], [], 0
+        pivot, ids, sets, parts, n, table = None, [], [], [], 0, Powers()
         for batch in batches:
-            for p, d, raw in zip(batch.column("pivot").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("keys")):
-                if p != pivot:
-                    if len(ids) > 1:
-                        parts.append(solve(np.array(ids), sets))
-                        n += len(parts[-1][0])
-                        if n > 100_000:
-                            yield batch_of(parts)
-                            parts, n = [], 0
-                    pivot, ids, sets = p, [], []
-                ids.append(d)
-                sets.append(np.frombuffer(raw.as_buffer(), np.uint64))
+            pivots, docs = batch.column("pivot").to_pylist(), batch.column("doc_id").to_pylist()
+            for a, keys, offsets in ngram_sets(batch.column("text"), table, order.value, n_gram):
+                for i in range(a, a + len(offsets) - 1):
+                    if pivots[i] != pivot:
+                        if len(ids) > 1:
+                            parts.append(solve(np.array(ids), sets))
+                            n += len(parts[-1][0])
+                            if n > 100_000:
+                                yield batch_of(parts)
+                                parts, n = [], 0
+                        pivot, ids, sets = pivots[i], [], []
+                    if offsets[i - a + 1] > offsets[i - a]:
+                        ids.append(docs[i])
+                        sets.append(keys[offsets[i - a] : offsets[i - a + 1]].copy())
         if len(ids) > 1:
             parts.append(solve(np.array(ids), sets))
         if parts:
@@ -313,22 +316,6 @@ def connections(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray
     return nodes[root[member]], nodes[member], best[member]
 
 
-def _sets(docs: DataFrame, order, n: int) -> DataFrame:
-    """(pivot, doc_id, keys) of rows (doc_id, text, pivots)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Powers()
-        for batch in batches:
-            ids, pivots = batch.column("doc_id").to_numpy(), batch.column("pivots").to_pylist()
-            for a, keys, offsets in ngram_sets(batch.column("text"), table, order.value, n):
-                rows = [(p, i, keys[offsets[i - a] : offsets[i - a + 1]].tobytes()) for i in range(a, a + len(offsets) - 1) if offsets[i - a + 1] > offsets[i - a] for p in pivots[i]]
-                for at in range(0, len(rows), 2000):
-                    some = rows[at : at + 2000]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array(ids[[r[1] for r in some]]), pa.array([r[2] for r in some], pa.binary())], ["pivot", "doc_id", "keys"])
-
-    return docs.mapInArrow(release(run), "pivot long, doc_id long, keys binary")
-
-
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, links: bool = False) -> DataFrame:
     """(doc_a, doc_b, jaccard) for all doc_a < doc_b with jaccard >= threshold; with links, pairs that connect the same groups, in number
     below the documents of each region. 0 < threshold <= 1."""
@@ -344,8 +331,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, link
     met = written(needed.groupBy("doc_id").agg(F.collect_list("pivot").alias("pivots")), "meetings")
     if (met.agg(F.sum(F.size("pivots"))).first()[0] or 0) <= BROADCAST_ROWS:
         met = F.broadcast(met)
-    regions = _sets(docs.join(met, "doc_id"), order, n).repartition("pivot").sortWithinPartitions("pivot")
-    pairs = regions.mapInArrow(release(_regions(threshold, links)), "doc_a long, doc_b long, jaccard double")
+    # A text is half as long as its set of hashes and compresses, so texts travel and regions hash them.
+    regions = docs.join(met, "doc_id").select(F.explode("pivots").alias("pivot"), "doc_id", "text").repartition("pivot").sortWithinPartitions("pivot")
+    pairs = regions.mapInArrow(release(_regions(threshold, links, order, n)), "doc_a long, doc_b long, jaccard double")
     return pairs.groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
