@@ -1,9 +1,8 @@
-"""Benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark passages in training documents: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, ASCII case aside. The corpus document frequency of every n-gram of the test items is counted over
-all documents; of each `WINDOW` neighbouring n-grams that occur at all, an item's rarest is a seed. Documents that share a seed with an
-item are aligned with it (match +2, mismatch and gap -1) on every stretch that an alignment through a seed can reach, and the score is
-divided by that of the whole item. The test items are taken in chunks of `CHUNK_WORDS` words, so what is sent to the executors is bounded;
+Words are runs of letters and digits, ASCII case aside. Every trigram of a test item is a seed, and of items of fewer than `SHORT` words every
+bigram, as edits may leave those no whole trigram. Documents that share a seed with an item are aligned with it (match +2, mismatch and gap -1) on every stretch that an alignment through a seed can reach, and the score is
+divided by that of the whole item. A copy without a whole n-gram isn't found. The test items are taken in chunks of `CHUNK_WORDS` words, so what is sent to the executors is bounded;
 a larger benchmark takes more passes over the documents.
 
 Defined results: items of fewer than `MIN_WORDS` words are too short to be evidence and match nothing; null or empty texts match nothing; repeated
@@ -25,7 +24,7 @@ from .shared import written
 from .tokens import gather
 
 N = 3
-WINDOW = 3
+SHORT, SHORT_N = 16, 2
 MIN_WORDS = 8
 THRESHOLD = 0.5
 CHUNK_WORDS = 4_000_000
@@ -36,40 +35,31 @@ _FILTER_BITS = 22
 
 
 class Items:
-    """A chunk of the benchmark as word hashes."""
+    """A chunk of the benchmark as word hashes, and the places of its seeds in order of their grams."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         data, offsets = buffers(pa.array([r[1] for r in rows], pa.string()))
         self.words, doc, _, _ = word_hashes(data, offsets, Powers(), NON_ALNUM, FOLDED_CODES)
         self.offsets = segments(doc, len(rows))
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
-        long = np.diff(self.offsets) >= MIN_WORDS
-        grams, at = ngram_hashes(self.words, doc, N)
-        keep = long[doc[at]]
-        self.item, self.at = doc[at][keep], (at - self.offsets[doc[at]])[keep]
-        self.grams, self.gram = np.unique(grams[keep], return_inverse=True)
-
-    def with_seeds(self, frequency: np.ndarray) -> Items:
-        """Leaves the seeds of grams, item and at."""
-        n = frequency[self.gram].astype(np.float64)
-        rank = np.where(n > 0, n, np.inf)
-        seed = np.zeros(len(rank), dtype=bool)
-        for start, end in zip(*self._runs()):
-            r = rank[start:end]
-            w = min(WINDOW, len(r))
-            views = np.lib.stride_tricks.sliding_window_view(r, w)
-            best = views.argmin(axis=1) + np.arange(len(views))
-            seed[start + best[np.isfinite(r[best])]] = True
-        self.item, self.at = self.item[seed], self.at[seed]
-        self.grams, self.gram = np.unique(self.grams[self.gram[seed]], return_inverse=True)
-        order = np.argsort(self.gram, kind="stable")
-        self.item, self.at = self.item[order], self.at[order]
-        self.owners = segments(self.gram[order], len(self.grams))
-        return self
-
-    def _runs(self) -> tuple[np.ndarray, np.ndarray]:
-        head = np.flatnonzero(np.append(True, self.item[1:] != self.item[:-1])) if len(self.item) else np.zeros(0, np.int64)
-        return head, np.append(head[1:], len(self.item)) if len(head) else head
+        length = np.diff(self.offsets)
+        short = length < SHORT
+        self.sizes: list[int] = []
+        grams, item, at = [], [], []
+        for n, some in ((N, ~short), (SHORT_N, short & (length >= MIN_WORDS))):
+            g, place = ngram_hashes(self.words, doc, n)
+            keep = some[doc[place]]
+            if keep.any():
+                self.sizes.append(n)
+                grams.append(g[keep])
+                item.append(doc[place][keep])
+                at.append((place - self.offsets[doc[place]])[keep])
+        every = np.concatenate([np.zeros(0, dtype=np.uint64), *grams])
+        self.grams, gram = np.unique(every, return_inverse=True)
+        order = np.argsort(gram, kind="stable")
+        self.item = np.concatenate([np.zeros(0, dtype=np.int64), *item])[order].astype(np.int32)
+        self.at = np.concatenate([np.zeros(0, dtype=np.int64), *at])[order].astype(np.int32)
+        self.owners = segments(gram[order], len(self.grams))
 
 
 def gram_filter(grams: np.ndarray) -> np.ndarray:
@@ -126,29 +116,6 @@ def align(texts: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    shared = docs.sparkSession.sparkContext.broadcast(items.grams)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, table = shared.value, Powers()
-        bits, total = gram_filter(grams), np.zeros(len(grams), dtype=np.int64)
-        for batch in batches:
-            data, offsets = buffers(batch.column(0))
-            for a, b in slices(offsets):
-                h, doc, _, _ = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table, NON_ALNUM, FOLDED_CODES)
-                g, at = ngram_hashes(h, doc, N)
-                where, k = lookup(g, grams, bits)
-                seen = np.unique(doc[at[where]] * len(grams) + k)
-                total += np.bincount(seen % max(1, len(grams)), minlength=len(grams))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["gram", "n"])
-
-    out = np.zeros(len(items.grams), dtype=np.int64)
-    for r in docs.select("text").mapInArrow(release(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        out[r.gram] = r.n
-    return out
-
-
 def _matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -163,13 +130,18 @@ def _matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
             texts, passages = [], []
             for a, b in slices(offsets):
                 h, doc, _, _ = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table, NON_ALNUM, FOLDED_CODES)
-                g, at = ngram_hashes(h, doc, N)
-                where, k = lookup(g, it.grams, bits)
-                if not len(where):
+                places, known = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+                for n in it.sizes:
+                    g, at = ngram_hashes(h, doc, n)
+                    where, k = lookup(g, it.grams, bits)
+                    places.append(at[where])
+                    known.append(k)
+                k = np.concatenate(known)
+                if not len(k):
                     continue
                 each = np.diff(it.owners)[k]
                 hits = gather(it.owners[:-1][k], each)
-                word, item = np.repeat(at[where], each), it.item[hits]
+                word, item = np.repeat(np.concatenate(places), each), it.item[hits]
                 d, bounds = doc[word], segments(doc, b - a)
                 left = np.maximum(word - it.at[hits] - reach[item], bounds[d])
                 right = np.minimum(word - it.at[hits] + length[item] + reach[item], bounds[d + 1])
@@ -214,8 +186,7 @@ def pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, c
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score int, ratio double")
     for rows in _chunks(benchmark, chunk_words):
-        items = Items(rows)
-        out = out.unionByName(_matches(docs, items.with_seeds(_frequencies(docs, items)), threshold))
+        out = out.unionByName(_matches(docs, Items(rows), threshold))
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.round(F.max("ratio"), 6).alias("ratio"))
 
 

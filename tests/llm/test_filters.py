@@ -138,6 +138,22 @@ def test_benchmark_passages(spark):
     assert decontam.pairs(docs, benchmark.limit(0)).count() == 0 and decontam.pairs(docs.limit(0), benchmark).count() == 0
 
 
+def test_edited_copies_beside_exact_ones(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(5000)]
+    for n in (8, 15, 25):
+        items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i in range(100)]
+        rows, want = [(1000 + i, t) for i, t in items], set()
+        for i, t in items:
+            w = [rng.choice(vocabulary) if rng.random() < 0.28 else x for x in t.split()]
+            rows.append((i, " ".join(w)))
+            if align_by_hand(w, t.split()) >= decontam.THRESHOLD * 2 * n:
+                want.add((i, i))
+        got = decontam.pairs(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+        got = {(r.doc_id, r.item_id) for r in got if r.doc_id < 1000}
+        assert len(want) > 50 and got <= want and len(got) >= 0.98 * len(want), n
+
+
 def test_personal_data(spark):
     cases = {
         "write to a.b+c@mail.example.com, please": [("email", "a.b+c@mail.example.com")], "no@host and @handle or a@b": [], "see https://x.org/a?b=1.": [("address", "https://x.org/a?b=1")],
