@@ -39,20 +39,25 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 
 def automaton():
+    """Anchors of a text in ASCII lower case."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
     a.add_word("@", ("@", 1))
     for kind, words in (("scheme", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for w in words:
-            for form in {w, w.upper(), w.capitalize(), w.title()}:
-                a.add_word(form, (kind, len(w)))
+            a.add_word(w, (kind, len(w)))
     for d in DIGITS:
         a.add_word(d, ("digit", 1))
     a.make_automaton()
     return a
 
 
+def folded(text: str) -> str:
+    """ASCII lower case, which leaves all offsets as they are: bytes.lower() knows no other letters."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def _host(text: str, start: int) -> int:
     """End of a valid host name that begins at start, or start."""
     n, end = len(text), start
@@ -197,7 +202,7 @@ def cued(text: str, end: int, kind: str) -> tuple[int, int] | None:
 def find(text: str, anchors) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     done = 0
-    for last, (kind, size) in anchors.iter(text):
+    for last, (kind, size) in anchors.iter(folded(text)):
         start = last + 1 - size
         if start < done:
             continue

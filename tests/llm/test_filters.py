@@ -174,3 +174,15 @@ def test_personal_data(spark):
             assert r.text == want
     assert [(r.text, r.spans) for r in got if r.doc_id == 97] == [(None, [])]
     assert pii.redact(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_cues_in_any_case():
+    anchors = pii.automaton()
+    value = "abcdef1234567890abcd"
+    for cue in ("API key: ", "API Key: ", "apiKey=", "ApiKey: ", "Api_Key = ", "PassWord: ", "API_key: "):
+        text = f"İİ {cue}{value}."
+        assert [(k, text[a:b]) for k, a, b in pii.find(text, anchors)] == [("secret", value)], cue
+    for cue in ("Customer ID: ", "Member ID ", "CUSTOMER No. ", "Iban: "):
+        text = f"İ {cue}AB123456, x"
+        assert [(k, text[a:b]) for k, a, b in pii.find(text, anchors)] == [("account", "AB123456")], cue
+    assert [k for k, *_ in pii.find("HtTpS://X.org/a", anchors)] == ["address"]
