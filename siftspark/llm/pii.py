@@ -7,7 +7,7 @@ anchors inside it are passed over. Kinds:
 email    local@host, local part of RFC 5322 atoms, host of at least two labels, last one alphabetic
 address  scheme://host..., or an IPv4 address of four numbers up to 255
 phone    an international number: + and 8 to 15 digits with single separators or brackets
-account  13 to 19 digits in one run or groups of four; an IBAN by its check digits; ddd-dd-dddd; or a value of at least 6 letters and digits, one
+account  13 to 19 digits in one run; the longest of groups of 4-4-4-4-3, 4-4-4-4, 4-6-5 or 4-6-4 digits whose check digit holds; an IBAN by its check digits; ddd-dd-dddd; or a value of at least 6 letters and digits, one
          of them a digit, after a cue such as `account no.`
 secret   a value of at least 16 letters and digits, one of each, after a cue such as `token =`
 
@@ -17,6 +17,7 @@ done each by itself; only doc_id and text are looked at.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,8 @@ _VALUE = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _SPACE_END = frozenset(" \t\n\r\f\v\"'<>`")
 #: Most characters of a local part, a host and a cue's gap before its value, by the standards or the grammar here.
 LOCAL, HOST_LENGTH, GAP = 64, 253, 12
+#: Card numbers in groups, the longest first.
+_GROUPS = tuple(re.compile(" ".join(f"[0-9]{{{n}}}" for n in sizes) + "(?![0-9])") for sizes in ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4)))
 OUT = "doc_id long, text string, spans array<struct<kind:string,start:int,end:int>>, n_spans int"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -145,12 +148,12 @@ def number(text: str, at: int) -> tuple[str, int, int, int]:
             return "account", at, end, end
         digits = raw.replace("-", "")
         last = end
-        if digits.isdigit() and len(digits) == 4:  # groups of four
-            while text[last : last + 1] == " " and text[last + 1 : last + 5].isdigit() and len(text[last + 1 : last + 5]) == 4 and len(digits) < 20:
-                digits += text[last + 1 : last + 5]
-                last += 5
-            if text[last : last + 1].isdigit() or not _luhn(digits):
-                digits, last = "", end
+        if raw.isdigit() and len(raw) == 4:
+            for layout in _GROUPS:
+                m = layout.match(text, at)
+                if m and _luhn(m.group().replace(" ", "")):
+                    digits, last = m.group().replace(" ", ""), m.end()
+                    break
         if digits.isdigit() and digits.isascii() and 13 <= len(digits) <= 19:
             return "account", at, last, last
     if after.isalnum() or before.isalnum():
@@ -195,7 +198,7 @@ def cued(text: str, end: int, kind: str) -> tuple[int, int] | None:
     if kind == "secret":
         good = len(value) >= 16 and 0 < digits < len(value) and (marks or len(value) >= 20)
     else:
-        good = len(value) >= 6 and digits >= max(1, len(value) // 2)
+        good = digits >= 1 and sum(c not in "_-" for c in value) >= 6
     return (start, start + len(value)) if good else None
 
 

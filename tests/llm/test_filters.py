@@ -186,3 +186,13 @@ def test_cues_in_any_case():
         text = f"İ {cue}AB123456, x"
         assert [(k, text[a:b]) for k, a, b in pii.find(text, anchors)] == [("account", "AB123456")], cue
     assert [k for k, *_ in pii.find("HtTpS://X.org/a", anchors)] == ["address"]
+
+
+def test_cards_in_groups_and_cued_values():
+    anchors = pii.automaton()
+    cases = {
+        "4111 1111 1111 1111 2027": ["4111 1111 1111 1111"], "account 4111 1111 1111 1111 2027": ["4111 1111 1111 1111"], "2026 4111 1111 1111 1111 12": ["4111 1111 1111 1111"], "amex 3782 822463 10005.": ["3782 822463 10005"],
+        "3056 930902 5904 x": ["3056 930902 5904"], "4111 1111 1111 1112 2027": [], "3782 822463 10006": [], "4111 1111 1111 11110": [], "member id: ABCDEFG7": ["ABCDEFG7"], "member id: AB-1-C": [], "customer no: ABCDEFGH": [],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for _, a, b in pii.find(text, anchors)] == want, text
