@@ -9,7 +9,8 @@ tags are not features, so that pages without them are read alike. At most `max_p
 and of no more than `MAX_BLOCKS` blocks; extraction covers every page and every block.
 
 Defined results: a null html gives a null text and no blocks; an html without text gives an empty text; without labelled pages every block is content;
-unclosed tags end with their parent and a tag cut off by the end of the page is dropped with what follows; repeated rows are extracted each by itself; only page_id and html are looked at; an empty table gives no rows.
+unclosed tags end with their parent, an unclosed head with the first thing that belongs to a body, an unclosed svg with the first block-level tag too,
+an unclosed noscript, template or iframe hides nothing, and a tag cut off by the end of the page is dropped with what follows; repeated rows are extracted each by itself; only page_id and html are looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ ROUNDS = 120
 L2 = 1e-3
 OUT = "page_id long, text string, n_blocks int, n_content int"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
 _UNENDED = re.compile(r"<[a-zA-Z/!?]")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -41,6 +42,10 @@ _GOLD = frozenset(("article", "main"))
 _OUTSIDE = frozenset(("nav", "aside", "header", "footer", "form"))
 _TAGS = "address aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li menu nav ol p pre section select summary table tbody td th tr ul".split()
 _TAG_NUMBER = {t: i for i, t in enumerate(_TAGS)}
+#: What these hold is no text of the page.
+_HIDING = frozenset(("head", "svg", "noscript", "template", "iframe"))
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+_BLOCKS = frozenset(_TAGS) | _GOLD | {"body"}
 _N_TAGS, _N_NAMES = len(_TAGS) + 1, 64
 _TEXT_AT = 2 * _N_TAGS + _N_NAMES
 _WORDS = np.array([2, 4, 8, 16, 32, 64])
@@ -64,6 +69,13 @@ def blocks_of(page: str) -> list[Block]:
     linked, in_link = 0, False
     ancestors: list[int] | None = None
     gold = False
+    hiding, inner = "", []  # the open tag that hides its content, and the open ones in it
+    ends_at: dict[str, int] = {}  # the last end tag of a kind
+
+    def closed_after(tag: str, place: int) -> bool:
+        if tag not in ends_at:
+            ends_at[tag] = max((m.start() for m in re.finditer(rf"</{tag}\s*>", page, re.I)), default=-1)
+        return ends_at[tag] >= place
 
     def close() -> None:
         nonlocal linked, in_link, ancestors, gold
@@ -85,14 +97,41 @@ def blocks_of(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page, 0, closed):
         if m.start() > at:
             run = page[at : m.start()]
-            parts.append(run)
-            if in_link:
-                linked += len(run.strip())
+            if hiding == "head" and not inner and run.strip():
+                hiding = ""
+            if not hiding:
+                parts.append(run)
+                if in_link:
+                    linked += len(run.strip())
         at = m.end()
         tag = m.group(3)
         if tag is None:
             continue
         tag, ends = tag.lower(), m.group(2) == "/"
+        if hiding:
+            if ends:
+                if tag == hiding:
+                    hiding = ""
+                    continue
+                if tag in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                    continue
+                if tag not in stack:
+                    continue
+                hiding = ""  # its parent ends
+            elif hiding == "head" and (tag == "body" or (tag not in _HEAD and tag != "head" and "noscript" not in inner and "template" not in inner)):
+                hiding = ""
+            elif hiding == "svg" and tag in _BLOCKS and "foreignobject" not in inner:
+                hiding = ""
+            else:
+                if tag not in _VOID and not m.group(4).endswith("/") and (tag not in _HIDING or closed_after(tag, at)):
+                    inner.append(tag)
+                continue
+        if tag in _HIDING:
+            if not ends and not m.group(4).endswith("/") and (tag in ("head", "svg") or closed_after(tag, at)):
+                hiding = tag
+                inner.clear()
+            continue
         if tag in _INLINE:
             if tag == "a":
                 in_link = not ends
@@ -112,7 +151,9 @@ def blocks_of(page: str) -> list[Block]:
             stack.append(tag)
             rest = m.group(4)
             named.append([zlib.crc32(w.lower().encode()) % _N_NAMES for x in _NAMES.findall(rest) for w in re.split(r"[\s_-]+", "".join(x)) if w] if rest else [])
-    parts.append(_UNENDED.split(page[at:], maxsplit=1)[0])
+    rest = _UNENDED.split(page[at:], maxsplit=1)[0]
+    if not hiding or (hiding == "head" and not inner):
+        parts.append(rest)
     close()
     for i, b in enumerate(out):  # place in the page
         b.features.append(N_FEATURES - 3 + (0 if i < 2 else 2 if i >= len(out) - 2 else 1))

@@ -144,3 +144,14 @@ def test_page_edges(spark):
     assert got == [(0, 1), (1, 0), (2, 0), (3, 1), (4, 1), (4, 3), (5, 20_000), (6, 0), (7, 0)]
     assert {r.page_id: r.text for r in dom_crf.extract(df.filter("page_id < 4"), None).collect()} == {1: None, 2: "", 3: "no tags, just text"}
     assert dom_crf.extract(df.limit(0), None).count() == 0
+
+
+def test_unclosed_tags_lose_no_text():
+    cases = {
+        "<html><head><title>t</title><body><p>text": ["text"], "<head><meta x><title>t</title><p>text</p>": ["text"], "<head><title>t</title>text": ["text"], "<head><title>t<body>text": ["text"],
+        "<head><noscript><img src=x><p>n</noscript><title>t</title></head><p>text": ["text"], "<div><svg><path d=x><text>5</div><p>text": ["text"], "<body><svg><path><p>text": ["text"],
+        "<p>a <svg><g><a>x</a></g></svg> b": ["a b"], "<svg/><p>text": ["text"], "<noscript><p>text": ["text"], "<template><p>text": ["text"], "<iframe src=x><p>text": ["text"], "<div><iframe>x</div><p>text": ["x", "text"],
+        "<p>a<noscript><p>n</noscript>b": ["ab"], "<p>a<iframe><p>n</p></iframe> b": ["a b"], "<svg><foreignObject><div>x</div></foreignObject></svg><p>b": ["b"], "<p>a<script>x<b>": ["a"], "<p>a<textarea><p>x<b>": ["a"],
+    }
+    for page, want in cases.items():
+        assert [b.text for b in dom_crf.blocks_of(page)] == want, page
