@@ -172,7 +172,7 @@ def text_features(text: str, links: float) -> list[int]:
         out.append(marks + 2)
     if "©" in text or "|" in text or "·" in text:
         out.append(marks + 3)
-    if sum(map(str.isdigit, text[:200])) * 5 > min(len(text), 200):
+    if sum(map(str.isdigit, text)) * 5 > len(text):
         out.append(marks + 4)
     return out
 

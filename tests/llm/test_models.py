@@ -155,3 +155,9 @@ def test_unclosed_tags_lose_no_text():
     }
     for page, want in cases.items():
         assert [b.text for b in dom_crf.blocks_of(page)] == want, page
+
+
+def test_digits_count_over_the_whole_block():
+    mark = dom_crf.text_features("12345", 0)[-1]
+    assert mark in dom_crf.text_features("word " * 50 + "123456789 " * 50 + "x", 0)
+    assert mark not in dom_crf.text_features("123456789 " * 20 + "word " * 400 + "x", 0)
