@@ -2,17 +2,20 @@
 
 The statistics of a text are Spark expressions. Sequential covering runs on the driver over the labelled rows' statistics: a rule grows by the
 condition of highest FOIL gain on two thirds of the rows until it covers no good row, is pruned from its end on the other third by (p - n) / (p + n),
-and joins the list when its precision there is at least `min_precision` and it covers `min_cover` bad rows there; rows that it covers are then taken away.
+and joins the list when its precision there is at least `min_precision` and it covers enough bad rows there: a tenth of them, but no fewer than 2 and no more than `min_cover`; rows that it covers are then taken away. Both
+parts have the classes in like shares.
 The list is emitted as one CASE WHEN over the statistics: the first rule that holds rejects a document, none keeps it.
 
-At most `max_labelled` labelled rows are learned from, those of the lowest hash of doc_id; scoring covers all rows.
+At most `max_labelled` labelled rows are learned from, those of the lowest hash of doc_id in each class; a class rarer than a tenth fills a tenth of them
+as far as it goes, and precision is then weighted back to all labels. Scoring covers all rows.
 
 Defined results: a null or empty text has all statistics 0 and is judged by them; labels that are null or of unknown documents are passed over; labels of
-one class, or none, give an empty list, which keeps everything; repeated rows are judged each by itself; the input's columns other than text don't matter.
+one class, or none, and fewer than 6 bad ones, give an empty list, which keeps everything (with a warning if there are bad ones); repeated rows are judged each by itself; the input's columns other than text don't matter.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,29 +111,32 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray, max_conditions: int = MAX_CO
     return tuple(rule)
 
 
-def prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
+def prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray, weight: float = 1.0) -> Rule:
     def worth(r: Rule) -> float:
         c = covers(r, x)
-        p, n = int(bad[c].sum()), int((~bad[c]).sum())
+        p, n = int(bad[c].sum()), weight * int((~bad[c]).sum())
         return (p - n) / (p + n) if p + n else -1.0
 
     return max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)), default=())
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = MIN_PRECISION, min_cover: int = MIN_COVER) -> list[Rule]:
-    """Rules for the rows that are bad. Every third row prunes."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = MIN_PRECISION, min_cover: int = MIN_COVER, weight: float = 1.0) -> list[Rule]:
+    """Rules for the rows that are bad. Every third row of each class prunes; a good row stands for `weight` ones."""
     rules: list[Rule] = []
     left = np.ones(len(bad), dtype=bool)
-    third = np.arange(len(bad)) % 3 == 2
+    third = np.zeros(len(bad), dtype=bool)
+    for c in (bad, ~bad):
+        third[np.flatnonzero(c)[2::3]] = True
+    least = min(min_cover, max(2, -(-int((bad & third).sum()) // 10)))
     while len(rules) < MAX_RULES and bad[left].any() and not bad[left].all():
         g, q = left & ~third, left & third
         rule = grow({k: v[g] for k, v in x.items()}, bad[g])
-        rule = prune(rule, {k: v[q] for k, v in x.items()}, bad[q]) if rule else ()
+        rule = prune(rule, {k: v[q] for k, v in x.items()}, bad[q], weight) if rule else ()
         if not rule:
             break
         c = covers(rule, x)
         p, n = int(bad[c & q].sum()), int((~bad[c & q]).sum())
-        if p < min_cover or p / (p + n) < min_precision:
+        if p < least or p / (p + weight * n) < min_precision:
             break
         rules.append(rule)
         left &= ~c
@@ -140,11 +146,21 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = MIN_
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, min_precision: float = MIN_PRECISION, min_cover: int = MIN_COVER) -> list[Rule]:
     """Rules from labels (doc_id, quality); quality 0 is bad."""
     some = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("_quality"))
-    some = F.broadcast(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # bounded by max_labelled
+    of = {r[0]: r[1] for r in some.groupBy(F.col("_quality") == 0).count().collect()}
+    n_bad, n_good = of.get(True, 0), of.get(False, 0)
+    share = round(max_labelled * n_bad / max(1, n_bad + n_good))
+    bad = min(n_bad, max(max_labelled // 10, min(share, max_labelled - min(n_good, max_labelled // 10))))
+    good = min(n_good, max_labelled - bad)
+    first = lambda c, n: some.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    some = F.broadcast(first("_quality = 0", bad).unionByName(first("_quality <> 0", good)))  # bounded by max_labelled
+    weight = (n_good / good) / (n_bad / bad) if good and bad else 1.0
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id")
     rows = with_statistics(docs, ["doc_id", "_quality"]).orderBy(F.xxhash64("doc_id"), "doc_id", "q_n_words", "q_mean_word").toPandas()
     x = {k: rows[f"q_{k}"].to_numpy(np.float64) for k in statistics()}
-    return learn(x, rows["_quality"].to_numpy() == 0, min_precision, min_cover)
+    rules = learn(x, rows["_quality"].to_numpy() == 0, min_precision, min_cover, weight)
+    if bad and not rules:
+        warnings.warn(f"no rule holds on {bad} bad and {good} good labelled rows: every document is kept", stacklevel=2)
+    return rules
 
 
 def rule_number(rules: list[Rule]) -> Column:

@@ -196,3 +196,15 @@ def test_cards_in_groups_and_cued_values():
     }
     for text, want in cases.items():
         assert [text[a:b] for _, a, b in pii.find(text, anchors)] == want, text
+
+
+def test_rules_from_few_or_rare_bad_labels(spark):
+    rows, labels = labelled(1200, 4)
+    bad, good = [i for i, q, _ in labels if not q], [i for i, q, _ in labels if q]
+    df, schema = spark.createDataFrame(rows, "doc_id bigint, text string").cache(), "doc_id bigint, quality int"
+    for few, many, most in ((12, 80, 20_000), (40, 600, 120)):
+        some = spark.createDataFrame([(i, 0) for i in bad[:few]] + [(i, 1) for i in good[:many]], schema)
+        rules = decision_list.train(df, some, max_labelled=most)
+        assert rules, few
+        judged = {r.doc_id: r.keep for r in decision_list.judge(df, rules).collect()}
+        assert np.mean([judged[i] for i in good]) > 0.95 and np.mean([not judged[i] for i in bad]) > 0.5
