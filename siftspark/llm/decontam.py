@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import FOLDED_CODES, NON_ALNUM, Powers, buffers, ngram_hashes, release, segments, slices, word_hashes
+from .kernels import NON_ALNUM, buffers, ngram_hashes, release, segments, slices, word_hashes
 from .shared import written
 from .tokens import gather
 
@@ -39,7 +39,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         data, offsets = buffers(pa.array([r[1] for r in rows], pa.string()))
-        self.words, doc, _, _ = word_hashes(data, offsets, Powers(), NON_ALNUM, FOLDED_CODES)
+        self.words, doc, _, _ = word_hashes(data, offsets, NON_ALNUM, fold=True)
         self.offsets = segments(doc, len(rows))
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         length = np.diff(self.offsets)
@@ -120,7 +120,7 @@ def _matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it, table = shared.value, Powers()
+        it = shared.value
         bits, length = gram_filter(it.grams), np.diff(it.offsets)
         reach = np.ceil((1 - threshold) * MATCH * length / -GAP).astype(np.int64)
         for batch in batches:
@@ -129,7 +129,7 @@ def _matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
             found: list[tuple[int, int]] = []
             texts, passages = [], []
             for a, b in slices(offsets):
-                h, doc, _, _ = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table, NON_ALNUM, FOLDED_CODES)
+                h, doc, _, _ = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NON_ALNUM, fold=True)
                 places, known = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
                 for n in it.sizes:
                     g, at = ngram_hashes(h, doc, n)

@@ -15,7 +15,6 @@ SLICE_BYTES = 1 << 20
 #: Text of a batch that is worked on at a time by operators whose results are larger than it.
 PORTION_BYTES = 1 << 22
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def byte_classes(separators: bytes) -> np.ndarray:
@@ -27,33 +26,11 @@ def byte_classes(separators: bytes) -> np.ndarray:
 SPACE = byte_classes(b" \t\n\x0b\f\r")
 #: Every ASCII byte that is neither a letter nor a digit.
 NON_ALNUM = byte_classes(bytes(b for b in range(128) if not chr(b).isalnum()))
-_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_FOLD = np.arange(256)
+_FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-FOLDED_CODES = _CODES[_FOLD]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and of its inverse."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for b in (_BASE, inverse):
-        p = np.full(n, b, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
-class Powers:
-    """Grows on demand; one per task."""
-
-    def __init__(self) -> None:
-        self.p, self.i = powers(SLICE_BYTES + 1)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.p):
-            self.p, self.i = powers(n + 1)
-        return self.p, self.i
+#: Bytes that stay of an 8-byte chunk of which the first k belong to a span.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_PLACE, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -109,8 +86,8 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, table: Powers, separators: np.ndarray = SPACE, codes: np.ndarray = _CODES):
-    """(64-bit hash, document index, first byte, end byte) of every maximal run of non-separator bytes, in order."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: bool = False):
+    """(64-bit hash, document index, first byte, end byte) of every maximal run of non-separator bytes, in order; with fold, ASCII case aside."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, dtype=np.int64)
@@ -125,14 +102,25 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: Powers, separators
     last[tails] = word[tails]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     doc = np.repeat(np.arange(len(lengths)), np.add.reduceat(np.append(first, False).astype(np.int32), np.append(offsets[:-1], n).clip(max=n))[: len(lengths)] * (lengths > 0))
-    return span_hashes(data, start, end, table, codes), doc, start, end
-
-
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: Powers, codes: np.ndarray = _CODES) -> np.ndarray:
-    p, inv = table.get(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(codes[data] * p[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64))
+    return span_hashes(_FOLD[data] if fold else data, start, end), doc, start, end
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each data[start:end], none empty. Each chunk of 8 bytes is mixed with its place by itself, so no algebra of the bytes collides."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    chunk = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the 8 bytes from each byte on
+    length, salt = end - start, mix(np.array([seed + 1], dtype=np.uint64))
+    out = mix((chunk[start] & _MASKS[np.minimum(length, 8)]) + salt)
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        more = (length[long] - 1) >> 3
+        ends = np.cumsum(more)
+        k = np.arange(int(ends[-1])) - np.repeat(ends - more, more) + 1
+        at = np.repeat(start[long], more) + 8 * k
+        part = mix((chunk[at] & _MASKS[np.minimum(np.repeat(end[long], more) - at, 8)]) + salt + k.astype(np.uint64) * _PLACE)
+        out[long] += np.add.reduceat(mix(part + k.astype(np.uint64)), ends - more)
+    return mix(out + length.astype(np.uint64) * _LENGTH)
 
 
 def ngram_hashes(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,8 +5,8 @@ blocks of `BLOCK_TOKENS`; each block is coded by itself with `LANES` interleaved
 i mod LANES), so blocks can be decoded in any order and lanes side by side. Every `CHECKPOINT_STEPS` steps the lane states and
 the place in the word stream are kept, which lets a decoder start inside a block; a CRC-32 of the ids guards each block.
 
-Defined results: a null or empty text gives one block of no tokens; repeated rows give repeated blocks; a null doc_id stays null;
-columns other than doc_id and text aren't looked at; an empty table gives only the row of the frequency table.
+Defined results: a null or empty text gives one block of no tokens; a very long text gives as many blocks as it takes; repeated rows give repeated
+blocks; a null doc_id stays null; equally frequent tokens have equal shares, the lowest id any rest; columns other than doc_id and text aren't looked at; an empty table gives only the row of the frequency table.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import portions, release
+from .kernels import portions, release, slices
 from .shared import written
 from .tokens import VOCABULARY, VOCABULARY_SIZE, gather, tokenizer
 
@@ -105,25 +105,48 @@ def encode_blocks(ids: np.ndarray, first: np.ndarray, size: np.ndarray, freq: np
     return out
 
 
-def decode_block(states: bytes, payload: bytes, n_tokens: int, freq: np.ndarray, first: int = 0) -> np.ndarray:
-    """The ids from token `first` on, which is 0 or where a checkpoint lies, given the states and words from there on."""
-    start = (np.cumsum(freq) - freq).astype(np.uint64)
-    symbol = np.repeat(np.arange(len(freq)), freq.astype(np.int64))
-    x, words, at, mask = np.frombuffer(states, "<u8").astype(np.uint64), np.frombuffer(payload, "<u4").astype(np.uint64), 0, np.uint64((1 << SCALE_BITS) - 1)
-    out = np.empty(n_tokens - first, dtype=np.int64)
-    for i in range(0, n_tokens - first, LANES):
-        k = min(LANES, n_tokens - first - i)
+def symbols(freq: np.ndarray) -> np.ndarray:
+    """The symbol of each of the 2**SCALE_BITS slots."""
+    return np.repeat(np.arange(len(freq)), freq.astype(np.int64))
+
+
+def decode_blocks(states: list[bytes], payloads: list[bytes], n_tokens: np.ndarray, freq: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all blocks, offsets of each block's, whether its words sufficed), all blocks and lanes side by side."""
+    n, size = len(states), np.asarray(n_tokens, dtype=np.int64)
+    start, mask = (np.cumsum(freq) - freq).astype(np.uint64), np.uint64((1 << SCALE_BITS) - 1)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    out, fits = np.zeros(int(offsets[-1]), dtype=np.int64), np.array([len(s) == 8 * LANES and not len(p) % 4 for s, p in zip(states, payloads)], dtype=bool)
+    x = np.frombuffer(b"".join(s if ok else bytes(8 * LANES) for s, ok in zip(states, fits)), "<u8").astype(np.uint64).reshape(n, LANES)
+    words = np.frombuffer(b"".join(p[: len(p) // 4 * 4] for p in payloads) + bytes(4), "<u4").astype(np.uint64)
+    end = np.cumsum([len(p) // 4 for p in payloads])
+    order = np.argsort(-size, kind="stable")
+    x, first, left = x[order], offsets[:-1][order], size[order]
+    at, end = np.concatenate([[0], end[:-1]])[order] if n else end, end[order] if n else end
+    good, lane = fits[order], np.arange(LANES)
+    for t in range(int(-(-left[0] // LANES)) if n else 0):
+        k = int(np.searchsorted(-left, -t * LANES, side="left"))  # blocks with tokens left
+        token = t * LANES + lane
+        live = token < left[:k, None]
         slot = x[:k] & mask
-        sym = symbol[slot.astype(np.int64)]
-        out[i : i + k] = sym
+        sym = symbol[slot.astype(np.int64)] if len(symbol) else np.zeros(slot.shape, dtype=np.int64)
+        out[(first[:k, None] + token)[live]] = sym[live]
         state = freq[sym] * (x[:k] >> np.uint64(SCALE_BITS)) + slot - start[sym]
-        low = np.flatnonzero(state < LOW)
-        if at + len(low) > len(words):
-            raise ValueError("the words end before the tokens")
-        state[low] = (state[low] << _W) | words[at : at + len(low)]
-        at += len(low)
-        x[:k] = state
-    return out
+        low = live & (state < LOW)
+        place = at[:k, None] + np.cumsum(low, axis=1) - 1
+        good[:k] &= at[:k] + low.sum(axis=1) <= end[:k]
+        state = np.where(low, (state << _W) | words[np.minimum(place, len(words) - 1).clip(min=0)], state)
+        at[:k] += low.sum(axis=1)
+        x[:k] = np.where(live, state, x[:k])
+    fits[order] = good
+    return out, offsets, fits
+
+
+def decode_block(states: bytes, payload: bytes, n_tokens: int, freq: np.ndarray, first: int = 0) -> np.ndarray:
+    """The ids from token `first` on, which is 0 or where a checkpoint lies, given the states and words from there on."""
+    ids, _, fits = decode_blocks([states], [payload], np.array([n_tokens - first]), freq, symbols(freq))
+    if not fits.all():
+        raise ValueError("the words end before the tokens")
+    return ids
 
 
 def checkpoints_of(record: bytes) -> list[tuple[int, int, bytes]]:
@@ -214,25 +237,47 @@ def decode(blocks: DataFrame, spark: SparkSession | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
+        symbol = symbols(freq)
         for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for r in rows:
-                try:
-                    ids = decode_block(r["states"], r["payload"], r["n_tokens"], freq)
-                except ValueError:
-                    ids = None
-                if ids is None or zlib.crc32(ids.astype("<u4").tobytes()) != r["crc32"]:
-                    raise ValueError(f"checksum of block {r['block']} of document {r['doc_id']}")
-                out.append(ids.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["block"] for r in rows], pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "block", "ids"])
+            each = batch.column("n_tokens").to_numpy()
+            for a, b in slices(np.concatenate([[0], np.cumsum(each)]), GROUP_TOKENS):
+                part = batch.slice(a, b - a)
+                states, payloads, crc = (part.column(c).to_pylist() for c in ("states", "payload", "crc32"))
+                ids, offsets, fits = decode_blocks(states, payloads, each[a:b], freq, symbol)
+                raw = ids.astype("<u4")
+                for k, (i, j) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    if not fits[k] or zlib.crc32(raw[i:j].tobytes()) != crc[k]:
+                        raise ValueError(f"checksum of block {part.column('block')[k]} of document {part.column('doc_id')[k]}")
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("block"), lists], ["doc_id", "block", "ids"])
+
+    return blocks.filter("kind = 'block'").mapInArrow(release(run), "doc_id long, block int, ids array<int>")
+
 
-    return blocks.filter("kind = 'block'").mapInArrow(run, "doc_id long, block int, ids array<int>")
+def texts_of(decoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text) of the rows of decode(); a doc_id must not repeat. Gathers no more than a document's blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = tokenizer(vocabulary).encoding
+        for batch in batches:
+            pieces = [encoding.decode_bytes(x) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), pa.array(pieces, pa.binary())], ["doc_id", "block", "bytes"])
+
+    pieces = decoded.mapInArrow(run, "doc_id long, block int, bytes binary").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block", "bytes"))).alias("b"))
+    return pieces.select("doc_id", F.decode(F.aggregate("b.bytes", F.unhex(F.lit("")), lambda x, y: F.concat(x, y)), "UTF-8").alias("text"))
 
 
 def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_rans_tokens": op1_rans_tokens}
-SQL: dict[str, str] = {}
+def rans_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and those whose text isn't what their blocks decode to."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    back = texts_of(decode(written(encode(docs), "blocks"))).withColumnRenamed("text", "again")
+    same = F.coalesce("text", F.lit("")).eqNullSafe(F.col("again"))
+    return docs.join(back, "doc_id", "full").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(~same, 1)).alias("mismatches"))
+
+
+QUERIES = {"op1_rans_tokens": op1_rans_tokens, "rans_round_trip": rans_round_trip}
+SQL = {"rans_round_trip": "SELECT count(*) AS documents, 0::BIGINT AS mismatches FROM documents"}

@@ -2,7 +2,8 @@
 
 The vocabulary file stays outside the repository; its path is a parameter. A batch is cut before every single space that
 precedes a non-space character. The pre-tokenisation pattern never joins across such a place, so each distinct piece of the
-batch is encoded once and the ids are gathered, which gives the ids of encoding every text by itself.
+batch is encoded once and the ids are gathered, which gives the ids of encoding every text by itself. Pieces are told apart by two
+64-bit hashes; pieces that agree in the first alone are encoded each by itself.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import base64
 import numpy as np
 import pyarrow as pa
 
-from .kernels import SPACE, Powers, buffers, slices, span_hashes
+from .kernels import SPACE, buffers, slices, span_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY_SIZE = 50257
@@ -36,11 +37,10 @@ class Tokenizer:
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.token_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         self.token_bytes[list(ranks.values())] = [len(k) for k in ranks]
-        self.table = Powers()
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known = self.known_check = np.zeros(0, np.uint64)
         self.known_at = self.known_size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
@@ -67,7 +67,7 @@ class Tokenizer:
         return out, sizes
 
     def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes = span_hashes(data, start, end, self.table)
+        hashes, check = span_hashes(data, start, end), span_hashes(data, start, end, 1)
         distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_PIECES:
             self._forget()
@@ -81,10 +81,18 @@ class Tokenizer:
             first = len(self.ids) + np.cumsum(sizes) - sizes
             self.ids = np.concatenate([self.ids, ids])
             self.known = np.insert(self.known, place[new], distinct[new])
+            self.known_check = np.insert(self.known_check, place[new], check[at[new]])
             self.known_at = np.insert(self.known_at, place[new], first)
             self.known_size = np.insert(self.known_size, place[new], sizes)
             place = np.searchsorted(self.known, distinct)
-        return self.known_at[place][inverse], self.known_size[place][inverse]
+        place = place[inverse]
+        first, size = self.known_at[place], self.known_size[place]
+        other = np.flatnonzero(self.known_check[place] != check)
+        if len(other):
+            ids, size[other] = self._encode_new(data.tobytes(), data, start[other], end[other])
+            first[other] = len(self.ids) + np.cumsum(size[other]) - size[other]
+            self.ids = np.concatenate([self.ids, ids])
+        return first, size
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids); null and empty texts have none."""
@@ -115,11 +123,11 @@ def gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
+_KEPT: dict[str, Tokenizer] = {}
+
+
 def tokenizer(path: str = VOCABULARY) -> Tokenizer:
     """The worker's tokenizer: Spark reuses its Python workers, so one is kept for later tasks of the same process."""
-    import tiktoken
-
-    kept = tiktoken.__dict__.setdefault("_kept_tokenizers", {})
-    if path not in kept:
-        kept[path] = Tokenizer(path)
-    return kept[path]
+    if path not in _KEPT:
+        _KEPT[path] = Tokenizer(path)
+    return _KEPT[path]

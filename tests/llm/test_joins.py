@@ -46,11 +46,108 @@ def corpus(seed, n=260):
     return rows
 
 
+def components(nodes, pairs):
+    root = {i: i for i in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in nodes}
+
+
+def classes_by_hand(rows):
+    """Documents of the same n-grams as often, by their lowest doc_id."""
+    out = {}
+    for i, t in rows:
+        w = (t or "").split()
+        if i is not None and w:
+            key = tuple(sorted(tuple(w[k : k + 3]) for k in range(len(w) - 2))) or tuple(w)
+            out.setdefault(key, set()).add(i)
+    return out
+
+
+def pairs_by_hand(rows, threshold):
+    """Pairs of classes by their lowest members, and each class's lowest with its others."""
+    classes = classes_by_hand(rows)
+    lowest = {min(v) for v in classes.values()}
+    text = {i: t for i, t in rows if i in lowest}
+    out = {(min(v), i): 1.0 for v in classes.values() for i in v if i != min(v)}
+    for k, v in by_hand(sorted(text.items()), threshold).items():
+        out[k] = max(out.get(k, 0), v)
+    return out
+
+
+def links_by_hand(rows, threshold):
+    """(class_id, n_links) of each doc_id; no doc_id may have two texts."""
+    pairs = by_hand(rows, threshold)
+    ids = {i for i, _ in rows if i is not None}
+    root = components(ids, pairs)
+    return {i: (root[i], sum(i in p for p in pairs)) for i in ids}
+
+
+CLASHES = ("pivot", "pivots", "keys", "cell", "size", "group_id", "class_id", "places", "block", "rep", "gone", "a.b", "x y")
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit(1) for c in CLASHES})
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9, 1.0])
 def test_join_is_exact(spark, threshold):
-    rows = corpus(3)
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("pivot", "pivots", "keys", "cell", "size", "group_id")})
-    assert {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.jaccard_join(df, threshold).collect()} == by_hand(rows, threshold)
+    rows = [r for r in corpus(3) if r[1] != "other text of the same id"]
+    df = clashing(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.jaccard_join(df, threshold).collect()} == pairs_by_hand(rows, threshold)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(df, threshold).collect()} == links_by_hand(rows, threshold)
+
+
+@pytest.mark.parametrize("hot", [8, 1 << 40])
+def test_large_groups_are_split_exactly(spark, monkeypatch, hot):
+    """n-grams of many documents name their regions, regions are cut into tiles, large classes are broadcast: the same links."""
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(400)}" for _ in range(80)]
+    rows = [r for r in corpus(5, 120) if r[1] != "other text of the same id"]
+    for i in range(1000, 1150):
+        w = list(base)
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(80)] = f"v{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 6000)
+    monkeypatch.setattr(jaccard, "HOT_COPIES", 3)
+    monkeypatch.setattr(jaccard, "BUCKET_CELLS", 2000)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(df, 0.5, hot=hot).collect()} == links_by_hand(rows, 0.5)
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.jaccard_join(df, 0.5, hot=hot).collect()} == pairs_by_hand(rows, 0.5)
+
+
+def test_many_copies_of_one_text(spark):
+    text = " ".join(f"c{i}" for i in range(60))
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 3, F.concat(F.lit(text), F.lit(" end"), F.lit(" of it"))).otherwise(F.lit(text)).alias("text"))
+    got = jaccard.near_duplicates(df).groupBy("class_id", "n_links").count().collect()
+    assert [tuple(r) for r in got] == [(0, 19_999, 20_000)]
+
+
+def test_a_document_of_several_texts_connects_them(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, one), (7, one), (7, two), (9, two), (9, two), (11, "alone here now"), (12, None), (12, ""), (None, one)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {5: (5, 1), 7: (5, 2), 9: (5, 1), 11: (11, 0), 12: (12, 0)}
+    assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_blocks_hold_what_they_were_given():
+    rng = np.random.default_rng(4)
+    for n, top in ((1, 5), (300, 1 << 48), (300, 3), (5000, 1 << 30)):
+        cell = np.sort(rng.integers(0, top, n)).astype(np.uint64)
+        ids, size = rng.integers(0, 1 << 48, 40), rng.integers(1, 1 << 20, 40)
+        who = rng.integers(0, 40, n)
+        c, i, s = jaccard.unpack_block(jaccard.pack_block(cell, ids, size, who))
+        assert (c == cell).all() and (i == ids[who]).all() and (s == size[who]).all()
 
 
 def test_regions_divide_exactly(monkeypatch):
@@ -62,27 +159,21 @@ def test_regions_divide_exactly(monkeypatch):
     for _ in range(300):
         c = centres[rng.integers(12)]
         sets.append(np.unique(np.where(rng.random(40) < 0.15, rng.integers(0, 400, 40), c)).astype(np.uint64))
-    i, j, s = jaccard.join_region(sets, 0.5)
     want = {(a, b) for a in range(300) for b in range(a + 1, 300) if len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.5}
-    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+    for left in (None, 120):
+        found = []
+        jaccard.join_region(sets, 0.5, lambda i, j, s: found.extend(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())), left)
+        expected = want if left is None else {(a, b) for a, b in want if a < left <= b}
+        assert set(found) == expected and len(found) == len(expected)
 
 
 def test_one_of_each_group_stays(spark):
     rows = corpus(8)
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("group_id", F.lit("clash"))
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in by_hand(rows, jaccard.THRESHOLD):
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
+    df = clashing(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    root = components({i for i, _ in rows if i is not None}, by_hand(rows, jaccard.THRESHOLD))
     kept = jaccard.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i is None or find(i) == i)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i is None or root[i] == i)
     assert jaccard.drop_near_duplicates(df.limit(0)).count() == 0
 
 
