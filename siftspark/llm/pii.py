@@ -4,15 +4,16 @@ One Aho-Corasick pass over a text finds anchors: at-signs, address schemes, iden
 anchor expands to the left and right as far as its grammar allows and validates what it found; the first valid span at a place wins and later
 anchors inside it are passed over. Kinds:
 
-email    local@host, local part of RFC 5322 atoms, host of at least two labels, last one alphabetic
+email    local@host, local part of RFC 5322 atoms, host of at least two labels, last one alphabetic or in its xn-- form; ASCII hosts first, else hosts of any letters
 address  scheme://host..., or an IPv4 address of four numbers up to 255
 phone    an international number: + and 8 to 15 digits with single separators or brackets
 account  13 to 19 digits in one run; the longest of groups of 4-4-4-4-3, 4-4-4-4, 4-6-5 or 4-6-4 digits whose check digit holds; an IBAN by its check digits; ddd-dd-dddd; or a value of at least 6 letters and digits, one
-         of them a digit, after a cue such as `account no.`
+         of them a digit, after a cue such as `account no.` or `account number is`
 secret   a value of at least 16 letters and digits, one of each, after a cue such as `token =`
 
-Defined results: a null text stays null, without spans; an empty one stays empty; offsets count characters of the given text; repeated rows are
-done each by itself; only doc_id and text are looked at.
+Defined results: a null text stays null, without spans; an empty one stays empty; a very long one is read whole, each anchor in time bounded by its grammar or its own span;
+offsets count characters of the given text; of spans that overlap the first stays, or takes the later one in; repeated rows are
+done each by itself; an empty table gives no rows; only doc_id and text are looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ DIGITS = "0123456789"
 _ATOM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.!#$%&'*+/=?^_`{|}~-")
 _EDGE = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+-")
 _HOST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-")
+_CUE_WORDS = re.compile(r"(?:(?:number|no|id|is|was)\b\.?[ :=#\"']*){1,3}", re.I | re.A)
 _VALUE = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-")
 _SPACE_END = frozenset(" \t\n\r\f\v\"'<>`")
 #: Most characters of a local part, a host and a cue's gap before its value, by the standards or the grammar here.
@@ -62,15 +64,20 @@ def folded(text: str) -> str:
 
 
 def _host(text: str, start: int) -> int:
-    """End of a valid host name that begins at start, or start."""
+    """End of a valid host name that begins at start, or start. Names of ASCII letters first; else those of any letters."""
+    end = _host_of(text, start, False)
+    return end if end > start else _host_of(text, start, True)
+
+
+def _host_of(text: str, start: int, wide: bool) -> int:
     n, end = len(text), start
-    while end < n and text[end] in _HOST and end - start <= HOST_LENGTH:
+    while end < n and (text[end] in _HOST or (wide and text[end].isalnum())) and end - start <= HOST_LENGTH:
         end += 1
     while end > start and text[end - 1] in ".-":
         end -= 1
     labels = text[start:end].split(".")
-    while len(labels) >= 2 and not (labels[-1].isalpha() and labels[-1].isascii() and len(labels[-1]) >= 2):
-        labels.pop()  # the last label of a name is alphabetic
+    while len(labels) >= 2 and not (len(labels[-1]) >= 2 and (labels[-1].isalpha() and (wide or labels[-1].isascii()) or labels[-1][:4].lower() == "xn--" and len(labels[-1]) > 4)):
+        labels.pop()  # the last label of a name is alphabetic, or its ASCII form
     if len(labels) < 2 or any(not x or len(x) > 63 or x[0] == "-" or x[-1] == "-" for x in labels):
         return start
     return start + len(".".join(labels))
@@ -183,13 +190,10 @@ def cued(text: str, end: int, kind: str) -> tuple[int, int] | None:
             return None
         marks += text[start] in ":=#"
         start += 1
-    for word in ("number", "no.", "no", "id", "is"):
-        if text[start : start + len(word)].lower() == word and not text[start + len(word) : start + len(word) + 1].isalnum():
-            start += len(word)
-            marks += 1
-            while start < n and text[start] in " :=#.\"'":
-                start += 1
-            break
+    words = _CUE_WORDS.match(text, start)
+    if words:
+        marks += 1
+        start = words.end()
     stop = start
     while stop < n and text[stop] in _VALUE:
         stop += 1
