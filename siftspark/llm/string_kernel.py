@@ -31,6 +31,8 @@ N = 3
 PER_LANGUAGE = 400
 LANDMARKS = 192
 RIDGE = 1e-2
+#: Texts whose presence rows are multiplied with the weights at once.
+BATCH = 128
 OUT = "doc_id long, language string, score double, margin double"
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91] += 32
@@ -142,13 +144,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
 def scores(texts: pa.Array, model: Model, rows: np.ndarray, spectrum: Spectrum) -> tuple[np.ndarray, np.ndarray]:
     """(scores of each language, number of n-grams) of a batch of texts."""
     data, offsets = buffers(texts)
+    width = len(model.weights)
     out, norm = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        s = spectrum.of(data[a:b])
-        norm[i] = len(s)
-        if len(s):
-            # A presence row times the weights, without its zeros.
-            out[i] = np.bincount(rows[s], minlength=len(model.weights)).astype(np.float32) @ model.weights if len(s) > len(model.weights) else model.weights[rows[s]].sum(axis=0)
+    x = np.zeros((min(BATCH, len(texts)), width), dtype=np.float32)
+    for a in range(0, len(texts), BATCH):
+        sets = [rows[spectrum.of(data[i:j])] for i, j in zip(offsets[a : a + BATCH].tolist(), offsets[a + 1 : a + BATCH + 1].tolist())]
+        size = np.array([len(s) for s in sets])
+        where = np.repeat(np.arange(len(sets)) * width, size) + np.concatenate(sets)
+        flat = x.ravel()
+        flat[where] = 1  # presence rows; n-grams of no landmark share the last column, whose weights are 0
+        out[a : a + len(sets)] = x[: len(sets)] @ model.weights
+        flat[where] = 0
+        norm[a : a + len(sets)] = size
     return out / np.sqrt(np.maximum(norm, 1))[:, None] + model.bias, norm
 
 
