@@ -6,9 +6,9 @@ two neighbouring labels; it is trained by full-batch ascent on the L2-regularise
 
 Labelled pages are those whose markup has `article` or `main`: blocks inside (outside nested nav, aside, header, footer and form) are content. These
 tags are not features, so that pages without them are read alike. At most `max_pages` labelled pages are learned from, those of the lowest hash of page_id
-and of no more than `MAX_BLOCKS` blocks; extraction covers every page and every block.
+and of no more than `max_tags` tags; extraction covers every page and every block, in time linear in the page's length at any depth.
 
-Defined results: a null html gives a null text and no blocks; an html without text gives an empty text; without labelled pages every block is content;
+Defined results: a null html gives a null text and no blocks; an html without text gives an empty text; labels of equal scores give boilerplate; without labelled pages every block is content;
 unclosed tags end with their parent, an unclosed head with the first thing that belongs to a body, an unclosed svg with the first block-level tag too,
 an unclosed noscript, template or iframe hides nothing, and a tag cut off by the end of the page is dropped with what follows; repeated rows are extracted each by itself; only page_id and html are looked at; an empty table gives no rows.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_PAGES = 400
-MAX_BLOCKS = 2000
+MAX_TAGS = 20_000
 ROUNDS = 120
 L2 = 1e-3
 OUT = "page_id long, text string, n_blocks int, n_content int"
@@ -53,6 +53,45 @@ _LINKS = np.array([1e-9, 1 / 3, 2 / 3])
 N_FEATURES = _TEXT_AT + len(_WORDS) + 1 + len(_LINKS) + 1 + 8
 
 
+class Open:
+    """The open tags of a page, with what a block below needs of all of them kept at each, so that no block or end tag walks the stack."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = {}  # of each open tag
+        self.below: list[tuple[int, int, int, bool]] = [(0, 0, _N_TAGS - 1, False)]  # masks of tags and names, number of the parent, whether content by its markup
+        self.lists: dict[tuple[int, int, int], list[int]] = {}
+
+    def push(self, tag: str, names: int) -> None:
+        tags, names_before, parent, gold = self.below[-1]
+        if tag in _GOLD:
+            gold = True
+        else:
+            parent = _TAG_NUMBER.get(tag, _N_TAGS - 1)
+            tags |= 1 << parent
+            gold = gold and tag not in _OUTSIDE
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.below.append((tags, names_before | names, parent, gold))
+
+    def pop(self, tag: str) -> None:
+        """Ends the innermost such tag and those in it."""
+        at = self.places.get(tag)
+        if at:
+            k = at[-1]
+            for t in self.tags[k:]:
+                self.places[t].pop()
+            del self.tags[k:], self.below[k + 1 :]
+
+    def ancestors(self) -> tuple[list[int], bool]:
+        tags, names, parent, gold = self.below[-1]
+        found = self.lists.get((tags, names, parent))
+        if found is None:
+            found = [i for i in range(_N_TAGS) if tags >> i & 1] + [_N_TAGS + parent] + [2 * _N_TAGS + i for i in range(_N_NAMES) if names >> i & 1]
+            self.lists[tags, names, parent] = found
+        return found, gold
+
+
 class Block:
     __slots__ = ("text", "gold", "features")
 
@@ -63,13 +102,10 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[str] = []
-    named: list[list[int]] = []  # hashed class and id names of each open tag
+    stack = Open()
     parts: list[str] = []
     linked, in_link = 0, False
-    ancestors: list[int] | None = None
-    gold = False
-    hiding, inner = "", []  # the open tag that hides its content, and the open ones in it
+    hiding, inner = "", Open()  # the open tag that hides its content, and the open ones in it
     ends_at: dict[str, int] = {}  # the last end tag of a kind
 
     def closed_after(tag: str, place: int) -> bool:
@@ -78,17 +114,11 @@ def blocks_of(page: str) -> list[Block]:
         return ends_at[tag] >= place
 
     def close() -> None:
-        nonlocal linked, in_link, ancestors, gold
+        nonlocal linked, in_link
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            if ancestors is None:
-                tags = {_TAG_NUMBER.get(t, _N_TAGS - 1) for t in stack if t not in _GOLD}
-                parent = next((t for t in reversed(stack) if t not in _GOLD), "")
-                names = {n for tag in named for n in tag}
-                ancestors = [*tags, _N_TAGS + _TAG_NUMBER.get(parent, _N_TAGS - 1), *(2 * _N_TAGS + n for n in names)]
-                last = max((i for i, t in enumerate(stack) if t in _GOLD), default=-1)
-                gold = last >= 0 and not any(t in _OUTSIDE for t in stack[last:])
+            ancestors, gold = stack.ancestors()
             out.append(Block(text, gold, ancestors + text_features(text, linked / len(text))))
         linked, in_link = 0, False
 
@@ -97,7 +127,7 @@ def blocks_of(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page, 0, closed):
         if m.start() > at:
             run = page[at : m.start()]
-            if hiding == "head" and not inner and run.strip():
+            if hiding == "head" and not inner.tags and run.strip():
                 hiding = ""
             if not hiding:
                 parts.append(run)
@@ -113,24 +143,23 @@ def blocks_of(page: str) -> list[Block]:
                 if tag == hiding:
                     hiding = ""
                     continue
-                if tag in inner:
-                    del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                if inner.places.get(tag):
+                    inner.pop(tag)
                     continue
-                if tag not in stack:
+                if not stack.places.get(tag):
                     continue
                 hiding = ""  # its parent ends
-            elif hiding == "head" and (tag == "body" or (tag not in _HEAD and tag != "head" and "noscript" not in inner and "template" not in inner)):
+            elif hiding == "head" and (tag == "body" or (tag not in _HEAD and tag != "head" and not inner.places.get("noscript") and not inner.places.get("template"))):
                 hiding = ""
-            elif hiding == "svg" and tag in _BLOCKS and "foreignobject" not in inner:
+            elif hiding == "svg" and tag in _BLOCKS and not inner.places.get("foreignobject"):
                 hiding = ""
             else:
                 if tag not in _VOID and not m.group(4).endswith("/") and (tag not in _HIDING or closed_after(tag, at)):
-                    inner.append(tag)
+                    inner.push(tag, 0)
                 continue
         if tag in _HIDING:
             if not ends and not m.group(4).endswith("/") and (tag in ("head", "svg") or closed_after(tag, at)):
-                hiding = tag
-                inner.clear()
+                hiding, inner = tag, Open()
             continue
         if tag in _INLINE:
             if tag == "a":
@@ -139,20 +168,20 @@ def blocks_of(page: str) -> list[Block]:
                 parts.append(" ")
             continue
         close()
-        ancestors = None
         if ends:
-            if tag in stack:
-                k = len(stack) - 1 - stack[::-1].index(tag)
-                del stack[k:], named[k:]
+            stack.pop(tag)
         elif tag not in _VOID and not m.group(4).endswith("/"):
             group = _GROUP.get(tag)
-            if group and stack and stack[-1] in group:
-                stack.pop(), named.pop()
-            stack.append(tag)
-            rest = m.group(4)
-            named.append([zlib.crc32(w.lower().encode()) % _N_NAMES for x in _NAMES.findall(rest) for w in re.split(r"[\s_-]+", "".join(x)) if w] if rest else [])
+            if group and stack.tags and stack.tags[-1] in group:
+                stack.pop(stack.tags[-1])
+            rest, names = m.group(4), 0
+            for x in _NAMES.findall(rest) if rest else ():
+                for w in re.split(r"[\s_-]+", "".join(x)):
+                    if w:
+                        names |= 1 << zlib.crc32(w.lower().encode()) % _N_NAMES
+            stack.push(tag, names)
     rest = _UNENDED.split(page[at:], maxsplit=1)[0]
-    if not hiding or (hiding == "head" and not inner):
+    if not hiding or (hiding == "head" and not inner.tags):
         parts.append(rest)
     close()
     for i, b in enumerate(out):  # place in the page
@@ -267,13 +296,13 @@ def viterbi(chains: Chains, weights: np.ndarray, moves: np.ndarray) -> np.ndarra
     return out
 
 
-def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> tuple[np.ndarray, np.ndarray] | None:
-    """The field learned from at most max_pages labelled pages."""
+def train(pages: DataFrame, max_pages: int = MAX_PAGES, max_tags: int = MAX_TAGS) -> tuple[np.ndarray, np.ndarray] | None:
+    """The field learned from at most max_pages labelled pages of at most max_tags tags."""
     labelled = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").filter("page_id IS NOT NULL").filter(F.col("html").rlike(r"(?i)<(article|main)\b"))
+    labelled = labelled.filter(F.length("html") - F.length(F.replace("html", F.lit("<"))) <= max_tags)
     ids = labelled.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
     chosen = labelled.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))  # bounded by max_pages
-    found = (blocks_of(r.html) for r in chosen.orderBy("page_id").toLocalIterator())
-    return fit([b for b in found if len(b) <= MAX_BLOCKS])
+    return fit([blocks_of(r.html) for r in chosen.orderBy("page_id").toLocalIterator()])
 
 
 def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
