@@ -1,7 +1,12 @@
 """A training corpus from `documents`, stage by stage.
 
 Every stage is written as Parquet to the shared folder and read again, so a lost executor costs no more than the stage at work.
-A stage judges what its predecessor kept. All but the last return the columns of documents.
+A stage judges what its predecessor kept. All but the last return the columns of documents. The tables that a stage makes for itself, and its
+predecessor's result, are deleted once its own is written.
+
+Defined results: columns of any names pass through unchanged, n_chars (where there is one) follows the text. A null or empty text is judged by the
+quality rules, has no lines, n-grams or passages to drop, and gives no sequences. A null doc_id or source is no reason to drop a row. Repeated rows of one doc_id stay or
+go together; of rows that are alike, near duplicates keep the group's lowest doc_id. Very long texts go through whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.llm import decision_list, decontam, jaccard, linededup, packing
-from siftspark.llm.shared import written
+from siftspark.llm.shared import dropped, scratch, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the lines that their site repeats; n_chars follows the text."""
-    out = linededup.drop_boilerplate(docs).select(docs.columns)
+    out = linededup.drop_boilerplate(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -45,9 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        if before is not None:
+            dropped(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
