@@ -123,11 +123,12 @@ def gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
-_KEPT: dict[str, Tokenizer] = {}
-
-
 def tokenizer(path: str = VOCABULARY) -> Tokenizer:
-    """The worker's tokenizer: Spark reuses its Python workers, so one is kept for later tasks of the same process."""
-    if path not in _KEPT:
-        _KEPT[path] = Tokenizer(path)
-    return _KEPT[path]
+    """The process's tokenizer. Functions of this package are sent to workers by value, their globals too, so what outlives a task is kept in a module of its own."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_siftspark_kept", types.ModuleType("_siftspark_kept")).__dict__.setdefault("tokenizers", {})
+    if path not in kept:
+        kept[path] = Tokenizer(path)
+    return kept[path]
