@@ -10,7 +10,7 @@ from siftspark.llm import decision_list, decontam, linededup, pii
 
 
 def clashing(df):
-    return df.withColumns({c: F.lit(c) for c in ("_kept", "_boilerplate", "_site", "rule", "keep", "q_n_words", "_row", "lines", "n_lines", "item_id", "score")})
+    return df.withColumns({c: F.lit(c) for c in ("_kept", "_boilerplate", "_site", "rule", "keep", "q_n_words", "_row", "lines", "n_lines", "item_id", "score", "gone", "a.b", "x y", "_salt", "_salts")})
 
 
 def labelled(n, seed):
@@ -61,6 +61,36 @@ def test_no_rule_covers_a_good_row_it_grew_on():
     assert bad[decision_list.covers(rule, x)].mean() > 0.95
 
 
+def test_growth_takes_the_best_condition():
+    """Each step's condition has the highest gain of all conditions on the quantiles, the first in order of equal ones."""
+    rng = np.random.default_rng(8)
+    for seed in range(12):
+        x = {"b": rng.integers(0, 6, 90).astype(float), "a": rng.random(90).round(1)}
+        bad = (x["a"] > 0.5) ^ (rng.random(90) < 0.2)
+        rule, inside = decision_list.grow(x, bad, 3), np.ones(90, dtype=bool)
+        for step in rule:
+            best, gain = None, 1e-9
+            p = bad[inside].sum()
+            for name in ("a", "b"):
+                for bound in np.unique(np.quantile(x[name][inside], np.linspace(0, 1, decision_list.QUANTILES + 1))):
+                    for at_least in (True, False):
+                        c = decision_list.Condition(name, at_least, float(bound))
+                        hit = inside & c.holds(x)
+                        if bad[hit].sum():
+                            g = bad[hit].sum() * (np.log2(bad[hit].sum() / hit.sum()) - np.log2(p / inside.sum()))
+                            if g > gain:
+                                best, gain = c, g
+            assert step == best
+            inside &= step.holds(x)
+        full = {len(decision_list.prune(rule[:k], x, bad)) for k in range(1, len(rule) + 1)}
+        worth = []
+        for k in range(1, len(rule) + 1):
+            c = decision_list.covers(rule[:k], x)
+            p, n = bad[c].sum(), (~bad[c]).sum()
+            worth.append((p - n) / (p + n) if p + n else -1)
+        assert not rule or len(decision_list.prune(rule, x, bad)) == 1 + int(np.argmax(worth)) and full
+
+
 def lines_by_hand(rows, ratio, least):
     pages, having = Counter(s for _, s, _ in rows if s is not None), Counter()
     for _, s, t in rows:
@@ -74,7 +104,7 @@ def lines_by_hand(rows, ratio, least):
     return sorted(out, key=str)
 
 
-def test_lines_match_a_loop(spark):
+def test_lines_match_a_loop(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, rng.choice(["a", "b", None]), "\n".join(rng.choice(["menu", " menu ", "", "  ", "terms", f"own {i}", "x" * 5000]) for _ in range(6))) for i in range(80)]
     rows += [(1, "a", None), (1, "a", ""), (None, "b", "menu"), (2, "c", "menu"), (2, "c", "menu")]
@@ -83,6 +113,10 @@ def test_lines_match_a_loop(spark):
     assert set(got.columns) == {*df.columns, "n_dropped"}
     assert sorted((tuple(r) for r in got.select("doc_id", "source", "text", "n_lines", "n_dropped").collect()), key=str) == lines_by_hand(rows, 0.3, 3)
     assert linededup.drop_boilerplate(df.limit(0)).count() == 0
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(linededup, "SITE_PAGES", 4)
+    spread = linededup.drop_boilerplate(df, 0.3, 3)
+    assert sorted((tuple(r) for r in spread.select("doc_id", "source", "text", "n_lines", "n_dropped").collect()), key=str) == lines_by_hand(rows, 0.3, 3)
 
 
 def align_by_hand(a, b):
@@ -99,18 +133,37 @@ def words(t):
     return "".join(c.lower() if c.isalnum() else " " for c in t).split()
 
 
-def test_alignment_scores_match_a_loop():
+def test_alignment_scores_match_a_loop(monkeypatch):
     rng = np.random.default_rng(7)
     texts = [rng.integers(0, 6, rng.integers(1, 60)).astype(np.uint64) for _ in range(60)]
     items = [rng.integers(0, 6, rng.integers(1, 30)).astype(np.uint64) for _ in range(60)]
     assert decontam.align(texts, items).tolist() == [align_by_hand(t.tolist(), i.tolist()) for t, i in zip(texts, items)]
+    long = [rng.integers(0, k, n).astype(np.uint64) for k in (2, 3, 9) for n in (300, 1500, 4000)]
+    short = [rng.integers(0, k, m).astype(np.uint64) for k, m in zip((2, 3, 9) * 3, (3, 7, 12, 20, 4, 9, 33, 1, 15))]
+    assert decontam.align(long, short).tolist() == [align_by_hand(t.tolist(), i.tolist()) for t, i in zip(long, short)]
+    monkeypatch.setattr(decontam, "TEXT_CELLS", 200)
+    assert decontam.align(long + texts, short + items).tolist() == [align_by_hand(t.tolist(), i.tolist()) for t, i in zip(long + texts, short + items)]
+
+
+def test_a_passage_of_a_million_words():
+    item = np.arange(20).astype(np.uint64)
+    text = np.tile(np.append(item[:12], np.uint64(99)), 80_000)
+    text[700_000:700_020] = item
+    assert decontam.align([text, item[:5]], [item, item]).tolist() == [40, 10]
+
+
+def test_short_items_match_whole(spark):
+    items = [(1, "one"), (2, "two words"), (3, "three short words"), (4, "what is six times seven"), (5, "")]
+    docs = {10: "one", 11: "One.", 12: "one more", 13: "Two, words!", 14: "two words more", 15: "now three short words stand", 16: "three long words", 17: "so what is six times seven then", 18: "what is six times eight", 19: "", 20: None}
+    got = decontam.pairs(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((r.doc_id, r.item_id, r.ratio) for r in got.collect()) == [(10, 1, 1.0), (11, 1, 1.0), (13, 2, 1.0), (15, 3, 1.0), (17, 4, 1.0)]
 
 
 def test_benchmark_passages(spark):
     rng = random.Random(11)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(800)]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, say(rng.randint(10, 60))) for i in range(25)] + [(90, "too short item"), (91, None), (None, say(20)), (3, say(12))]
+    items = [(i, say(rng.randint(10, 60))) for i in range(25)] + [(90, "too shortitem"), (91, None), (None, say(20)), (3, say(12))]
     rows = []
     for d in range(120):
         t = say(rng.randint(0, 200))
@@ -188,6 +241,44 @@ def test_cues_in_any_case():
     assert [k for k, *_ in pii.find("HtTpS://X.org/a", anchors)] == ["address"]
 
 
+def personal_by_hand(text):
+    """Every substring that is one of the forms that say() gives, by regular expressions over the whole text."""
+    import re
+
+    forms = (
+        ("email", r"[a-z]+\.[a-z]+@[a-z]+\.(?:com|org|xn--p1ai)"), ("address", r"https?://[a-z]+\.org/[a-z]+"), ("address", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"),
+        ("account", r"(?i:account|member id|customer no)\.?:? (?:(?:number|is) )*(\d{8})(?!\d)"), ("secret", r"(?i:api key|token): ([a-z]{10}\d{10})\b"), ("account", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"),
+    )
+    found = [(k, *m.span(m.lastindex or 0)) for k, f in forms for m in re.finditer(f, text)]
+    return sorted(found, key=lambda x: x[1])
+
+
+def test_generated_documents_against_expressions():
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("bcdfghjklm") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    case = lambda x: rng.choice([x, x.upper(), x.title(), "".join(rng.choice([c, c.upper()]) for c in x)])
+    forms = (
+        lambda: f"{letters(4)}.{letters(3)}@{letters(5)}.{rng.choice(['com', 'org', 'xn--p1ai'])}", lambda: f"https://{letters(5)}.org/{letters(4)}", lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)),
+        lambda: f"{case(rng.choice(['account', 'member id', 'customer no']))}{rng.choice([':', '.', '.:', ''])} {rng.choice(['', 'number ', 'number is ', 'is '])}{digits(8)}", lambda: f"{case(rng.choice(['api key', 'token']))}: {letters(10)}{digits(10)}",
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: digits(rng.randint(1, 5)), lambda: f"{letters(3)}@{letters(3)}", lambda: case("account"), lambda: "İß", lambda: case("token"),
+    )
+    anchors = pii.automaton()
+    for _ in range(1500):
+        text = ", ".join(rng.choice(forms)() if rng.random() < 0.5 else f"{letters(rng.randint(1, 8))} {letters(4)}" for _ in range(rng.randint(0, 9)))
+        assert pii.find(text, anchors) == personal_by_hand(text), text
+
+
+def test_values_after_cue_words_and_wide_hosts():
+    anchors = pii.automaton()
+    cases = {
+        "account number is 12345678 ok": ["12345678"], "My Account No. is: 12345678": ["12345678"], "bob@example.xn--p1ai": ["bob@example.xn--p1ai"], "bob@bücher.example": ["bob@bücher.example"], "bob@x.com的": ["bob@x.com"],
+        "account is island": [], "member id number was AB12345": ["AB12345"],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for _, a, b in pii.find(text, anchors)] == want, text
+
+
 def test_cards_in_groups_and_cued_values():
     anchors = pii.automaton()
     cases = {

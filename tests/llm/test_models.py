@@ -84,6 +84,20 @@ def test_language_scores_are_the_kernel_products():
     model = string_kernel.fit(sets, ["x"] * 20 + ["y"] * 20, 40)
     value, _ = string_kernel.scores(pa.array(texts), model, model.rows(), spectrum)
     assert [model.languages[i] for i in value.argmax(axis=1)] == ["x"] * 20 + ["y"] * 20
+    known = [set(spectrum.of(np.frombuffer(t.encode(), np.uint8)).tolist()) for t in texts]
+    weight = dict(zip(model.grams.tolist(), model.weights))
+    one = np.array([sum((weight[g] for g in s if g in weight), np.zeros(2)) / np.sqrt(len(s)) for s in known]) + model.bias
+    assert np.abs(one - value).max() < 1e-4
+    many, _ = string_kernel.scores(pa.array(texts * 8), model, model.rows(), spectrum)
+    assert np.abs(many - np.tile(value, (8, 1))).max() < 1e-6
+
+
+def test_equal_scores_go_to_the_first_language():
+    import pyarrow as pa
+
+    model = string_kernel.Model(["a", "b"], np.array([97], dtype=np.int32), np.zeros((2, 2), dtype=np.float32), np.zeros(2))
+    value, norm = string_kernel.scores(pa.array(["aaa", "", None]), model, model.rows(), string_kernel.Spectrum())
+    assert value.argmax(axis=1).tolist() == [0, 0, 0] and norm.tolist() == [3, 0, 0]
 
 
 def test_language_edges(spark):
@@ -157,6 +171,15 @@ def test_unclosed_tags_lose_no_text():
         assert [b.text for b in dom_crf.blocks_of(page)] == want, page
 
 
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    assert len(dom_crf.blocks_of("<div class='a b'>word" * 100_000)) == 100_000
+    assert dom_crf.blocks_of("<svg>" + "<g>" * 100_000 + "</p>" * 100_000) == []
+    assert time.time() - began < 30
+
+
 def test_digits_count_over_the_whole_block():
     mark = dom_crf.text_features("12345", 0)[-1]
     assert mark in dom_crf.text_features("word " * 50 + "123456789 " * 50 + "x", 0)
