@@ -14,6 +14,9 @@ A pair that meets in several regions counts in that of the lowest pivot that bot
 The order is by the corpus counts of an n-gram's words, and of the n-gram itself where it is frequent, in hash buckets over all documents. Any
 order gives the same result; this one makes chance meetings rare. Sets are of 56-bit hashes, classes of 128-bit ones.
 
+Chance meetings and shared passages, of which a growing corpus has ever more, are told from pairs before any text travels: two texts within the threshold meet in many cells,
+the more so the nearer their sizes, so each stays in a region only if members of some colour (size class and hash) could be one partner with enough of its cells.
+
 Cells travel as blocks: the cells of a task's texts for one bucket, sorted, as differences in as few bytes as they need. No task gathers an unbounded
 group: a text's copies are met once a task, n-grams of more than `HOT` documents name their region themselves and never gather in one bucket, and a region of more than `TILE_BYTES` of text
 is cut into blocks of members, each two of which are a task.
@@ -31,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import buffers, mix, ngram_hashes, release, segments, slices, word_hashes
@@ -53,7 +56,9 @@ HOT = 1 << 22
 #: Regions that n-grams beyond it name.
 HOT_REGIONS = 64
 #: Cells of a bucket, about.
-BUCKET_CELLS = 1 << 21
+BUCKET_CELLS = 1 << 20
+#: Colours of texts, in words of 64, and size classes among them, so many an octave.
+COLOURS, CLASSES, STEPS = 128, 32, 8
 #: Documents of a block of cells, at most; their numbers take 2 bytes.
 BLOCK_DOCS = 1 << 16
 #: Text of a block of a region.
@@ -181,9 +186,73 @@ def prefix_sizes(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.where(size > 0, np.minimum(size, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + meetings_least(size)), 0)
 
 
-def unneeded(size, threshold: float):
-    """As a Column: how many of its meetings a document may drop. What two documents of a pair drop together is below meetings_least of both."""
-    return F.floor((F.greatest(F.lit(1), F.floor(F.lit(SHARED * threshold) * size - 1e-9)) - 1) / 2)
+def size_class(size) -> Column:
+    return F.floor(F.log2(size.cast("double")) * STEPS).cast("int")
+
+
+def colour_of(ids, size) -> Column:
+    """A text's colour: its size class, of which those four octaves apart are alike, and a hash."""
+    return (F.pmod(size_class(size), F.lit(CLASSES)) * (COLOURS // CLASSES) + F.pmod(F.xxhash64(ids), F.lit(COLOURS // CLASSES))).cast("int")
+
+
+def shared_least(size: np.ndarray, threshold: float) -> np.ndarray:
+    """How many cells, at least, a text of each size shares with any partner of each size class (columns); a class of no partners has more than all.
+
+    An overlap of threshold / (1 + threshold) (|x| + |y|) is within both prefixes but for what lies in the longer of the two rests."""
+    own = np.floor(np.log2(size) * STEPS).astype(np.int64)
+    out = np.empty((len(size), CLASSES), dtype=np.int64)
+    x, never = size.astype(np.float64), 1 << 50
+    rest = lambda y: threshold * y + 1 - np.maximum(1, SHARED * y - 1)  # noqa: E731  at least the size of y less its prefix
+    for c in range(CLASSES):
+        k = own + (c - own + CLASSES // 2) % CLASSES - CLASSES // 2  # the class alike that is nearest
+        low, high = np.maximum(2.0 ** (k / STEPS) * (1 - 1e-9), threshold * x - 1e-6), np.minimum(2.0 ** ((k + 1) / STEPS) * (1 + 1e-9), x / threshold + 1e-6)
+        least = np.ceil(threshold / (1 + threshold) * (x + low) - np.maximum(rest(x), rest(high)) - 1e-6)
+        out[:, c] = np.where(low > high, never, np.maximum(1, least)) if -math.log2(threshold) * STEPS < CLASSES // 2 - 1 else 1
+    return out
+
+
+def _needed(threshold: float):
+    """From rows (id, size, pivot, n, colour, k, masks) of a partition by id: the (id, pivot) that a pair may need.
+
+    A region's masks have the colours of its k members. All cells that a text shares with a partner are in regions of the partner's colour, so a text stays in the regions of a colour
+    for which its cells add up to what a partner of that size class shares. Of these it may then drop those of fewest cells, as far as two texts of a pair drop less together
+    than they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        columns = [table.column(c).to_numpy() for c in ("id", "size", "pivot", "n", "colour", "k")]
+        masks = [table.column(f"m{i}").to_numpy().view(np.uint64) for i in range(COLOURS // 64)]
+        by = np.lexsort((columns[1], columns[0]))
+        ids, size, pivot, n, colour, k = (x[by] for x in columns)
+        masks = [m[by] for m in masks]
+        one = sum(np.bitwise_count(m).astype(np.int64) for m in masks) == k  # all members of different colours, so none but the text itself has its own
+        for i, m in enumerate(masks):
+            masks[i] = np.where(one & (colour // 64 == i), m & ~(np.uint64(1) << (colour % 64).astype(np.uint64)), m)
+        head = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (size[1:] != size[:-1])))
+        each = np.diff(np.append(head, len(ids)))
+        least = shared_least(size[head], threshold)
+        keep, fewest = np.zeros(len(ids), dtype=bool), np.full(len(head), 1 << 50)
+        for c in range(COLOURS):
+            has = ((masks[c // 64] >> np.uint64(c % 64)) & np.uint64(1)).astype(bool)
+            if has.any():
+                enough = least[:, c // (COLOURS // CLASSES)]
+                good = np.add.reduceat(np.where(has, n, 0), head) >= enough
+                keep |= has & np.repeat(good, each)
+                fewest = np.where(good, np.minimum(fewest, enough), fewest)
+        fewest = np.repeat(fewest, each)[keep]
+        ids, size, pivot, n = ids[keep], size[keep], pivot[keep], n[keep]
+        by = np.lexsort((pivot, n, size, ids))
+        ids, size, pivot, n, fewest = ids[by], size[by], pivot[by], n[by], fewest[by]
+        total = np.cumsum(n)
+        head = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (size[1:] != size[:-1]))) if len(ids) else np.zeros(0, dtype=np.int64)
+        before = np.repeat((total - n)[head], np.diff(np.append(head, len(ids))))
+        keep = total - before > (fewest - 1) // 2
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(pivot[keep])], ["id", "pivot"])
+
+    return run
 
 
 class Plan:
@@ -519,12 +588,18 @@ def _joined(docs: DataFrame, threshold: float, n: int, links: bool, hot: int) ->
     cells = texts.agg(F.sum(size - F.ceil(threshold * size) + F.greatest(F.lit(1), F.floor(SHARED * size)))).first()[0]
     plan = Plan(int(cells or 0), int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = _blocks(docs, order, n, threshold, plan).repartitionById(plan.buckets, F.col("bucket"))
-    met = blocks.mapInArrow(release(_meetings(threshold)), "id long, pivot long, n long, size int").groupBy("id", "pivot").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
-    fewest = Window.partitionBy("id").orderBy("n", "pivot")
-    needed = met.withColumn("upto", F.sum("n").over(fewest)).filter(F.col("upto") > unneeded(F.col("size"), threshold)).select("id", "pivot")
+    met = blocks.mapInArrow(release(_meetings(threshold)), "id long, pivot long, n long, size int").groupBy("id", "size", "pivot").agg(F.sum("n").cast("int").alias("n"))
+    met = written(met, "met")
+    table, met = met, met.withColumn("colour", colour_of(F.col("id"), F.col("size")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("colour") % 64)
+    masks = [F.bit_or(F.when(F.floor(F.col("colour") / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(COLOURS // 64)]
+    seen = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), *masks).filter("k > 1")
+    coloured = met.join(seen, "pivot").repartition("id").select("id", "size", "pivot", "n", "colour", "k", *[f"m{i}" for i in range(COLOURS // 64)])
+    needed = coloured.mapInArrow(release(_needed(threshold)), "id long, pivot long").distinct()
     # Members of regions: classes by the 48 bits of their print; a region of one brings nobody together.
     own = classes.select(F.col("rep").alias("doc_id"), "h1", "copies", "bytes", F.shiftrightunsigned("h1", 16).alias("id"))
-    members = written(needed.join(own, "id").drop("id"), "meetings")
+    members = written(needed.join(own, "id").drop("id"), "members")
+    dropped(table)
     regions = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("b")).filter("k > 1").select("pivot", F.ceil(F.col("b") / TILE_BYTES).cast("int").alias("blocks"))
     places = members.join(regions, "pivot").groupBy("doc_id", "h1", "copies").agg(F.collect_list(F.struct("pivot", "blocks")).alias("places"))
     places = written(places.withColumn("pivots", F.col("places.pivot")), "places")

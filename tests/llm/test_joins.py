@@ -211,3 +211,58 @@ def test_pipeline_stages(spark, small):
     for r in sorted(final, key=lambda r: r.piece):
         by.setdefault(r.doc_id, []).extend(r.tokens)
     assert by == {r.doc_id: encode(r.text) for r in d1 if r.text}
+
+
+def odd_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(None, "no id at all here", "en", "s", 17), (7001, None, "en", "s", 0), (7002, "", "en", None, 0), (7003, "x", None, "s", 1), (7003, "x", None, "s", 1), (7004, " ".join(f"w{i % 5000}" for i in range(200_000)), "en", "s", 1)]
+    return docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumns({c: F.lit(1) for c in ("a.b", "x y", "gone", "rule", "lines", "pivot", "size", "item_id", "_row", "tokens")})
+
+
+def test_pipeline_on_odd_tables(spark, small, tmp_path):
+    """Nulls, empties, repeats, a text of a million signs and clashing names go through every stage; an empty table gives none."""
+    for name in ("labels", "benchmark"):
+        table = spark.read.parquet(f"{small}/{name}.parquet")
+        table.withColumns({c: F.lit(2) for c in ("a.b", "q_n_words", "score", "source")}).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = odd_documents(spark, small)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns and after.count() <= docs.count(), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        docs = after
+    packed = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert len(packed) > 50
+
+
+def test_quality_and_decontamination_stages_by_hand(spark, small):
+    """The rules that were learned and the alignment, applied row by row in plain Python."""
+    import re
+
+    from tests.llm.test_filters import align_by_hand, words
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rules = decision_list.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
+
+    def statistics(t):
+        w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t) if x]
+        n, chars = max(len(w), 1), max(len(t), 1)
+        return {
+            "n_words": len(w), "mean_word": len(t) / n, "variety": 1.0 if len(w) < 2 else np.log(len(set(w))) / np.log(len(w)), "short_words": sum(len(x) <= 3 for x in w) / n, "bare_marks": sum(not any(c.isalnum() for c in x) for x in w) / n,
+            "marks": sum(not (c.isalnum() or c.isspace()) for c in t) / chars, "capitals": sum(c.isupper() for c in t) / chars, "digits": sum(c in "0123456789" for c in t) / chars, "mean_line": len(t) / (t.count("\n") + 1),
+        }
+
+    rows = docs.collect()
+    kept = {r.doc_id for r in rows if not any(all((statistics(r.text)[c.name] >= c.bound) == c.at_least for c in rule) for rule in rules)}
+    assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, small).collect()} == kept != {r.doc_id for r in rows}
+    items = [words(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    grams = [{tuple(i[k : k + 3]) for k in range(len(i) - 2)} for i in items]
+    gone = set()
+    for r in rows:
+        w = words(r.text)
+        own = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+        if any(len(own & g) >= 1 and align_by_hand(w, i) >= decontam.THRESHOLD * 2 * len(i) for i, g in zip(items, grams) if len(w) < 4000):
+            gone.add(r.doc_id)
+    left = {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, small).collect()}
+    assert {r.doc_id for r in rows} - left >= gone and gone and all(len(words(r.text)) >= 4000 for r in rows if r.doc_id not in left | gone)
