@@ -25,7 +25,6 @@ class Ranking:
     spam_domains: tuple[str, ...] = ()
     local_boost: float = 1.2
     hybrid_dedup_min_similarity: float = 0.8
-    hybrid_dedup_most: int = 500
     vector_weight: float = 0.4
     spam_score_weight: float = 0.6
     safety_block_threshold: float = 0.6

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: A word by the default Unicode word boundaries, scripts without spaces aside.
+#: A word by the default Unicode word boundaries, once the letters of scripts without spaces stand apart.
 WORD = r"[\p{L}\p{N}\p{M}_]+(?:(?:(?<=\p{L}\p{M}{0,4})[.'’:·](?=\p{L})|(?<=\p{N})[.,;'’](?=\p{N}))[\p{L}\p{N}\p{M}_]+)*"
+#: Scripts whose letters are words by themselves: the default boundaries know no dictionary. A run of Katakana is one word.
+APART = ("Han", "Hiragana", "Thai", "Lao", "Khmer", "Myanmar")
+_APART = rf"(?:(?=\p{{L}})[{''.join(rf'\p{{Is{x}}}' for x in APART)}]\p{{M}}*|[\p{{IsKatakana}}ー][\p{{IsKatakana}}ー\p{{M}}]*)"
 STOP_WORDS = tuple(
     sorted(
         """your you with will were was very up too to this these they then them their those their the than that such so she same
@@ -30,18 +33,28 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-def normalize(text: Column, compose: bool = False) -> Column:
-    """Lower case, after NFKC if `compose`. Without it the expression stays in the JVM, which is exact for text that NFKC doesn't change."""
-    return F.lower(nfkc(text) if compose else text)
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def normalize(text: Column) -> Column:
+    """NFKC and lower case. Only texts beyond ASCII leave the JVM for it."""
+    return F.lower(F.when(_is_ascii(text), text).otherwise(nfkc(F.when(~_is_ascii(text), text))))
 
 
 def normalize_word(word: str) -> str:
     return unicodedata.normalize("NFKC", word).lower()
 
 
-def tokens(text: Column, compose: bool = False) -> Column:
+def words_in(t: Column) -> Column:
+    """All words of a normalised text in order; without Python, so it may stand in a lambda."""
+    t = F.when(_is_ascii(t), t).otherwise(F.regexp_replace(t, _APART, " $0 "))
+    return F.filter(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+
+
+def tokens(text: Column) -> Column:
     """All words in order, stop words included; null for null."""
-    return F.filter(F.regexp_extract_all(normalize(text, compose), F.lit(WORD), F.lit(0)), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    return words_in(normalize(text))
 
 
 _PY_WORD = None
@@ -53,15 +66,20 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     if _PY_WORD is None:
         import regex
 
-        _PY_WORD = regex.compile(WORD.replace(r"(?<=\p{L}\p{M}{0,4})", r"(?<=\p{L}\p{M}*)"))
-        _PY_WORD = (_PY_WORD, regex.compile(r"[\p{L}\p{N}]"))
-    word, good = _PY_WORD
+        plain = WORD.replace(r"(?<=\p{L}\p{M}{0,4})", r"(?<=\p{L}\p{M}*)")
+        _PY_WORD = (regex.compile(plain), regex.compile(r"[\p{L}\p{N}]"), regex.compile(_APART))
+    word, good, apart = _PY_WORD
     out, at, byte = [], 0, 0
-    for m in word.finditer(text):
-        if good.search(m.group()):
-            byte += len(text[at : m.start()].encode())
-            at = m.start()
-            out.append((m.group(), byte, byte + len(m.group().encode())))
+    spans, last = [], 0
+    for m in [] if text.isascii() else apart.finditer(text):
+        spans += [(last, m.start()), m.span()]
+        last = m.end()
+    for a, b in [*spans, (last, len(text))]:
+        for m in word.finditer(text[a:b]):
+            if good.search(m.group()):
+                byte += len(text[at : a + m.start()].encode())
+                at = a + m.start()
+                out.append((m.group(), byte, byte + len(m.group().encode())))
     return out
 
 
@@ -105,27 +123,11 @@ def hash32(text: Column, at: int = 1) -> Column:
     return F.conv(F.substring(F.md5(text), at, 8), 16, 10).cast("bigint")
 
 
-def fingerprint(pieces: Column) -> Column:
-    """struct<hi,lo>: 32 bits each, set where more pieces' hashes have the bit than not; 0 for no pieces.
-
-    Votes are counted inside a row: nothing is exploded or shuffled. Lambda variables hold the hashes, so that they are computed once."""
-    bits = F.sequence(F.lit(0), F.lit(31))
-
-    def half(hashes: Column, at: int) -> Column:
-        def vote(total: Column, bit: Column) -> Column:
-            ones = F.size(F.filter(hashes, lambda h: F.call_function("shiftright", h[f"h{at}"], bit).bitwiseAND(F.lit(1)) == 1))
-            return total + F.when(ones * 2 > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint"))
-
-        return F.aggregate(bits, F.lit(0).cast("bigint"), vote)
-
-    hashed = F.transform(F.transform(pieces, F.md5), lambda m: F.struct(*[F.conv(F.substring(m, at, 8), 16, 10).cast("bigint").alias(f"h{at}") for at in (1, 9)]))
-    return bound(hashed, lambda hs: F.struct(half(hs, 1).alias("hi"), half(hs, 9).alias("lo")))
-
-
 def simhash(docs: DataFrame, text: str = "content", key: str = "doc_id", size: int = 5) -> DataFrame:
-    """(key, hi, lo): the fingerprint of the shingles of all words."""
-    pieces = bound(tokens(F.col(text)), lambda w: shingles(w, size))
-    return docs.select(key, F.coalesce(fingerprint(pieces), F.struct(F.lit(0).cast("bigint").alias("hi"), F.lit(0).cast("bigint").alias("lo"))).alias("_f")).select(key, "_f.hi", "_f.lo")
+    """(key, hi, lo): 32 bits each of the fingerprint of the shingles of all words, set where more shingles' MD5 have the bit than not; 0 for no words."""
+    from . import batch
+
+    return batch.over_words(docs, F.col(text), [key], "hi bigint, lo bigint", batch.fingerprint_arrays(size))
 
 
 def hamming(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:
@@ -145,12 +147,25 @@ def sign(term: Column) -> Column:
 
 
 def embed(rows: DataFrame, key: str, term: str = "term", weight: Column | None = None) -> DataFrame:
-    """(key, bucket, w): sparse unit vectors by the signed hashing trick from rows (key, term). Vectors of norm up to 1e-8 have no rows."""
+    """(key, bucket, w): sparse unit vectors by the signed hashing trick from rows (key, term), for weighted terms such as a query's. Vectors of norm up to 1e-8 have no rows."""
     summed = rows.groupBy(key, bucket(F.col(term)).alias("bucket")).agg(F.sum(sign(F.col(term)) * (F.lit(1.0) if weight is None else weight)).alias("w"))
     norms = summed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm")).filter("_norm > 1e-8")
     return summed.join(norms, key).filter("w <> 0").select(key, "bucket", (F.col("w") / F.col("_norm")).alias("w"))
 
 
+def lexical_vectors(docs: DataFrame, text: str = "content", keys: tuple[str, ...] = ("doc_id",), nest: bool = False) -> DataFrame:
+    """(keys, bucket, w): sparse unit vectors of all words of each text, made within its row; with nest, as a row (keys, buckets, weights)."""
+    from . import batch
+
+    rows = batch.over_words(docs, F.col(text), list(keys), "buckets array<int>, weights array<double>", batch.vector_arrays)
+    return rows if nest else vector_rows(rows, keys)
+
+
+def vector_rows(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, bucket, w) of rows with arrays buckets and weights."""
+    return rows.select(*keys, F.explode(F.arrays_zip("buckets", "weights")).alias("_v")).select(*keys, F.col("_v.buckets").alias("bucket"), F.col("_v.weights").alias("w"))
+
+
 def chunk_rows(docs: DataFrame, text: str = "content", key: str = "doc_id", words: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(key, chunk_index, chunk): windows of whitespace words; the chunk that reaches the end is the last."""
     step = max(words - overlap, 1)

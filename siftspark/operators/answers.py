@@ -147,12 +147,13 @@ def bang(query: str, custom: dict[str, str] | None = None) -> str | None:
     return None
 
 
-NEGATIONS = tuple("doesn't didn't wasn't isn't without neither never no not".split())
+NEGATIONS = tuple(sorted("not no never neither without isn't wasn't didn't doesn't".split()))
 SUPPORTED, CONFLICT = 0.35, 0.5
 
 
 def _significant(t: Column) -> Column:
-    return F.array_distinct(F.filter(T.tokens(t), lambda w: ~T.is_stop_word(w) & (F.octet_length(w) > 1)))
+    """Distinct words of a normalised text but for stop words and single bytes."""
+    return F.array_distinct(F.filter(T.words_in(t), lambda w: ~T.is_stop_word(w) & (F.octet_length(w) > 1)))
 
 
 def _numbers(t: Column) -> Column:
@@ -160,24 +161,25 @@ def _numbers(t: Column) -> Column:
 
 
 def _negated(t: Column, others: Column) -> Column:
-    """Whether a clause has a negation and a term of the others."""
+    """Whether a clause of a normalised text has a negation and a term of the others."""
 
     def words(clause: Column) -> Column:
-        return F.transform(F.split(F.lower(clause), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}']+|[^\p{L}\p{N}']+$", ""))
+        return F.transform(F.split(clause, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}']+|[^\p{L}\p{N}']+$", ""))
 
     return F.exists(F.split(t, "[,.;:]"), lambda c: F.arrays_overlap(words(c), F.array(*map(F.lit, NEGATIONS))) & F.arrays_overlap(_significant(c), others))
 
 
 def verify(pairs: DataFrame) -> DataFrame:
     """pairs (claim, span) with verdict (supported, unsupported, indeterminate) and overlap."""
-    out = pairs.withColumns({"_c": _significant(F.col("claim")), "_s": _significant(F.col("span")), "_nc": _numbers(F.col("claim")), "_ns": _numbers(F.col("span"))})
+    out = pairs.withColumns({"_tc": T.normalize(F.col("claim")), "_ts": T.normalize(F.col("span"))})
+    out = out.withColumns({"_c": _significant(F.col("_tc")), "_s": _significant(F.col("_ts")), "_nc": _numbers(F.col("claim")), "_ns": _numbers(F.col("span"))})
     empty = (F.trim(F.coalesce("claim", F.lit(""))) == "") | (F.trim(F.coalesce("span", F.lit(""))) == "") | (F.size("_c") == 0)
     overlap = F.size(F.array_intersect("_c", "_s")) / F.size("_c")
     out = out.withColumn("overlap", F.when(empty, 0.0).otherwise(overlap))
     numeric = (F.size("_nc") > 0) & (F.size("_ns") > 0) & ~F.arrays_overlap("_nc", "_ns")
-    negation = (_negated(F.col("claim"), F.col("_s")) != _negated(F.col("span"), F.col("_c"))) & (F.col("overlap") > CONFLICT)
+    negation = (_negated(F.col("_tc"), F.col("_s")) != _negated(F.col("_ts"), F.col("_c"))) & (F.col("overlap") > CONFLICT)
     verdict = F.when(empty, "indeterminate").when(numeric | negation | (F.col("overlap") < SUPPORTED), "unsupported").otherwise("supported")
-    return out.withColumn("verdict", verdict).drop("_c", "_s", "_nc", "_ns")
+    return out.withColumn("verdict", verdict).drop("_tc", "_ts", "_c", "_s", "_nc", "_ns")
 
 
 def grounding_rate(verified: DataFrame) -> DataFrame:
@@ -223,7 +225,8 @@ def rerank(rows: list, model: Callable[[str, str], str], query: str, text: Calla
 
 
 def ask(found: DataFrame, query: str, model: Callable[[str, str], str], top: int = 20, sources: int = 5) -> tuple[str, list[int], int]:
-    """An answer from the best results: reranked, summarised by the model and rid of sentences without a source. The model is a callable of two prompts."""
-    rows = rerank(found.select("doc_id", "file_name", F.substring("content", 1, 500).alias("text")).limit(top).collect(), model, query, lambda r: f"{r.file_name}: {r.text}")[:sources]
+    """An answer from the best results (a page with content): reranked, summarised by the model from their whole texts and rid of sentences without a source. The model is a callable of two
+    prompts and may shorten them to what it reads."""
+    rows = rerank(found.select("doc_id", "file_name", F.col("content").alias("text")).limit(top).collect(), model, query, lambda r: f"{r.file_name}: {r.text}")[:sources]
     listed = "\n".join(f"[{i}] {r.text}" for i, r in enumerate(rows, 1))
     return grounded(model("Answer from the sources only and cite them as [n].", f"{query}\n\n{listed}"), set(range(1, len(rows) + 1)))

@@ -11,11 +11,12 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batch as B
 from ..functions import text as T
 from ..functions.urls import host_of
 
 SUPPRESS_AT, FILTER_AT = 0.72, 0.6
-BRANDS = tuple("dhl fedex usps irs chase wellsfargo bankofamerica netflix amazon google microsoft apple paypal".split())
+BRANDS = tuple(sorted("paypal apple microsoft google amazon netflix bankofamerica wellsfargo chase irs usps fedex dhl".split()))
 SHORTENERS = tuple("buff.ly is.gd ow.ly goo.gl t.co tinyurl.com bit.ly".split())
 VENDORS = tuple(f".{v}.com" for v in ("google", "github", "apple", "microsoft"))
 URGENCY = ("final notice", "limited time", "verify immediately", "account will be suspended", "act now")
@@ -43,16 +44,8 @@ def thin_content(t: Column) -> Column:
     return F.when(n < 50, 0.85).when(n < 150, 0.5).when(n < 300, 0.2).otherwise(0.0)
 
 
-def keyword_stuffing(words: Column) -> Column:
-    """From the share of the most frequent word: sorted words, whose longest run is found in one pass."""
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-
-    def step(a: Column, w: Column) -> Column:
-        run = F.when(a["last"] == w, a["run"] + 1).otherwise(1)
-        return F.struct(w.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
-
-    n = F.size(words)
-    most = F.aggregate(F.array_sort(words), start, step, lambda a: a["most"])
+def keyword_stuffing(n: Column, most: Column) -> Column:
+    """From the share of the most frequent of n words."""
     return F.when(n < 20, 0.0).otherwise(_clamp((most / n - 0.03) / 0.10))
 
 
@@ -68,11 +61,9 @@ def affiliate_links(links: Column, host: Column) -> Column:
     return F.when(n == 0, 0.0).when((share > 0.8) & (n >= 8), 0.7).when(share > 0.6, 0.35).otherwise(0.0)
 
 
-def repetition(words: Column) -> Column:
-    """From the share of distinct three-word runs."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " "))
-    return F.when(n < 30, 0.0).otherwise(_clamp((0.75 - F.size(F.array_distinct(runs)) / F.greatest(n - 2, F.lit(1))) / 0.4))
+def repetition(n: Column, runs: Column) -> Column:
+    """From the share of distinct three-word runs among those of n words."""
+    return F.when(n < 30, 0.0).otherwise(_clamp((0.75 - runs / F.greatest(n - 2, F.lit(1))) / 0.4))
 
 
 def boilerplate(headings: Column, paragraphs: Column) -> Column:
@@ -83,17 +74,12 @@ def boilerplate(headings: Column, paragraphs: Column) -> Column:
 SIGNALS = ("thin_content", "keyword_stuffing", "doorway_page", "affiliate_links", "repetition", "boilerplate")
 
 
-def signals(t: Column, words: Column) -> Column:
-    """A struct of the signals of a page's text and its words."""
-    values = (thin_content(t), keyword_stuffing(words), doorway_page(t, F.col("links")), affiliate_links(F.col("links"), host_of(F.col("url"))), repetition(words), boilerplate(F.col("headings"), F.col("paragraphs")))
-    return F.struct(*[v.cast("double").alias(k) for k, v in zip(SIGNALS, values)])
-
-
 def spam(pages: DataFrame) -> DataFrame:
-    """pages with a column for each signal, spam_score, their mean, and suppress."""
-    found = T.bound(text(), lambda t: T.bound(T.tokens(t), lambda w: signals(t, w)))
-    out = pages.withColumn("_s", found)
-    out = out.withColumns({k: F.col(f"_s.{k}") for k in SIGNALS}).drop("_s")
+    """pages with a column for each signal, spam_score, their mean, and suppress. Words are counted for whole batches, all else within the row."""
+    rows = B.over_words(pages.withColumn("_text", text()), F.col("_text"), [*pages.columns, "_text"], "_n int, _most int, _runs int", B.count_arrays)
+    t, n = F.col("_text"), F.col("_n")
+    values = (thin_content(t), keyword_stuffing(n, F.col("_most")), doorway_page(t, F.col("links")), affiliate_links(F.col("links"), host_of(F.col("url"))), repetition(n, F.col("_runs")), boilerplate(F.col("headings"), F.col("paragraphs")))
+    out = rows.withColumns({k: v.cast("double") for k, v in zip(SIGNALS, values)}).drop("_text", "_n", "_most", "_runs")
     return out.withColumn("spam_score", sum((F.col(k) for k in SIGNALS), F.lit(0.0)) / len(SIGNALS)).withColumn("suppress", F.col("spam_score") >= SUPPRESS_AT)
 
 

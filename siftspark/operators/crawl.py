@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Crawl
+from ..functions import text as T
 from ..functions.urls import canonical_udf, domain_allowed, domain_of
+from ..sources import store
 from ..sources.html import extracted
-from . import classify
+from . import classify, dedup
 
 PRIORITIES = {"seed": 100, "sitemap": 75, "feed": 50, "link": 10}
 AGENT = "siftspark"
@@ -135,19 +138,73 @@ def discovered(spark, candidates: dict[str, DataFrame]) -> DataFrame:
     return rows.filter("url IS NOT NULL").groupBy("url").agg(F.max("priority").alias("priority")).withColumn("domain", domain_of(F.col("url")))
 
 
+def found_in(bodies: DataFrame) -> DataFrame:
+    """(url, kind, domain): what fetched sitemaps and feeds (kind, body) name; kind sitemap_index is a further sitemap to fetch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple[str, str]] = []
+            for kind, body in zip(batch["kind"], batch["body"]):
+                if kind == "feed":
+                    rows += [(link, "feed") for link, _ in parse_feed(body or "")]
+                else:
+                    pages, more = parse_sitemap(body or "")
+                    rows += [(u, "sitemap") for u in pages] + [(u, "sitemap_index") for u in more]
+            yield pd.DataFrame(rows, columns=["url", "kind"])
+
+    rows = bodies.select("kind", "body").mapInPandas(run, "url string, kind string").distinct()
+    return rows.select(canonical_udf("url").alias("url"), "kind").filter("url IS NOT NULL").withColumn("domain", domain_of(F.col("url")))
+
+
+def due(fetched: DataFrame, now: int, seconds: int = 86_400) -> DataFrame:
+    """Pages (url, domain, fetched_unix) to fetch again: those last fetched so many seconds ago or more, as frontier rows of the least urgent kind."""
+    last = fetched.groupBy("url", "domain").agg(F.max("fetched_unix").alias("_t")).filter(F.col("_t") <= now - seconds)
+    return last.select("url", "domain", F.lit(0).alias("depth"), F.lit(PRIORITIES["link"]).alias("priority"), F.col("_t").alias("seq"))
+
+
+def save_frontier(frontier: DataFrame, seen: DataFrame, path: str) -> None:
+    store.save_state({"frontier": frontier, "seen": seen}, path)
+
+
+def load_frontier(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(frontier, seen) as they were last saved; None before."""
+    tables = store.load_state(spark, path)
+    return tables and (tables["frontier"], tables["seen"])
+
+
 def changed(pages: DataFrame, known: DataFrame) -> DataFrame:
     """Fetched pages whose url and etag aren't known: a page without etag always counts as changed."""
     return pages.join(known.select("url", "etag").distinct(), ["url", "etag"], "left_anti")
 
 
-def documents(pages: DataFrame, fetched_unix: int, crawl: Crawl = Crawl(), first_id: int = 1_000_000_000) -> DataFrame:
-    """Index rows of fetched pages (page_id, url, html): allowed domains, so many of a domain, classified, unsafe and spam ones dropped."""
-    own = pages.withColumn("domain", domain_of(F.col("url"))).filter(domain_allowed(F.col("domain"), list(crawl.allowed_domains)))
-    turn = F.row_number().over(Window.partitionBy("domain").orderBy("page_id"))
-    own = own.withColumn("_turn", turn).filter(F.col("_turn") <= crawl.max_pages_per_domain).drop("_turn")
-    judged = classify.policy(classify.spam(extracted(own))).filter(~F.col("filtered") & ~F.col("suppress"))
-    content = classify.text()
-    doc = judged.select(
+def judged(pages: DataFrame, crawl: Crawl | None = None, copies: bool = True) -> DataFrame:
+    """Extracted and classified pages (page_id, url, html) with `fate`: domain (not allowed), budget (beyond a domain's pages), filtered (unsafe), suppressed (spam), duplicate (of an earlier page
+    that isn't one of these; unless copies stay) or indexed. Without crawl, every domain is allowed and no page is beyond a budget."""
+    own = pages.withColumn("domain", domain_of(F.col("url")))
+    fate = F.lit(None).cast("string")
+    if crawl is not None:
+        fate = F.when(~domain_allowed(F.col("domain"), list(crawl.allowed_domains)), "domain")
+        if crawl.max_pages_per_domain:
+            # A domain's pages are ranked by a window; its budget lets Spark keep no more than so many a task.
+            turn = F.row_number().over(Window.partitionBy("domain").orderBy("page_id"))
+            own = own.withColumn("_turn", turn)
+            fate = fate.when(F.col("_turn") > crawl.max_pages_per_domain, "budget")
+    out = classify.policy(classify.spam(extracted(own.withColumn("_fate", fate).drop("_turn")))).withColumn("content", classify.text())
+    out = out.withColumn("_fate", F.coalesce("_fate", F.when(F.col("filtered"), "filtered").when(F.col("suppress"), "suppressed")))
+    if not copies:
+        kept = out.filter("_fate IS NULL").select(F.col("page_id").alias("doc_id"), "content")
+        near = dedup.sketched(kept)
+        first = kept.groupBy(T.exact_hash(F.col("content")).alias("h")).agg(F.min("doc_id").alias("_f"))
+        exact = kept.select("doc_id", T.exact_hash(F.col("content")).alias("h")).join(first, "h").filter(F.col("_f") < F.col("doc_id")).select("doc_id")
+        gone = exact.union(dedup.near_copies(near).select("doc_id")).distinct().select(F.col("doc_id").alias("page_id"), F.lit("duplicate").alias("_copy"))
+        out = out.join(gone, "page_id", "left").withColumn("_fate", F.coalesce("_fate", "_copy")).drop("_copy")
+    return out.withColumn("fate", F.coalesce("_fate", F.lit("indexed"))).drop("_fate")
+
+
+def documents(pages: DataFrame, fetched_unix: int, crawl: Crawl | None = None, first_id: int = 1_000_000_000, copies: bool = True) -> DataFrame:
+    """Index rows of the pages that judged() lets in."""
+    content = F.col("content")
+    doc = judged(pages, crawl, copies).filter("fate = 'indexed'").select(
         (F.col("page_id") + first_id).alias("doc_id"), F.col("url").alias("path"), F.when(F.col("title") == "", F.col("url")).otherwise(F.col("title")).alias("file_name"), F.lit("html").alias("extension"),
         F.octet_length(content).cast("bigint").alias("size_bytes"), F.lit(fetched_unix).cast("bigint").alias("modified_unix"), content.alias("content"), "url", "domain", "title", "lang", "author",
         F.lit("text/html").alias("content_type"), F.lit(fetched_unix).cast("bigint").alias("fetched_unix"), F.array().cast("array<string>").alias("redirect_chain"), F.lit(0).alias("depth"), "spam_score", "policy_flag", "links",
@@ -155,13 +212,21 @@ def documents(pages: DataFrame, fetched_unix: int, crawl: Crawl = Crawl(), first
     return doc.withColumn("pagerank", F.lit(None).cast("double"))
 
 
-def report(pages: DataFrame, crawl: Crawl = Crawl()) -> DataFrame:
-    """Counts of a crawl in one row, from one pass over classified pages."""
-    judged = classify.policy(classify.spam(extracted(pages.withColumn("domain", domain_of(F.col("url"))))))
+def report(pages: DataFrame, crawl: Crawl | None = None, copies: bool = True, robots: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Counts of a crawl in one row. Pages that robots rules (domain, prefix, allow) forbid, or whose etag is known (url, etag), are counted and go no further."""
     count = lambda c: F.count(F.when(c, 1))
-    return judged.agg(
-        F.count(F.lit(1)).alias("fetched"), count(F.col("filtered")).alias("filtered"), count(F.col("suppress") & ~F.col("filtered")).alias("suppressed"),
-        count(~F.col("suppress") & ~F.col("filtered")).alias("indexed"), F.sum(F.size("links")).alias("links"), F.count_distinct("domain").alias("domains"),
+    forbidden = unchanged = F.lit(0).cast("long")
+    offered = pages.agg(F.count(F.lit(1)).alias("fetched"))
+    if robots is not None:
+        ruled = robots_allowed(pages.withColumns({"domain": domain_of(F.col("url")), "path": F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/"))}), robots)
+        offered = offered.crossJoin(ruled.agg(count(~F.col("allowed")).alias("robots")))  # one row each
+        pages, forbidden = ruled.filter("allowed").drop("allowed", "domain", "path"), F.col("robots")
+    if known is not None:
+        left = changed(pages, known)
+        offered = offered.crossJoin(pages.agg(F.count(F.lit(1)).alias("_before")).crossJoin(left.agg(F.count(F.lit(1)).alias("_after"))))
+        pages, unchanged = left, F.col("_before") - F.col("_after")
+    own = judged(pages, crawl, copies).agg(
+        *[count(F.col("fate") == k).alias(k) for k in ("domain", "budget", "filtered", "suppressed", "duplicate", "indexed")],
+        F.coalesce(F.sum(F.when(F.col("fate") == "indexed", F.size("links"))), F.lit(0)).alias("links"), F.coalesce(F.sum(F.size("feeds")), F.lit(0)).alias("feeds"), F.count_distinct("domain").alias("domains"),
     )
-
-
+    return own.crossJoin(offered).withColumns({"robots": forbidden, "unchanged": unchanged}).select("fetched", "domain", "budget", "filtered", "suppressed", "duplicate", "indexed", "robots", "unchanged", "links", "feeds", "domains")

@@ -2,43 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batch as B
 from ..functions import text as T
 
-#: Fingerprints compared with all others; beyond, pairs are searched by bands.
-THETA_ROWS = 20_000
+#: Shingles of lowest hash that a text is looked up by.
+SKETCH = 16
 
 
-def near_pairs(fingerprints: DataFrame, bits: int = T.MAX_NEAR_BITS, bands: int | None = None) -> DataFrame:
-    """(a, b, distance) of fingerprints (doc_id, hi, lo) at most `bits` apart, a < b.
+def within(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
+    """(a, b, distance) of every row a of left and b of right (doc_id, hi, lo) at most `bits` apart. Exact at any size by an equi-join: bits differing places can't be in all of
+    bits + 1 bands, so one band is equal. Bands get narrow as bits grow: meant for distances of up to a quarter of the 64."""
+    n = bits + 1
+    edges = [round(64 * i / n) for i in range(n + 1)]
 
-    Without bands every two rows are compared, which is exact. With bands (8 or 16 to a fingerprint), only rows that agree in one: exact for distances below the number of
-    bands, approximate beyond."""
+    def band(a: int, b: int) -> Column:
+        """Bits a to b - 1 of lo's 32 and then hi's."""
+        low = F.shiftrightunsigned("lo", a).bitwiseAND(F.lit((1 << min(b, 32) - a) - 1)) if a < 32 else F.lit(0).cast("bigint")
+        if b <= 32:
+            return low
+        high = F.shiftrightunsigned("hi", max(a - 32, 0)).bitwiseAND(F.lit((1 << b - max(a, 32)) - 1))
+        return low.bitwiseOR(F.call_function("shiftleft", high, F.lit(max(0, 32 - a))))
+
+    keys = F.array(*[F.struct(F.lit(i).alias("i"), band(a, b).alias("v")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a])
+    a, b = (df.select("doc_id", "hi", "lo", F.explode(keys).alias("_band")).alias(x) for df, x in ((left, "a"), (right, "b")))
+    distance = T.hamming(F.col("a.hi"), F.col("a.lo"), F.col("b.hi"), F.col("b.lo"))
+    found = a.join(b, F.col("a._band") == F.col("b._band")).filter(distance <= bits)
+    return found.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), distance.alias("distance")).distinct()
+
+
+def near_pairs(fingerprints: DataFrame, bits: int = T.MAX_NEAR_BITS) -> DataFrame:
+    """(a, b, distance) of fingerprints (doc_id, hi, lo) at most `bits` apart, a < b. Compares every two rows: exact, quadratic, for tables of some ten thousand rows; for larger ones, near_copies."""
     f = fingerprints.select("doc_id", "hi", "lo")
-    if bands:
-        width, each = 64 // bands, bands // 2
-        mask = (1 << width) - 1
-        keys = [F.struct(F.lit(h * each + i).alias("k"), F.shiftrightunsigned(F.col(c), i * width).bitwiseAND(F.lit(mask)).alias("v")) for h, c in enumerate(("hi", "lo")) for i in range(each)]
-        rows = f.withColumn("_band", F.explode(F.array(*keys)))
-        a, b = rows.alias("a"), rows.alias("b")
-        on = (F.col("a._band") == F.col("b._band")) & (F.col("a.doc_id") < F.col("b.doc_id"))
-    else:
-        a, b = f.alias("a"), f.alias("b")
-        on = F.col("a.doc_id") < F.col("b.doc_id")
+    a, b = f.alias("a"), f.alias("b")
     distance = T.hamming(F.col("a.hi"), F.col("a.lo"), F.col("b.hi"), F.col("b.lo"))
-    out = a.join(b, on & (distance <= bits)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), distance.alias("distance"))
-    return out.distinct() if bands else out
+    return a.join(b, (F.col("a.doc_id") < F.col("b.doc_id")) & (distance <= bits)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), distance.alias("distance"))
+
+
+def sketched(docs: DataFrame, text: str = "content", key: str = "doc_id", k: int = SKETCH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep..., hi, lo, sketch): fingerprints and the k lowest of the MD5s of a text's shingles (60 bits)."""
+    return B.over_words(docs, F.col(text), [key, *keep], "hi bigint, lo bigint, sketch array<bigint>", B.sketch_arrays(k))
+
+
+def near_copies(sketches: DataFrame, bits: int = T.MAX_NEAR_BITS) -> DataFrame:
+    """(doc_id, duplicate_of, distance): of each row (doc_id, hi, lo, sketch) the earliest found to be at most `bits` apart, for those that have one.
+
+    Candidates come from an equi-join on shingles: a document meets, for each shingle of its sketch, the first document that has it, and the first of that one's fingerprint. So
+    there are at most `SKETCH` candidates a document, whatever the groups, and a shingle that a third of all documents have is one row a task until it is joined to its
+    first document. Approximate: near copies that share no shingle of both sketches, or only ones whose first document is no near copy, aren't found (recall in the README)."""
+    rows = sketches.select("doc_id", "hi", "lo", F.explode("sketch").alias("s"))
+    first = rows.groupBy("s").agg(F.min(F.struct("doc_id", "hi", "lo")).alias("f"))
+    distance = T.hamming(F.col("hi"), F.col("lo"), F.col("f.hi"), F.col("f.lo"))
+    found = rows.join(first, "s").filter((F.col("f.doc_id") < F.col("doc_id")) & (distance <= bits))
+    best = found.groupBy("doc_id").agg(F.min(F.struct(F.col("f.doc_id").alias("duplicate_of"), distance.alias("distance"))).alias("f"))
+    return best.select("doc_id", "f.duplicate_of", "f.distance")
 
 
 def find_duplicate(fingerprints: DataFrame, probes: DataFrame, bits: int = T.MAX_NEAR_BITS) -> DataFrame:
-    """(doc_id, duplicate_of) of each probe: the first row of the same exact hash, else the first row within `bits`; null without one."""
-    own = fingerprints.select(F.col("doc_id").alias("_d"), F.col("exact_hash").alias("_x"), F.col("hi").alias("_h"), F.col("lo").alias("_l"))
-    exact = probes.join(own, F.col("exact_hash") == F.col("_x")).filter("_d <> doc_id").groupBy("doc_id").agg(F.min("_d").alias("_exact"))
-    rest = probes.join(exact, "doc_id", "left_anti")
-    near = T.hamming(F.col("hi"), F.col("lo"), F.col("_h"), F.col("_l")) <= bits
-    fuzzy = rest.join(own, near & (F.col("_d") != F.col("doc_id"))).groupBy("doc_id").agg(F.min("_d").alias("_near"))
+    """(doc_id, duplicate_of) of each probe: the first row of the same exact hash, else the first row found within `bits`; null without one.
+
+    Both have doc_id, exact_hash, hi, lo and sketch; the second search is that of near_copies, over the rows of fingerprints."""
+    lowest = fingerprints.groupBy("exact_hash").agg(F.min("doc_id").alias("_first"))
+    second = fingerprints.join(lowest, "exact_hash").filter("doc_id > _first").groupBy("exact_hash").agg(F.min("doc_id").alias("_second"))
+    own = lowest.join(second, "exact_hash", "left")
+    exact = probes.join(own, "exact_hash").select("doc_id", F.when(F.col("_first") != F.col("doc_id"), F.col("_first")).otherwise(F.col("_second")).alias("_exact")).filter("_exact IS NOT NULL")
+    first = fingerprints.select("doc_id", "hi", "lo", F.explode("sketch").alias("s")).groupBy("s").agg(F.min(F.struct("doc_id", "hi", "lo")).alias("f"))
+    rest = probes.join(exact, "doc_id", "left_anti").select("doc_id", "hi", "lo", F.explode("sketch").alias("s"))
+    near = T.hamming(F.col("hi"), F.col("lo"), F.col("f.hi"), F.col("f.lo")) <= bits
+    fuzzy = rest.join(first, "s").filter(near & (F.col("f.doc_id") != F.col("doc_id"))).groupBy("doc_id").agg(F.min("f.doc_id").alias("_near"))
     return probes.select("doc_id").join(exact, "doc_id", "left").join(fuzzy, "doc_id", "left").select("doc_id", F.coalesce("_exact", "_near").alias("duplicate_of"))
 
 

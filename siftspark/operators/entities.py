@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 EMAIL, NAME, CODE = "email", "proper_noun", "code"
-_KIND = ArrayType(StructType([StructField("name", StringType()), StructField("kind", StringType())]))
-_SNAKE = re.compile(r"\w+")
 
 
 def _trim(word: str, keep: str = "") -> str:
@@ -35,38 +33,50 @@ def extract(text: str) -> list[tuple[str, str]]:
     """(name, kind) in order of kind and place: e-mail addresses, runs of capitalised words, code identifiers."""
     words = text.split()
     out = []
+    if "@" in text:
+        for w in words:
+            if "@" in w:
+                w = _trim(w, "@.")
+                if w.count("@") == 1 and "." in w and w[0] != "@":
+                    out.append((w.lower(), EMAIL))
+    if not text.islower():
+        i, opens, n = 0, True, len(words)
+        while i < n:
+            after = i + 1
+            w = words[i]
+            if not w.islower():
+                w = _trim(w)
+                if w[:1].isupper() and any(map(str.islower, w[1:])):
+                    run = [w]
+                    while after < n and (more := _trim(words[after]))[:1].isupper():
+                        run.append(more)
+                        after += 1
+                    name = " ".join(run)
+                    if (len(run) > 1 or not opens) and len(name.encode()) >= 3:
+                        out.append((name, NAME))
+            i = after
+            opens = words[i - 1][-1] in ".!?"
     for w in words:
-        w = _trim(w, "@.")
-        if w.count("@") == 1 and "." in w and w[0] != "@":
-            out.append((w.lower(), EMAIL))
-    bare = [_trim(w) for w in words]
-    i, opens = 0, True
-    while i < len(words):
-        after = i + 1
-        w = bare[i]
-        if w[:1].isupper() and any(map(str.islower, w[1:])):
-            while after < len(words) and bare[after][:1].isupper():
-                after += 1
-            run = " ".join(bare[i:after])
-            if (after - i > 1 or not opens) and len(run.encode()) >= 3:
-                out.append((run, NAME))
-        i = after
-        opens = words[i - 1][-1] in ".!?"
-    for w in words:
-        w = _trim(w, "_:.").rstrip(".")
-        if 4 <= len(w.encode()) <= 60 and _is_code(w):
-            out.append((w, CODE))
+        if "_" in w or "::" in w or not w.islower():
+            w = _trim(w, "_:.").rstrip(".")
+            if 4 <= len(w.encode()) <= 60 and _is_code(w):
+                out.append((w, CODE))
     return out
 
 
-@F.pandas_udf(_KIND)
-def extract_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"name": n, "kind": k} for n, k in dict.fromkeys(extract(t))] if t else [])
-
-
 def mentions(docs: DataFrame, text: str = "content", ts: str = "modified_unix") -> DataFrame:
-    """(doc_id, name, kind, ts): once for each name and kind of a document."""
-    return docs.select("doc_id", F.col(ts).alias("ts"), F.explode(extract_udf(F.col(text))).alias("_e")).select("doc_id", "_e.name", "_e.kind", "ts").distinct()
+    """(doc_id, name, kind, ts): once for each name and kind of a row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [dict.fromkeys(extract(t)) if t else () for t in batch.column("text").to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]).astype(np.int64))
+            flat = [x for f in found for x in f]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), pa.array([n for n, _ in flat], pa.string()), pa.array([k for _, k in flat], pa.string()), batch.column("ts").take(row)], ["doc_id", "name", "kind", "ts"])
+
+    chosen = docs.select("doc_id", F.col(text).alias("text"), F.col(ts).alias("ts"))
+    kinds = dict(chosen.dtypes)
+    return chosen.mapInArrow(run, f"doc_id {kinds['doc_id']}, name string, kind string, ts {kinds['ts']}")
 
 
 def cooccurrence(mentions: DataFrame) -> DataFrame:

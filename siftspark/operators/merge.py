@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Ranking
 from ..functions import scoring as S
-from ..functions import text as T
 
 WEIGHTS = {"federated": 0.85, "archive": 0.95, "email": 1.0, "pdf": 1.0, "web_page": 1.0, "note": 1.1, "local_file": 1.1}
 
@@ -33,17 +34,13 @@ def normalized(found: DataFrame, ranking: Ranking) -> DataFrame:
 
 
 def drop_cross_source(index, found: DataFrame, ranking: Ranking) -> DataFrame:
-    """found without web pages that are near copies of a local result; as it is beyond `hybrid_dedup_most` results."""
-    spark = found.sparkSession
-    ids = found.select("doc_id", "is_web").limit(ranking.hybrid_dedup_most + 1).collect()
-    if len(ids) > ranking.hybrid_dedup_most:
-        return found
-    # At most hybrid_dedup_most rows.
-    sides = spark.createDataFrame(ids, "doc_id bigint, is_web boolean").join(index.fingerprints, "doc_id")
-    local = F.broadcast(sides.filter(~F.col("is_web")).select(F.col("hi").alias("_h"), F.col("lo").alias("_l")))
-    near = T.similarity(T.hamming(F.col("hi"), F.col("lo"), F.col("_h"), F.col("_l"))) >= ranking.hybrid_dedup_min_similarity
-    gone = sides.filter("is_web").join(local, near, "left_semi").select("doc_id")
-    return found.join(F.broadcast(gone), "doc_id", "left_anti")
+    """found without web pages that are near copies of a local result, at any number of results: fingerprints of both sides meet by equal bands."""
+    from . import dedup
+
+    bits = math.floor(64 * (1 - ranking.hybrid_dedup_min_similarity) + 1e-9)
+    sides = found.select("doc_id", "is_web").join(index.fingerprints.select("doc_id", "hi", "lo"), "doc_id")
+    gone = dedup.within(sides.filter("is_web"), sides.filter(~F.col("is_web")), bits).select(F.col("a").alias("doc_id")).distinct()
+    return found.join(gone, "doc_id", "left_anti")
 
 
 def with_peers(found: DataFrame, peers: DataFrame, limit: int = 10) -> DataFrame:

@@ -18,7 +18,7 @@ from ..config import Ranking
 from ..functions import scoring as S
 from ..functions import text as T
 from ..plans import query as Q
-from .index import Index, term_part_of
+from .index import Index, term_part, term_part_of
 
 
 @dataclass
@@ -115,22 +115,27 @@ class Compiled:
 
 
 def evaluate(index: Index, node: Q.Node, now: int) -> DataFrame:
-    """The columns of docs, terms array<struct<term,tf,df>> and exact_phrase of every document that matches."""
+    """The columns of index.narrow, terms array<struct<term,tf,df>> and exact_phrase of every document that matches."""
     c = Compiled()
     match, active, empty = c.compile(node, now)
-    docs = index.counted
+    docs = index.narrow
     if c.leaves:
-        hit = reduce(or_, [c.leaf_terms(x) for x in c.leaves])
-        rows, vocab = index.postings, index.vocab.filter(hit)
-        exact = c.exact_terms()
-        if exact is not None and "part" in rows.columns:
-            rows = rows.filter(F.col("part").isin(*{term_part_of(t) for t in exact}))
-        rows = rows.filter(hit).join(vocab.select("term", "df"), "term")
+        # Patterns are tried on the vocabulary, a row a term; the terms that they find are then looked up.
         leaf = F.array(*[c.leaf_terms(x) for x in c.leaves])
-        found = F.struct("term", "tf", "df", leaf.alias("leaves"))
+        terms = index.vocab.filter(reduce(or_, [c.leaf_terms(x) for x in c.leaves])).select("term", "df", leaf.alias("leaves"))
+        rows, keys = index.postings, ["term"]
+        exact = c.exact_terms()
+        if index.parts and exact is not None:
+            rows = rows.filter(F.col("part").isin(*{term_part_of(t, index.parts) for t in exact}) & F.col("term").isin(*exact))
+        elif index.parts:
+            keys, terms = ["part", "term"], terms.withColumn("part", term_part(F.col("term"), index.parts))
+        elif exact is not None:
+            rows = rows.filter(F.col("term").isin(*exact))
+        rows = rows.join(terms, keys)
+        found = F.struct("term", "tf", "df", "leaves")
         hits = rows.groupBy("doc_id").agg(
             F.collect_list(found).alias("_hits"),
-            *[F.max(c.leaf_terms(x)).alias(f"_l{i}") for i, x in enumerate(c.leaves)],
+            *[F.max(F.col("leaves")[i]).alias(f"_l{i}") for i in range(len(c.leaves))],
             *[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{k}") for k, t in enumerate(c.phrase_terms)],
         )
         docs = docs.join(hits, "doc_id", "left" if empty else "inner")
@@ -223,7 +228,7 @@ def with_vector_boost(index: Index, found: DataFrame, terms: list[str], weight:
 
 
 def results(index: Index, node: Q.Node | str, ranking: Ranking = Ranking(), now: int = 0, mode: str = "web", principal: str | None = None, groups: list[str] | None = None, clicks: DataFrame | None = None) -> DataFrame:
-    """Every result, unsorted. With a principal or groups, rows that the caller may not see go."""
+    """Every result, unsorted and without its text (with_content). With a principal or groups, rows that the caller may not see go."""
     node = Q.parse(node) if isinstance(node, str) else node
     found = evaluate(index, node, now).filter(in_mode(mode))
     if principal is not None or groups is not None:
@@ -252,8 +257,14 @@ def counts(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(~F.col("is_web"), 1)).alias("local_count"), F.count(F.when(F.col("is_web"), 1)).alias("web_count"))
 
 
+def with_content(index: Index, best: DataFrame) -> DataFrame:
+    """A page of results, in its order, with the texts: read for the page alone."""
+    texts = index.docs.select("doc_id", "content").join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi")
+    return best.join(texts, "doc_id", "left").orderBy(F.desc("score"), "doc_id")
+
+
 def search(index: Index, query: Q.Node | str, ranking: Ranking = Ranking(), now: int = 0, mode: str = "web", limit: int = 10, offset: int = 0, **who) -> DataFrame:
-    return page(results(index, query, ranking, now, mode, **who), limit, offset)
+    return with_content(index, page(results(index, query, ranking, now, mode, **who), limit, offset))
 
 
 _LABELS = {

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_word
@@ -40,12 +40,27 @@ def _sealing(key: bytes) -> Column:
     return _binary(hashlib.sha256(b"seal" + key).digest())
 
 
-def build(postings: DataFrame, key: bytes) -> DataFrame:
-    """(trapdoor, blob)."""
-    lists = postings.groupBy("term").agg(F.array_join(F.sort_array(F.collect_set("doc_id")), ",").alias("_ids"))
+#: Documents of one sealed list, about; a more frequent term has several.
+LIST_DOCS = 1_000_000
+
+
+def build(postings: DataFrame, key: bytes, list_docs: int = LIST_DOCS) -> DataFrame:
+    """(trapdoor, blob). The documents of a term of more than list_docs are spread over several lists, so none gathers in one task."""
+    most = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 + most // list_docs))
+    lists = postings.groupBy("term", spread.alias("_k")).agg(F.array_join(F.sort_array(F.collect_set("doc_id")), ",").alias("_ids"))
     return lists.select(trapdoor(key, F.col("term")).alias("trapdoor"), F.aes_encrypt(F.encode("_ids", "UTF-8"), _sealing(key), F.lit("GCM")).alias("blob"))
 
 
+def save(sealed: DataFrame, path: str) -> None:
+    """As Parquet in order of trapdoors, so that a lookup reads few row groups."""
+    sealed.repartitionByRange("trapdoor").sortWithinPartitions("trapdoor").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("trapdoor string, blob binary").parquet(path)
+
+
 def _opened(sealed: DataFrame, key: bytes, terms: list[str]) -> DataFrame:
     wanted = sealed.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(trapdoor(key, F.col("t")).alias("trapdoor")).distinct()
     ids = F.split(F.decode(F.aes_decrypt("blob", _sealing(key), F.lit("GCM")), "UTF-8"), ",")

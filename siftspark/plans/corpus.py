@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.index import Index, documents
+from ..operators.index import Index, analysed, documents
+from .tables import written
 
 NOW = 1_700_000_000
 WEB_ID = 1_000_000_000
@@ -28,24 +29,40 @@ def local_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Every so many-th document is published on a mirror as well, so that copies stand on both sides.
+MIRRORED = 10
+
+
 def web_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by plain patterns: the text between tags, without scripts and styles. operators.crawl has the full extraction."""
+    """Pages by plain patterns (the text between tags, without scripts and styles; operators.crawl has the full extraction) with ranks and spam scores that differ, and mirrored documents."""
     p = table(spark, sf_dir, "pages")
     bare = F.regexp_replace(F.regexp_replace("html", r"(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>", " "), r"(?s)<[^>]*>", " ")
-    return p.select(
+    pages = p.select(
         (F.col("page_id") + WEB_ID).alias("doc_id"), F.col("url").alias("path"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("file_name"), F.lit("html").alias("extension"),
         F.octet_length("html").cast("bigint").alias("size_bytes"), (F.lit(NOW) - F.col("page_id") * 60).alias("modified_unix"), bare.alias("content"), "url",
         F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1), r"^www\.", "").alias("domain"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"),
-        F.lit(0.25).alias("spam_score"), F.lit(0.0001).alias("pagerank"),
+        (F.col("page_id") % 5 * 0.125).alias("spam_score"), (F.col("page_id") % 7 * 0.0001).alias("pagerank"),
+    )
+    d = table(spark, sf_dir, "documents").filter(F.col("doc_id") % MIRRORED == 3)
+    url = F.concat(F.lit("https://mirror.example/"), F.col("doc_id").cast("string"))
+    mirrored = d.select(
+        (F.col("doc_id") + 2 * WEB_ID).alias("doc_id"), url.alias("path"), F.concat(F.lit("mirror "), F.col("doc_id").cast("string")).alias("file_name"), F.lit("html").alias("extension"), F.col("n_chars").alias("size_bytes"),
+        F.lit(NOW).cast("bigint").alias("modified_unix"), F.col("text").alias("content"), url.alias("url"), F.lit("mirror.example").alias("domain"), "lang", F.lit(0.0).alias("spam_score"), F.lit(0.0).alias("pagerank"),
     )
+    return pages.unionByName(mirrored)
+
+
+def _index(docs: DataFrame) -> Index:
+    """An index whose texts are read once, as those of a saved one."""
+    return Index(written(analysed(docs), "docs"))
 
 
 def local_index(spark: SparkSession, sf_dir: str) -> Index:
-    return Index(documents(local_docs(spark, sf_dir)))
+    return _index(documents(local_docs(spark, sf_dir)))
 
 
 def full_index(spark: SparkSession, sf_dir: str) -> Index:
-    return Index(documents(local_docs(spark, sf_dir)).unionByName(documents(web_docs(spark, sf_dir))))
+    return _index(documents(local_docs(spark, sf_dir)).unionByName(documents(web_docs(spark, sf_dir))))
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +93,12 @@ def tokens_sql(text: str) -> str:
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 LOCAL_SQL = f"""SELECT doc_id, source || '/' || doc_id || '.txt' AS path, doc_id || '.txt' AS file_name, 'txt' AS extension, n_chars AS size_bytes, {NOW} - doc_id * 3600 AS modified_unix,
-  doc_id % 7 AS owner, doc_id % 3 AS team, doc_id % 2 = 0 AS public, text AS content, NULL AS url, NULL AS domain, NULL AS lang FROM documents"""
+  doc_id % 7 AS owner, doc_id % 3 AS team, doc_id % 2 = 0 AS public, text AS content, NULL AS url, NULL AS domain, NULL AS lang, NULL::DOUBLE AS spam_score, NULL::DOUBLE AS pagerank FROM documents"""
 WEB_SQL = f"""SELECT page_id + {WEB_ID} AS doc_id, url AS path, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS file_name, 'html' AS extension, strlen(html) AS size_bytes, {NOW} - page_id * 60 AS modified_unix,
   0 AS owner, 0 AS team, true AS public, regexp_replace(regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS content, url,
-  regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '^www\\.', '') AS domain, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages"""
+  regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '^www\\.', '') AS domain, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, page_id % 5 * 0.125::DOUBLE AS spam_score, page_id % 7 * 0.0001::DOUBLE AS pagerank FROM pages
+UNION ALL BY NAME SELECT doc_id + {2 * WEB_ID} AS doc_id, 'https://mirror.example/' || doc_id AS path, 'mirror ' || doc_id AS file_name, 'html' AS extension, n_chars AS size_bytes, {NOW} AS modified_unix,
+  0 AS owner, 0 AS team, true AS public, text AS content, 'https://mirror.example/' || doc_id AS url, 'mirror.example' AS domain, lang, 0.0::DOUBLE AS spam_score, 0.0::DOUBLE AS pagerank FROM documents WHERE doc_id % {MIRRORED} = 3"""
 
 
 def index_sql(web: bool = False) -> str:

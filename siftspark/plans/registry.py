@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Ranking
+from ..config import Crawl, Ranking
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import urls as U
@@ -53,7 +53,7 @@ def _tf(where: str) -> str:
     return f"SELECT doc_id, term, tf FROM postings WHERE {where}"
 
 
-_WEB_BOOST = "(CASE WHEN url IS NULL THEN 1 ELSE (1 + 0.5 * 0.0001 * (SELECT n_docs FROM stats)) * 0.85 END)"
+_WEB_BOOST = "(CASE WHEN url IS NULL THEN 1 ELSE (1 + 0.5 * pagerank * (SELECT n_docs FROM stats)) * (1 - 0.6 * spam_score) END)"
 
 
 def _url_boost(*terms: str) -> str:
@@ -89,16 +89,39 @@ _search("search_web", "tion", search_sql(_tf("term = 'tion'"), web=True, where="
 _search("search_site", "tion site:example.org lang:en", search_sql(_tf("term = 'tion'"), web=True, where="url IS NOT NULL AND (domain = 'example.org' OR ends_with(domain, '.example.org')) AND lang = 'en'", boost=f"{_WEB_BOOST} * {_url_boost('tion')} * {_name_boost('tion')}", limit=None), mode="web", web=True, limit=None)
 
 
-@register("search_both", search_sql(_tf("term IN ('eding', 'thble')"), web=True, boost=f"{_WEB_BOOST} * (CASE WHEN doc_id IN (SELECT t.doc_id FROM tfs t JOIN docs d ON t.doc_id = d.doc_id WHERE contains(lower(d.path), t.term)) THEN 1.2 ELSE 1 END) * (CASE WHEN url IS NULL THEN 1.2 ELSE 1 END)", limit=None).replace("match_count, round", "match_count, url IS NOT NULL AS is_web, round"))
+def _shingles_of(table_: str, key: str, text: str) -> str:
+    """CTEs up to fp (key, hi, lo): fingerprints of the shingles of a text."""
+    return f"""t AS MATERIALIZED (SELECT {key}, {tokens_sql(text)} AS w FROM {table_}
+), s AS (SELECT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, chr(1))] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(1))) END) AS s FROM t
+), h AS (SELECT {key}, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h, ('0x' || substr(md5(s), 9, 8))::BIGINT AS l FROM s
+), f AS (SELECT {key}, {' + '.join(f"CASE WHEN sum(CASE WHEN h & {1 << b} <> 0 THEN 1 ELSE -1 END) > 0 THEN {1 << b}::BIGINT ELSE 0 END" for b in range(32))} AS hi,
+  {' + '.join(f"CASE WHEN sum(CASE WHEN l & {1 << b} <> 0 THEN 1 ELSE -1 END) > 0 THEN {1 << b}::BIGINT ELSE 0 END" for b in range(32))} AS lo FROM h GROUP BY 1
+), fp AS MATERIALIZED (SELECT t.{key}, coalesce(hi, 0) AS hi, coalesce(lo, 0) AS lo FROM t LEFT JOIN f USING ({key}))"""
+
+
+_PRINTS = ", " + _shingles_of("docs", "doc_id", "content")
+#: Web results within 12 bits of a local result go.
+_NO_COPY = "(url IS NULL OR doc_id NOT IN (SELECT w.doc_id FROM (SELECT fp.* FROM fp JOIN docs USING (doc_id) WHERE url IS NOT NULL AND doc_id IN (SELECT doc_id FROM tfs)) w, (SELECT fp.* FROM fp JOIN docs USING (doc_id) WHERE url IS NULL AND doc_id IN (SELECT doc_id FROM tfs)) l WHERE bit_count(xor(w.hi, l.hi)) + bit_count(xor(w.lo, l.lo)) <= 12))"
+_BOTH_BOOST = f"{_WEB_BOOST} * (CASE WHEN doc_id IN (SELECT t.doc_id FROM tfs t JOIN docs d ON t.doc_id = d.doc_id WHERE contains(lower(d.path), t.term)) THEN 1.2 ELSE 1 END) * (CASE WHEN url IS NULL THEN 1.2 ELSE 1 END)"
+_IS_WEB = ("match_count, round", "match_count, url IS NOT NULL AS is_web, round")
+
+
+@register("search_both", search_sql(_tf("term IN ('eding', 'thble')"), web=True, extra=_PRINTS, where=_NO_COPY, boost=_BOTH_BOOST, limit=None).replace(*_IS_WEB))
 def search_both(spark, sf):
-    """Both sources; beyond 500 results the cross-source comparison is skipped, as here at any size with a limit of 0."""
-    found = search.results(full_index(spark, sf), "eding OR thble", Ranking(vector_weight=0.0, filename_boost=1.0, hybrid_dedup_most=0), NOW, "both")
+    """Both sources, without web copies of local results."""
+    found = search.results(full_index(spark, sf), "eding OR thble", Ranking(vector_weight=0.0, filename_boost=1.0), NOW, "both")
     return found.select(*RANKED, "is_web", F.round("score", 6).alias("score"))
 
 
-@register("search_counts", index_sql(True) + " SELECT count(*) AS total, count(*) FILTER (url IS NULL) AS local_count, count(*) FILTER (url IS NOT NULL) AS web_count FROM docs WHERE doc_id IN (SELECT doc_id FROM postings WHERE term = 'tion')")
+@register("search_counts", index_sql(True) + _PRINTS + f", tfs AS (SELECT DISTINCT doc_id FROM postings WHERE term = 'tion') SELECT count(*) AS total, count(*) FILTER (url IS NULL) AS local_count, count(*) FILTER (url IS NOT NULL) AS web_count FROM docs WHERE doc_id IN (SELECT doc_id FROM tfs) AND {_NO_COPY}")
 def search_counts(spark, sf):
-    return search.counts(search.results(full_index(spark, sf), "tion", Ranking(vector_weight=0.0, hybrid_dedup_most=0), NOW, "both"))
+    return search.counts(search.results(full_index(spark, sf), "tion", PLAIN, NOW, "both"))
+
+
+@register("hybrid_cross_source", search_sql(_tf("term IN ('esinen', 'eanthe')"), web=True, extra=_PRINTS, where=_NO_COPY, boost=_BOTH_BOOST, limit=None).replace(*_IS_WEB).replace("match_count, url IS", "url IS"))
+def hybrid_cross_source(spark, sf):
+    found = search.results(full_index(spark, sf), "esinen OR eanthe", Ranking(vector_weight=0.0, filename_boost=1.0), NOW, "both")
+    return found.select("doc_id", "is_web", F.round("score", 6).alias("score"))
 
 
 @register("search_vector_boost")
@@ -202,12 +225,7 @@ def text_exact_hash(spark, sf):
 
 
 def _shingles_sql(table_: str = "documents", key: str = "doc_id", text: str = "text") -> str:
-    return f"""WITH t AS MATERIALIZED (SELECT {key}, {tokens_sql(text)} AS w FROM {table_}
-), s AS (SELECT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, chr(1))] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(1))) END) AS s FROM t
-), h AS (SELECT {key}, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h, ('0x' || substr(md5(s), 9, 8))::BIGINT AS l FROM s
-), f AS (SELECT {key}, {' + '.join(f"CASE WHEN sum(CASE WHEN h & {1 << b} <> 0 THEN 1 ELSE -1 END) > 0 THEN {1 << b}::BIGINT ELSE 0 END" for b in range(32))} AS hi,
-  {' + '.join(f"CASE WHEN sum(CASE WHEN l & {1 << b} <> 0 THEN 1 ELSE -1 END) > 0 THEN {1 << b}::BIGINT ELSE 0 END" for b in range(32))} AS lo FROM h GROUP BY 1
-), fp AS MATERIALIZED (SELECT t.{key}, coalesce(hi, 0) AS hi, coalesce(lo, 0) AS lo FROM t LEFT JOIN f USING ({key}))"""
+    return f"WITH {_shingles_of(table_, key, text)}"
 
 
 @register("text_simhash", _shingles_sql() + " SELECT doc_id, hi, lo FROM fp")
@@ -221,15 +239,38 @@ def near_duplicates_benchmark(spark, sf):
     return dedup.near_pairs(T.simhash(items, "text"), 24)
 
 
-@register("near_duplicates_banded")
-def near_duplicates_banded(spark, sf):
-    return dedup.near_pairs(T.simhash(table(spark, sf, "documents"), "text"), bands=16)
+_SKETCHES = _shingles_sql() + """, sk AS MATERIALIZED (SELECT doc_id, unnest(list_sort(list_distinct(list(('0x' || substr(md5(s), 1, 15))::BIGINT)))[1:16]) AS s FROM s GROUP BY 1
+), first AS (SELECT s, min(doc_id) AS a FROM sk GROUP BY 1
+), near AS (SELECT sk.doc_id, a, (bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)))::INT AS distance FROM sk JOIN first USING (s) JOIN fp x ON x.doc_id = sk.doc_id JOIN fp y ON y.doc_id = a WHERE a < sk.doc_id)"""
+
+
+@register("near_duplicates_documents", f"{_SKETCHES} SELECT doc_id, min(a) AS duplicate_of FROM near WHERE distance <= 18 GROUP BY 1")
+def near_duplicates_documents(spark, sf):
+    """Of every document the earliest near copy that shares a shingle of the sketches."""
+    return dedup.near_copies(dedup.sketched(table(spark, sf, "documents"), "text")).select("doc_id", "duplicate_of")
+
+
+@register("fingerprints_within", _shingles_sql() + " SELECT a.doc_id AS a, b.doc_id AS b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance FROM fp a JOIN fp b ON a.doc_id % 20 = 0 AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12")
+def fingerprints_within(spark, sf):
+    """Every twentieth document against all, exactly, by equal bands."""
+    f = T.simhash(table(spark, sf, "documents"), "text")
+    return dedup.within(f.filter("doc_id % 20 = 0"), f, 12)
+
+
+@register("duplicates_found", _shingles_sql() + """, e AS (SELECT doc_id, md5(lower(text)) AS h FROM documents), x AS (SELECT e.doc_id, min(o.doc_id) AS a FROM e JOIN e o ON e.h = o.h AND e.doc_id <> o.doc_id WHERE e.doc_id % 20 = 0 GROUP BY 1
+), sk AS (SELECT doc_id, unnest(list_sort(list_distinct(list(('0x' || substr(md5(s), 1, 15))::BIGINT)))[1:16]) AS s FROM s GROUP BY 1), first AS (SELECT s, min(doc_id) AS a FROM sk GROUP BY 1
+), near AS (SELECT sk.doc_id, min(a) AS a FROM sk JOIN first USING (s) JOIN fp p ON p.doc_id = sk.doc_id JOIN fp q ON q.doc_id = a WHERE a <> sk.doc_id AND bit_count(xor(p.hi, q.hi)) + bit_count(xor(p.lo, q.lo)) <= 18 GROUP BY 1)
+SELECT e.doc_id, coalesce(x.a, near.a) AS duplicate_of FROM e LEFT JOIN x USING (doc_id) LEFT JOIN near USING (doc_id) WHERE e.doc_id % 20 = 0""")
+def duplicates_found(spark, sf):
+    """Every twentieth document against all: an exact copy first, else a near one."""
+    docs = table(spark, sf, "documents")
+    prints = dedup.sketched(docs.withColumn("exact_hash", T.exact_hash(F.col("text"))), "text", keep=("exact_hash",))
+    return dedup.find_duplicate(prints, prints.filter("doc_id % 20 = 0"))
 
 
 @register("text_lexical_vectors", f"WITH t AS (SELECT doc_id, unnest({tokens_sql('text')}) AS w FROM documents), s AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 256)::INT AS bucket, sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS w FROM t GROUP BY 1, 2) SELECT doc_id, bucket, round(w / n, 6) AS w FROM s JOIN (SELECT doc_id, sqrt(sum(w * w)) AS n FROM s GROUP BY 1) USING (doc_id) WHERE w <> 0")
 def text_lexical_vectors(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return T.embed(docs, "doc_id").withColumn("w", F.round("w", 6))
+    return T.lexical_vectors(table(spark, sf, "documents"), "text").withColumn("w", F.round("w", 6))
 
 
 @register("text_chunks", """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)
@@ -307,11 +348,12 @@ def click_counts(spark, sf):
     return suggest.clicks(click_events(spark, sf))
 
 
-@register("click_last_shown", f"SELECT o_orderkey AS doc_id, s AS saved_ts FROM (SELECT *, epoch_us(o_orderdate) // 1000000 AS s FROM orders) WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 10 + 1 = 1 AND s = (SELECT max(epoch_us(o_orderdate) // 1000000) FROM orders WHERE o_orderpriority = '1-URGENT')")
+@register("click_last_shown", "WITH o AS (SELECT o_orderkey AS doc_id, o_custkey % 5000 AS s, row_number() OVER (PARTITION BY o_custkey % 5000 ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderpriority = '1-URGENT') SELECT doc_id, s AS saved_ts FROM o WHERE rank = 1 AND s = (SELECT max(s) FROM o WHERE s <= 4000)")
 def click_last_shown(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("query"), F.lit("web").alias("mode"), (F.col("o_orderkey") % 10 + 1).alias("rank"), F.col("o_orderkey").alias("doc_id"), F.expr("unix_micros(cast(o_orderdate as timestamp)) div 1000000").alias("saved_ts"))
-    now = orders.filter("query = '1-URGENT'").agg(F.max("saved_ts")).first()[0]
-    return suggest.last_shown(orders, "1-URGENT", "web", 1, now)
+    """Urgent orders as the pages shown: one of each second, its rows ranked."""
+    orders = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").withColumn("saved_ts", F.col("o_custkey") % 5000)
+    shown = orders.select(F.col("o_orderpriority").alias("query"), F.lit("web").alias("mode"), F.expr("row_number() OVER (PARTITION BY saved_ts ORDER BY o_orderkey)").alias("rank"), F.col("o_orderkey").alias("doc_id"), "saved_ts")
+    return suggest.last_shown(shown, "1-URGENT", "web", 1, 4000)
 
 
 # Measures -----------------------------------------------------------------------------------------------------------
@@ -324,7 +366,7 @@ SELECT round((SELECT count(*) FILTER ((s, q) IN (SELECT (s, q) FROM clk)) / coun
 
 @register("metrics_snapshot", _SNAPSHOT)
 def metrics_snapshot(spark, sf):
-    pages = web_docs(spark, sf).select(F.lit(NOW).alias("fetched_unix"), "modified_unix")
+    pages = web_docs(spark, sf).filter(F.col("doc_id") < 2 * WEB_ID).select(F.lit(NOW).alias("fetched_unix"), "modified_unix")
     row = metrics.snapshot(impressions(spark, sf), click_events(spark, sf), pages)
     return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
 
@@ -366,10 +408,17 @@ def relevance_suite(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@register("relevance_regression", _RELEVANCE + " SELECT 0.0::DOUBLE AS delta_ndcg, 0.0::DOUBLE AS delta_rr, 0.0::DOUBLE AS delta_precision, true AS passed FROM (SELECT count(*) FROM per)")
+@register("relevance_regression", _RELEVANCE + """, other AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY doc_id) AS rank FROM ranked
+), found2 AS (SELECT query, sum(CASE WHEN rank <= 10 THEN (pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, coalesce(1 / min(CASE WHEN grade > 0 THEN rank END), 0) AS rr, count(*) FILTER (rank <= 10 AND grade > 0) / count(*) FILTER (rank <= 10) AS precision FROM other LEFT JOIN judged USING (query, doc_id) GROUP BY 1
+), per2 AS (SELECT query, CASE WHEN ideal <= 0 THEN 1 ELSE least(1, dcg / ideal) END AS ndcg, rr, precision FROM (SELECT DISTINCT query FROM judged) JOIN found2 USING (query) JOIN ideal USING (query)
+), d AS (SELECT (SELECT avg(ndcg) FROM per2) - (SELECT avg(ndcg) FROM per) AS n, (SELECT avg(rr) FROM per2) - (SELECT avg(rr) FROM per) AS r, (SELECT avg(precision) FROM per2) - (SELECT avg(precision) FROM per) AS p)
+SELECT round(n, 6) AS delta_ndcg, round(r, 6) AS delta_rr, round(p, 6) AS delta_precision, n >= -0.05 AND r >= -0.05 AND p >= -0.05 AS passed FROM d""")
 def relevance_regression(spark, sf):
-    out = metrics.suite(metrics.relevance(*_judged(spark, sf)))
-    return metrics.regression(out, out)
+    """An order by doc_id held against the one by length."""
+    ranked, judged = _judged(spark, sf)
+    other = ranked.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query ORDER BY doc_id)"))
+    out = metrics.regression(metrics.suite(metrics.relevance(ranked, judged)), metrics.suite(metrics.relevance(other, judged)))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("delta_ndcg", "delta_rr", "delta_precision")], "passed")
 
 
 # Links --------------------------------------------------------------------------------------------------------------
@@ -406,19 +455,29 @@ def link_in_degrees(spark, sf):
     return links.incoming(_graph(spark, sf)[1])
 
 
-@register("link_edges")
+@register("link_edges", f"WITH c AS ({_CANONICAL}) SELECT a.page_id + {WEB_ID} AS src, t.page_id + {WEB_ID} AS dst, 'next' AS anchor FROM c a JOIN c b ON b.page_id = a.page_id + 1 AND a.page_id % 4 <> 0 JOIN c t ON t.url = b.url AND t.page_id <> a.page_id")
 def link_edges(spark, sf):
-    pages = web_docs(spark, sf).select("doc_id", "url")
-    found = extracted(table(spark, sf, "pages")).select((F.col("page_id") + WEB_ID).alias("doc_id"), "url", F.explode("links").alias("_l")).select("doc_id", "url", "_l.*")
-    return links.resolve_edges(found, pages)
+    """The pages' own links lead to none of them; so each page is given one to the next, with a tracking parameter, a fragment and now and then nofollow."""
+    raw = table(spark, sf, "pages")
+    pages = raw.select((F.col("page_id") + WEB_ID).alias("doc_id"), U.canonical_udf("url").alias("url"))
+    own = extracted(raw).select((F.col("page_id") + WEB_ID).alias("doc_id"), "url", F.explode("links").alias("_l")).select("doc_id", "url", "_l.*")
+    after = raw.select((F.col("page_id") - 1 + WEB_ID).alias("doc_id"), F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("utm_source=x#top")).alias("href"))
+    following = raw.select((F.col("page_id") + WEB_ID).alias("doc_id"), "url").join(after, "doc_id").select("doc_id", "url", "href", F.lit("next").alias("anchor"), (F.col("doc_id") % 4 == 0).alias("nofollow"))
+    return links.resolve_edges(own.select(*following.columns).unionByName(following), pages)
+
+
+_IN_DEGREE = """, deg AS (SELECT hash.page_id, count(o.page_id) AS n_in FROM pages hash LEFT JOIN pages o ON (o.page_id * 7 + 3) % (SELECT count(*) FROM pages) // 4 = hash.page_id GROUP BY 1)"""
 
 
-@register("page_reliability", """WITH p AS (SELECT page_id, CASE WHEN starts_with(lower(url), 'https://') THEN 10 ELSE -15 END + CASE WHEN regexp_matches(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '\\.(gov|edu)$') THEN 15 ELSE 0 END + 50 + least(greatest(round((page_id % 3) / n * 200), 0), 20)::INT AS x FROM pages, (SELECT count(*) AS n FROM pages))
+@register("page_reliability", f"""WITH c AS (SELECT count(*) AS n FROM pages){_IN_DEGREE}, p AS (SELECT page_id, CASE WHEN starts_with(lower(url), 'https://') THEN 10 ELSE -15 END + CASE WHEN regexp_matches(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '\\.(gov|edu)$') THEN 15 ELSE 0 END + 50 + least(greatest(round(n_in / n * 200), 0), 20)::INT AS x FROM pages JOIN deg USING (page_id), c)
 SELECT page_id, x::INT AS reliability, CASE WHEN x >= 70 THEN 'high' WHEN x >= 40 THEN 'moderate' ELSE 'low' END AS reliability_label FROM p""")
 def page_reliability(spark, sf):
-    pages = web_docs(spark, sf).select((F.col("doc_id") - WEB_ID).alias("page_id"), "url", "domain", F.lit(None).cast("string").alias("author"), F.array().cast("array<string>").alias("redirect_chain"))
+    """With the in-degrees of a graph in which every page links to one of the first quarter."""
+    pages = web_docs(spark, sf).filter(F.col("doc_id") < 2 * WEB_ID).select((F.col("doc_id") - WEB_ID).alias("page_id"), "url", "domain", F.lit(None).cast("string").alias("author"), F.array().cast("array<string>").alias("redirect_chain"))
     n = table(spark, sf, "pages").agg(F.count(F.lit(1)).alias("_n"))
-    out = links.reliability(pages.crossJoin(F.broadcast(n)), F.col("page_id") % 3, F.col("_n"))
+    edges = pages.crossJoin(F.broadcast(n)).select(F.col("page_id").alias("src"), F.floor(F.pmod(F.col("page_id") * 7 + 3, F.col("_n")) / 4).alias("dst"))  # one row
+    degree = links.incoming(edges).select(F.col("dst").alias("page_id"), "in_links")
+    out = links.reliability(pages.join(degree, "page_id", "left").crossJoin(F.broadcast(n)), F.coalesce("in_links", F.lit(0)), F.col("_n"))
     return out.select("page_id", "reliability", "reliability_label")
 
 
@@ -481,14 +540,23 @@ def page_js_shells(spark, sf):
     return raw.join(text, "page_id").select("page_id", js_shell(F.col("html"), F.col("text")).alias("js_shell"))
 
 
-@register("crawl_documents")
+@register("crawl_documents", "SELECT page_id + 1000000000 AS doc_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS domain, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def crawl_documents(spark, sf):
-    return crawl.documents(table(spark, sf, "pages"), NOW).select("doc_id", "domain", "title", "size_bytes", F.round("spam_score", 6).alias("spam_score"))
+    """All pages: none of them is unsafe or spam."""
+    return crawl.documents(table(spark, sf, "pages"), NOW).select("doc_id", "domain", "title")
 
 
-@register("crawl_report")
+@register("crawl_without_copies")
+def crawl_without_copies(spark, sf):
+    return crawl.documents(table(spark, sf, "pages"), NOW, copies=False).select("doc_id", "domain", "size_bytes", F.round("spam_score", 6).alias("spam_score"))
+
+
+@register("crawl_report", """WITH p AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS d FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY page_id) AS turn FROM p)
+SELECT count(*) AS fetched, 0::BIGINT AS domain, count(*) FILTER (turn > 5) AS budget, 0::BIGINT AS filtered, 0::BIGINT AS suppressed, 0::BIGINT AS duplicate, count(*) FILTER (turn <= 5) AS indexed, 0::BIGINT AS robots, 0::BIGINT AS unchanged,
+  sum(len(regexp_extract_all(html, '<a href="'))) FILTER (turn <= 5)::BIGINT AS links, 0::BIGINT AS feeds, count(DISTINCT d) AS domains FROM r""")
 def crawl_report(spark, sf):
-    return crawl.report(table(spark, sf, "pages"))
+    """With a budget of 5 pages a domain."""
+    return crawl.report(table(spark, sf, "pages"), Crawl(max_pages_per_domain=5))
 
 
 def _frontier(spark, sf):
@@ -580,30 +648,48 @@ def vector_neighbours(spark, sf):
     return rows.crossJoin(one).select("vec_id", F.round(dot("e", "q") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("e", "e"))), 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(10)
 
 
-@register("hybrid_cross_source")
-def hybrid_cross_source(spark, sf):
-    return search.results(full_index(spark, sf), "esinen OR eanthe", PLAIN, NOW, "both").select("doc_id", "is_web", F.round("score", 6).alias("score"))
-
-
-@register("answer_conversions", "SELECT l_orderkey, l_linenumber, round(l_quantity * 1000.0 / 1609.344, 4) AS result FROM lineitem")
+@register("answer_conversions", "SELECT l_orderkey, l_linenumber, round(CASE l_linenumber % 4 WHEN 0 THEN l_quantity * 1000.0 / 1609.344 WHEN 1 THEN l_quantity * 0.45359237 WHEN 2 THEN l_quantity * 9 / 5 + 32 ELSE l_quantity * 3.785411784 END, 4) AS result FROM lineitem")
 def answer_conversions(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("amount"), F.lit("km").alias("from_unit"), F.lit("Miles").alias("to_unit"))
+    n = F.col("l_linenumber") % 4
+    units = [F.when(n == 0, a).when(n == 1, b).when(n == 2, c).otherwise(d) for a, b, c, d in (("km", "lb", "c", "gal"), ("Miles", "kg", "f", "liters"))]
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("amount"), units[0].alias("from_unit"), units[1].alias("to_unit"))
     return answers.conversions(rows).select("l_orderkey", "l_linenumber", "result")
 
 
-@register("answer_claims")
-def answer_claims(spark, sf):
+def _claims(spark, sf):
+    """Assistant turns against the user turn before, their own first half or themselves."""
     c = table(spark, sf, "conversations")
     a, b = c.filter("role = 'assistant'"), c.filter("role = 'user'")
-    pairs = a.join(b.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("span")), ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("claim"), "span")
-    return answers.verify(pairs).select("conv_id", "turn", "verdict", F.round("overlap", 6).alias("overlap"))
+    span = F.when(F.col("conv_id") % 3 == 0, F.col("before")).when(F.col("conv_id") % 3 == 1, F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))).otherwise(F.col("text"))
+    return a.join(b.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before")), ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("claim"), span.alias("span"))
+
+
+def _significant_sql(text: str) -> str:
+    return f"list_distinct(list_filter({tokens_sql(text)}, lambda x: strlen(x) > 1 AND x NOT IN ({STOP_SQL})))"
+
+
+def _negated_sql(text: str, others: str) -> str:
+    bare = "list_transform(regexp_split_to_array(clause, '\\s+'), lambda y: regexp_replace(y, '^[^\\p{L}\\p{N}'']+|[^\\p{L}\\p{N}'']+$', '', 'g'))"
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in answers.NEGATIONS)
+    return f"len(list_filter(regexp_split_to_array(lower({text}), '[,.;:]'), lambda clause: list_has_any({bare}, [{words}]) AND list_has_any({_significant_sql('clause')}, {others}))) > 0"
+
+
+#: The conversations have no digits.
+_CLAIMS = f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS claim, CASE a.conv_id % 3 WHEN 0 THEN b.text WHEN 1 THEN substr(a.text, 1, length(a.text) // 2) ELSE a.text END AS span
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role = 'assistant' AND b.role = 'user'
+), s AS (SELECT conv_id, turn, claim, span, {_significant_sql('claim')} AS c, {_significant_sql('span')} AS s FROM p
+), o AS (SELECT conv_id, turn, ({_negated_sql('claim', 's')}) <> ({_negated_sql('span', 'c')}) AS torn, trim(claim) = '' OR trim(span) = '' OR len(c) = 0 AS none, coalesce(len(list_intersect(c, s)) / nullif(len(c), 0), 0) AS overlap FROM s
+), v AS (SELECT conv_id, turn, CASE WHEN none THEN 'indeterminate' WHEN overlap < 0.35 OR torn AND overlap > 0.5 THEN 'unsupported' ELSE 'supported' END AS verdict, CASE WHEN none THEN 0 ELSE overlap END AS overlap FROM o)"""
+
+
+@register("answer_claims", f"{_CLAIMS} SELECT conv_id, turn, verdict, round(overlap, 6) AS overlap FROM v")
+def answer_claims(spark, sf):
+    return answers.verify(_claims(spark, sf)).select("conv_id", "turn", "verdict", F.round("overlap", 6).alias("overlap"))
 
 
-@register("answer_grounding", f"SELECT round(count(*) FILTER (len(list_filter({tokens_sql('text')}, lambda x: strlen(x) > 1 AND x NOT IN ({STOP_SQL}))) > 0) / count(*), 6) AS grounding_rate FROM conversations")
+@register("answer_grounding", f"{_CLAIMS} SELECT round(count(*) FILTER (verdict = 'supported') / count(*), 6) AS grounding_rate FROM v")
 def answer_grounding(spark, sf):
-    """Every turn held against itself: supported where it has a significant term."""
-    c = table(spark, sf, "conversations").select(F.col("text").alias("claim"), F.col("text").alias("span"))
-    return answers.grounding_rate(answers.verify(c)).select(F.round("grounding_rate", 6).alias("grounding_rate"))
+    return answers.grounding_rate(answers.verify(_claims(spark, sf))).select(F.round("grounding_rate", 6).alias("grounding_rate"))
 
 
 @register("sealed_lookup", index_sql() + " SELECT doc_id FROM postings WHERE term = 'eding' INTERSECT SELECT doc_id FROM postings WHERE term = 'ining'")

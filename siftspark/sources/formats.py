@@ -10,6 +10,7 @@ import re
 import sqlite3
 import tempfile
 import zipfile
+import zlib
 from collections.abc import Callable
 from xml.etree import ElementTree
 
@@ -33,8 +34,7 @@ BY_TYPE = {
     f"{_OFFICE}spreadsheetml.sheet": "xlsx", f"{_OFFICE}wordprocessingml.document": "docx", "application/mbox": "mbox", "message/rfc822": "eml",
     "application/x-zip-compressed": "zip", "application/zip": "zip", **{f"image/{t}": "image" for t in ("heic", "webp", "tiff", "png", "jpeg")},
 }
-ZIP_FILES, ZIP_BYTES = 200, 5 << 20
-#: Readers of formats that need more than the standard library; None leaves the text empty.
+#: Readers to use in place of pdf() and image() here, such as ones with a layout model or OCR.
 PLUGGED: dict[str, Callable[[bytes], str] | None] = {"pdf": None, "image": None}
 
 
@@ -170,14 +170,15 @@ def mail_text(m: dict) -> str:
     return "\n".join(x for x in (m["subject"], f"From: {m['sender']}", f"To: {m['recipients']}", m["date"], m["body"], *m["attachments"]) if x)
 
 
-def archive(data: bytes) -> str:
-    """Names of all entries and the text of the first files of known formats."""
+def archive(data: bytes, most_files: int | None = None, most_bytes: int | None = None) -> str:
+    """Names of all entries and the text of those of known formats: of all, or of the first most_files that have no more than most_bytes."""
     out, done = [], 0
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for entry in z.infolist():
             out.append(entry.filename)
             extension = entry.filename.rpartition(".")[2].lower()
-            if entry.is_dir() or done >= ZIP_FILES or entry.file_size > ZIP_BYTES or extension not in EXTENSIONS or BY_EXTENSION.get(extension) in ("zip", "sqlite"):
+            beyond = (most_files is not None and done >= most_files) or (most_bytes is not None and entry.file_size > most_bytes)
+            if entry.is_dir() or beyond or extension not in EXTENSIONS or BY_EXTENSION.get(extension) in ("zip", "sqlite"):
                 continue
             done += 1
             text = text_of(BY_EXTENSION.get(extension, "text"), z.read(entry))
@@ -186,6 +187,147 @@ def archive(data: bytes) -> str:
     return "\n".join(out)
 
 
+_STREAM = re.compile(rb"<<((?:[^<>]|<<[^<>]*>>|<[0-9A-Fa-f\s]*>)*)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
+_PDF_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|[\[\]]|[-+]?[0-9]*\.?[0-9]+|[A-Za-z'\"*]+", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(raw: bytes, unicode_of: dict[int, str]) -> str:
+    if raw[:1] == b"<":
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        if unicode_of and len(data) % 2 == 0:
+            return "".join(unicode_of.get(int.from_bytes(data[i : i + 2]), "") for i in range(0, len(data), 2))
+    else:
+        data = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], b"" if m[1][-1:] == b"\n" else m[1]), raw[1:-1], flags=re.S)
+    if data[:2] == b"\xfe\xff":
+        return data[2:].decode("utf-16-be", "replace")
+    return data.decode("cp1252", "replace")
+
+
+def _unicode_map(stream: bytes) -> dict[int, str]:
+    """Codes of a ToUnicode table."""
+    out: dict[int, str] = {}
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    for part in re.findall(rb"beginbfchar(.*?)endbfchar", stream, re.S):
+        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+            out[int(a, 16)] = text(b)
+    for part in re.findall(rb"beginbfrange(.*?)endbfrange", stream, re.S):
+        for a, z, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]{4})>", part):
+            for k in range(int(a, 16), min(int(z, 16), int(a, 16) + 0xFFFF) + 1):
+                out[k] = chr(int(b, 16) + k - int(a, 16))
+    return out
+
+
+def pdf(data: bytes) -> str:
+    """The text layer: strings that the pages' contents show, a line a move. Scanned pages have none; encrypted files give nothing."""
+    streams = []
+    for head, body in _STREAM.findall(data):
+        if b"/FlateDecode" in head:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        elif b"/Filter" in head:
+            continue
+        streams.append(body)
+    unicode_of: dict[int, str] = {}
+    for body in streams:
+        if b"beginbf" in body:
+            unicode_of |= _unicode_map(body)
+    lines: list[str] = []
+    for body in streams:
+        for block in re.findall(rb"\bBT\b(.*?)\bET\b", body, re.S):
+            line, shown, numbers = [], [], []
+            for m in _PDF_TOKEN.finditer(block):
+                t = m.group()
+                if t[:1] in b"(<":
+                    shown.append(_pdf_string(t, unicode_of))
+                elif t in (b"Tj", b"TJ", b"'", b'"'):
+                    if t in (b"'", b'"') and line:
+                        lines.append("".join(line))
+                        line = []
+                    line += shown
+                    shown = []
+                elif t in (b"Td", b"TD", b"T*", b"Tm"):
+                    if line and (t in (b"T*", b"Tm") or (len(numbers) > 1 and numbers[-1] != 0)):
+                        lines.append("".join(line))
+                        line = []
+                    elif line:
+                        line.append(" ")
+                    shown = []
+                elif t[:1] in b"+-.0123456789":
+                    number = float(t)
+                    if shown and number < -200:  # a wide gap between the strings of an array
+                        shown.append(" ")
+                    numbers.append(number)
+                    continue
+                numbers = numbers if t in b"[]" else []
+            if line or shown:
+                lines.append("".join(line + shown))
+    return "\n".join(x for x in lines if x.strip())
+
+
+_EXIF = {0x010E: "description", 0x010F: "make", 0x0110: "model", 0x0132: "taken", 0x013B: "artist", 0x8298: "copyright", 0x9286: "comment", 0x9003: "taken"}
+
+
+def _exif(tiff: bytes) -> list[str]:
+    order = "little" if tiff[:2] == b"II" else "big"
+    number = lambda at, n: int.from_bytes(tiff[at : at + n], order)
+    out, todo, seen = [], [number(4, 4)], set()
+    while todo:
+        at = todo.pop(0)
+        if at in seen or at + 2 > len(tiff):
+            continue
+        seen.add(at)
+        for i in range(number(at, 2)):
+            e = at + 2 + 12 * i
+            tag, kind, n = number(e, 2), number(e + 2, 2), number(e + 4, 4)
+            if tag == 0x8769:
+                todo.append(number(e + 8, 4))
+            elif tag in _EXIF and kind in (2, 7):
+                start = e + 8 if n <= 4 else number(e + 8, 4)
+                value = tiff[start : start + n]
+                value = value[8:] if tag == 0x9286 else value
+                text = value.rstrip(b"\0 ").decode("utf-8", "replace").strip()
+                if text:
+                    out.append(f"{_EXIF[tag]}: {text}")
+    return list(dict.fromkeys(out))
+
+
+def image(data: bytes) -> str:
+    """What an image says of itself: EXIF texts of JPEG, TIFF and PNG, text chunks of PNG. What it shows isn't read (PLUGGED may)."""
+    out: list[str] = []
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xDA, 0xD9):
+            size = int.from_bytes(data[at + 2 : at + 4])
+            body = data[at + 4 : at + 2 + size]
+            if data[at + 1] == 0xE1 and body[:6] == b"Exif\0\0":
+                out += _exif(body[6:])
+            elif data[at + 1] == 0xFE:
+                out.append(f"comment: {body.decode('utf-8', 'replace').strip()}")
+            at += 2 + max(size, 2)
+    elif data[:4] in (b"II*\0", b"MM\0*"):
+        out += _exif(data)
+    elif data[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 12 <= len(data):
+            size, kind = int.from_bytes(data[at : at + 4]), data[at + 4 : at + 8]
+            body = data[at + 8 : at + 8 + size]
+            if kind == b"tEXt":
+                key, _, value = body.partition(b"\0")
+                out.append(f"{key.decode('latin-1').lower()}: {value.decode('latin-1')}")
+            elif kind == b"iTXt":
+                key, _, rest = body.partition(b"\0")
+                packed, rest = rest[:1] == b"\1", rest[2:].partition(b"\0")[2].partition(b"\0")[2]
+                out.append(f"{key.decode('latin-1').lower()}: {(zlib.decompress(rest) if packed else rest).decode('utf-8', 'replace')}")
+            elif kind == b"eXIf":
+                out += _exif(body)
+            at += 12 + size
+    return "\n".join(out)
+
+
 def text_columns(path: str) -> list[tuple[str, list[str]]]:
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         tables = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
@@ -219,16 +361,15 @@ def _html_text(data: bytes) -> str:
 _READERS: dict[str, Callable[[bytes], str]] = {
     "html": _html_text, "markdown": lambda d: markdown(d.decode("utf-8", "replace")), "json": lambda d: json_text(d.decode("utf-8", "replace")), "xml": lambda d: xml_text(d.decode("utf-8", "replace")),
     "docx": docx, "xlsx": xlsx, "pptx": pptx, "eml": lambda d: mail_text(eml(d)) if eml(d) else "", "mbox": lambda d: "\n\n".join(map(mail_text, mbox(d))), "zip": archive, "sqlite": sqlite_text,
+    "pdf": pdf, "image": image,
 }
 
 
 def text_of(format_: str, data: bytes) -> str:
-    reader = PLUGGED[format_] if format_ in PLUGGED else _READERS.get(format_, lambda d: d.decode("utf-8", "replace"))
-    if reader is None:
-        return ""
+    reader = PLUGGED.get(format_) or _READERS.get(format_, lambda d: d.decode("utf-8", "replace"))
     try:
         return reader(data)
-    except (ValueError, KeyError, OSError, zipfile.BadZipFile, ElementTree.ParseError, sqlite3.Error, NotImplementedError):
+    except (ValueError, KeyError, IndexError, OSError, zlib.error, zipfile.BadZipFile, ElementTree.ParseError, sqlite3.Error, NotImplementedError):
         return ""
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from ..operators.index import Index, documents
+from ..operators.index import Index
 
 BURST, REFILL, TICK_SECONDS = 50, 100, 60
 
@@ -22,9 +22,12 @@ def latest_changes(changes: DataFrame) -> DataFrame:
 
 
 def apply_changes(index: Index, changes: DataFrame) -> Index:
+    """The index after the changes: tables lose the rows of changed documents and gain those of upserted ones, whose texts alone are read."""
     last = latest_changes(changes)
-    gone = index.docs.join(last.select("path"), "path", "left_anti").select(*documents(index.docs).columns)
-    return Index(gone.unionByName(documents(last.filter("kind = 'upsert'"))))
+    new = last.filter("kind = 'upsert'")
+    old = index.docs.select("doc_id", "path")
+    gone = old.join(last.select("path"), "path", "left_semi").select("doc_id")
+    return index.changed(gone, new)
 
 
 def watch(changes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
@@ -33,8 +36,8 @@ def watch(changes: DataFrame, path: str, checkpoint: str, trigger: dict | None =
     def batch(df: DataFrame, number: int) -> None:
         if df.head(1):
             index = Index.load(df.sparkSession, path, check=False)
-            # Versions alternate past the current one, so the tables that are read are never overwritten.
-            apply_changes(index, df).save(path, number + 2)
+            # A version of its own, so the tables that are read are never overwritten.
+            apply_changes(index, df).save(path, max(number + 2, Index.version(df.sparkSession, path) + 1))
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

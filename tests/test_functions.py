@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from siftspark.functions import batch as B
 from siftspark.functions import scoring as S
 from siftspark.functions import text as T
 from siftspark.functions import urls as U
@@ -16,7 +17,44 @@ def test_tokens(spark):
     assert words[:6] == ["don't", "stop", "v2.0", "café_x", "3,5", "a.b"]
     assert [w for w, _, _ in T.words_of("don't stop: v2.0, café_x 3,5 a.b")] == words[:6]
     assert one(spark, w=T.tokens(F.lit(None).cast("string")))[0] is None
-    assert one(spark, w=T.normalize(F.lit("ＡBC ﬁ"), compose=True))[0] == "abc fi"
+    assert one(spark, w=T.normalize(F.lit("ＡBC ﬁ")))[0] == "abc fi"
+
+
+def test_words_of_wide_scripts(spark):
+    """Each Han, Hiragana or Thai letter is a word, a run of Katakana is one, forms are folded; the same in Spark and in Python."""
+    cases = {"我喜欢 搜索引擎": list("我喜欢搜索引擎"), "カタカナ語です": ["カタカナ", "語", "で", "す"], "abc漢字x ﬁle ＡＢＣ": ["abc", "漢", "字", "x", "file", "abc"], "ไทย": list("ไทย"), "한국어 말": ["한국어", "말"], "plain it's": ["plain", "it's"]}
+    for text, want in cases.items():
+        assert one(spark, w=T.tokens(F.lit(text)))[0] == want == [w for w, _, _ in T.words_of(T.normalize_word(text))]
+    rows = [(i, t) for i, t in enumerate([*cases, None, ""])]
+    got = {r.doc_id: (r.terms, r.tfs, r.token_count) for r in B.analysed(spark.createDataFrame(rows, "doc_id bigint, content string")).collect()}
+    assert sorted(zip(*got[2][:2])) == [("abc", 2), ("file", 1), ("x", 1), ("字", 1), ("漢", 1)] and got[2][2] == 6 and got[6] == got[7] == ([], [], 0)
+
+
+def test_postings_and_vectors_of_a_batch(spark):
+    """Against plain Python, text by text, with texts larger than a portion."""
+    import hashlib
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "a", "cat", "Dog", "bird", "é", "x1"]) for _ in range(n)) for n in (0, 1, 4, 5, 6, 300, 2000)]
+    B.PORTION_WORDS, before = 500, B.PORTION_WORDS
+    try:
+        rows = B.analysed(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, content string").coalesce(1)).collect()
+    finally:
+        B.PORTION_WORDS = before
+    for r in rows:
+        words = texts[r.doc_id].lower().split()
+        want = {}
+        for i, w in enumerate(words):
+            if w not in T.STOP_WORDS:
+                want.setdefault(w, []).append(i)
+        assert dict(zip(r.terms, r.positions)) == want and dict(zip(r.terms, r.tfs)) == {k: len(v) for k, v in want.items()}
+        v = {}
+        for w in words:
+            h = hashlib.md5(w.encode()).hexdigest()
+            k = int(h[:8], 16) % 256
+            v[k] = v.get(k, 0) + (1 if int(h[8], 16) % 2 == 0 else -1)
+        norm = sum(x * x for x in v.values()) ** 0.5
+        assert {k: round(x, 9) for k, x in zip(r.buckets, r.weights)} == {k: round(x / norm, 9) for k, x in v.items() if x}
 
 
 def test_shingles_and_fingerprints(spark):
