@@ -33,7 +33,7 @@ def test_survivors_match_a_loop(spark):
 
 
 def test_find_duplicate(spark):
-    f = spark.createDataFrame([(1, "x", 0, 0), (2, "y", 0, 7), (3, "x", 255, 255), (4, "z", -1 & 0xFFFFFFFF, 0)], "doc_id bigint, exact_hash string, hi bigint, lo bigint")
+    f = spark.createDataFrame([(1, "x", 0, 0, [5, 6]), (2, "y", 0, 7, [5, 9]), (3, "x", 255, 255, [7]), (4, "z", -1 & 0xFFFFFFFF, 0, [5])], "doc_id bigint, exact_hash string, hi bigint, lo bigint, sketch array<bigint>")
     assert rows(dedup.find_duplicate(f, f)) == [(1, 3), (2, 1), (3, 1), (4, None)]
 
 
