@@ -134,9 +134,12 @@ def search_explained(spark, sf):
     return search.reasons(search.search(full_index(spark, sf), '"anea eriner"', PLAIN, NOW, "local")).select(*RANKED, "summary", F.to_json("reasons").alias("reasons"))
 
 
-@register("search_hybrid_merge")
+_MERGED = search_sql(_tf("term = 'edtion'"), web=True, extra=_PRINTS, where=_NO_COPY, boost=_BOTH_BOOST, limit=None).replace("match_count, round(bm25", "url IS NOT NULL AS is_web, (bm25").replace(", 6) AS score", ") AS score")
+
+
+@register("search_hybrid_merge", f"WITH m AS ({_MERGED}), k AS (SELECT is_web, avg(score) AS m, stddev_pop(score) AS d FROM m GROUP BY 1) SELECT doc_id, CASE WHEN is_web THEN 'web_page' ELSE 'local_file' END AS source_kind, round(score, 6) AS score, round(CASE WHEN d > 1e-6 THEN (score - k.m) / d ELSE 0 END * CASE WHEN is_web THEN 1.0 ELSE 1.2 END, 6) AS normalized_score FROM m JOIN k USING (is_web)")
 def search_hybrid_merge(spark, sf):
-    found = search.results(full_index(spark, sf), "edtion", PLAIN, NOW, "both")
+    found = search.results(full_index(spark, sf), "edtion", Ranking(vector_weight=0.0, filename_boost=1.0), NOW, "both")
     return found.select("doc_id", "source_kind", F.round("score", 6).alias("score"), F.round("normalized_score", 6).alias("normalized_score"))
 
 
@@ -328,7 +331,8 @@ def suggest_spelling(spark, sf):
     return suggest.spelling(local_index(spark, sf).vocab, "edtionx")
 
 
-@register("suggest_did_you_mean")
+@register("suggest_did_you_mean", index_sql() + """ SELECT word, term, distance FROM (SELECT w AS word, term, levenshtein(term, w)::INT AS distance, row_number() OVER (PARTITION BY w ORDER BY levenshtein(term, w), term) AS k FROM vocab, (VALUES ('edtionx'), ('eding'), ('ininx')) q(w)
+  WHERE NOT regexp_matches(term, '[^ -~]') AND abs(strlen(term) - strlen(w)) <= 2 AND levenshtein(term, w) BETWEEN 1 AND 2 AND w NOT IN (SELECT term FROM vocab)) WHERE k <= 3""")
 def suggest_did_you_mean(spark, sf):
     return suggest.did_you_mean(local_index(spark, sf).vocab, "edtionx eding ininx")
 
