@@ -19,7 +19,8 @@ the more so the nearer their sizes, so each stays in a region only if members of
 
 Cells travel as blocks: the cells of a task's texts for one bucket, sorted, as differences in as few bytes as they need. No task gathers an unbounded
 group: a text's copies are met once a task, n-grams of more than `HOT` documents name their region themselves and never gather in one bucket, and a region of more than `TILE_BYTES` of text
-is cut into blocks of members, each two of which are a task.
+is cut into blocks of members, each two of which are a task. Joins by pivot, by class and of links by document carry numbers only; of these, a key that holds a large share of the rows
+is split by Spark's adaptive skew join, and large classes are broadcast.
 
 Defined results: words are runs of characters other than ASCII white space; a text of fewer than n words but at least one is one n-gram; a
 null or wordless text links to nothing; equal texts link at 1; a doc_id that repeats counts once in a class and isn't linked to itself, and one with several
