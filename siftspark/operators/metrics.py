@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,12 +75,20 @@ def suite(per_query: DataFrame) -> DataFrame:
     return per_query.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in ("ndcg", "rr", "precision")])
 
 
+#: Queries whose search plans are united into one.
+TOGETHER = 32
+
+
 def run_suite(judged: DataFrame, search: Callable[[str], DataFrame], k: int = 10) -> DataFrame:
-    """suite() of a search function that returns (doc_id, rank) for a query."""
-    ranked = None
-    for row in judged.select("query").distinct().orderBy("query").toLocalIterator():
-        one = search(row.query).select(F.lit(row.query).alias("query"), "doc_id", "rank")
-        ranked = one if ranked is None else ranked.unionByName(one)
+    """suite() of a search function that returns (doc_id, rank) for a query. Every TOGETHER queries are one plan, whose ranks are written, so plans stay small at any number of queries."""
+    from ..plans.tables import written
+
+    queries = [r.query for r in judged.select("query").distinct().orderBy("query").toLocalIterator()]
+    tables = []
+    for at in range(0, len(queries), TOGETHER):
+        parts = [search(q).select(F.lit(q).alias("query"), "doc_id", "rank") for q in queries[at : at + TOGETHER]]
+        tables.append(written(reduce(DataFrame.unionByName, parts), "ranked"))
+    ranked = reduce(DataFrame.unionByName, tables) if tables else judged.select("query", "doc_id", F.lit(1).alias("rank"))
     return suite(relevance(ranked, judged, k))
 
 
