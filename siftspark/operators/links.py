@@ -10,7 +10,7 @@ from ..functions.urls import resolve_udf
 from ..plans.tables import dropped, written
 
 DAMPING, ROUNDS, ENOUGH = 0.85, 100, 1e-6
-CUT_EVERY = 5
+CUT_EVERY = 2
 
 
 def resolve_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
