@@ -60,14 +60,22 @@ HOT_REGIONS = 64
 BUCKET_CELLS = 1 << 20
 #: Colours of texts, in words of 64, and size classes among them, so many an octave.
 COLOURS, CLASSES, STEPS = 128, 32, 8
+#: Times that texts are told from chance meetings by colours; each time fewer are left to have them.
+ROUNDS = 3
 #: Documents of a block of cells, at most; their numbers take 2 bytes.
 BLOCK_DOCS = 1 << 16
 #: Text of a block of a region.
 TILE_BYTES = 1 << 24
-LEAF = 64
+#: Members of a block of a region; fewer bytes of short texts are as many pairs.
+TILE_MEMBERS = 1 << 13
+LEAF = 512
 PIVOTS = 12
-#: Cells of the dense matrix of a leaf.
+#: Cells of the dense matrices of a leaf.
 MATRIX = 1 << 23
+#: A key that so large a share (1 / DENSE) of a leaf's pairs hold is a column of the dense matrices.
+DENSE = 64
+#: Different sets of lower pivots in a region of which every two are compared at once.
+PATTERNS = 1 << 11
 _HASH_BITS, _RANK = np.uint64(56), np.uint64(8)
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -212,11 +220,12 @@ def shared_least(size: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def _needed(threshold: float):
-    """From rows (id, size, pivot, n, colour, k, masks) of a partition by id: the (id, pivot) that a pair may need.
+def _needed(threshold: float, last: bool):
+    """From rows (id, size, pivot, n, colour, k, masks) of a partition by id: the (id, size, pivot, n) that a pair may need.
 
     A region's masks have the colours of its k members. All cells that a text shares with a partner are in regions of the partner's colour, so a text stays in the regions of a colour
-    for which its cells add up to what a partner of that size class shares. Of these it may then drop those of fewest cells, as far as two texts of a pair drop less together
+    for which its cells add up to what a partner of that size class shares. A pair keeps all regions where it shares cells, so this can be repeated with the colours of those that stayed.
+    Of these, the last time, a text may then drop those of fewest cells, as far as two texts of a pair drop less together
     than they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,13 +254,16 @@ def _needed(threshold: float):
                 fewest = np.where(good, np.minimum(fewest, enough), fewest)
         fewest = np.repeat(fewest, each)[keep]
         ids, size, pivot, n = ids[keep], size[keep], pivot[keep], n[keep]
+        if not last:
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(pivot), pa.array(n)], ["id", "size", "pivot", "n"])
+            return
         by = np.lexsort((pivot, n, size, ids))
         ids, size, pivot, n, fewest = ids[by], size[by], pivot[by], n[by], fewest[by]
         total = np.cumsum(n)
         head = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (size[1:] != size[:-1]))) if len(ids) else np.zeros(0, dtype=np.int64)
         before = np.repeat((total - n)[head], np.diff(np.append(head, len(ids))))
         keep = total - before > (fewest - 1) // 2
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(pivot[keep])], ["id", "pivot"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(size[keep]), pa.array(pivot[keep]), pa.array(n[keep])], ["id", "size", "pivot", "n"])
 
     return run
 
@@ -399,28 +411,73 @@ def _meetings(threshold: float):
     return run
 
 
-def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
-    """|x & y| for every x of rows and y of columns, as products of 0/1 matrices over their common keys."""
-    out = np.zeros((len(rows), len(columns)), dtype=np.float32)
-    keys, inverse = np.unique(np.concatenate([*rows, *columns]), return_inverse=True)
-    shared = np.bincount(inverse, minlength=len(keys)) > 1
-    place = np.cumsum(shared) - 1
-    width, n = int(shared.sum()), len(rows) + len(columns)
-    owner = np.repeat(np.arange(n), [len(x) for x in [*rows, *columns]])
-    use = shared[inverse]
-    owner, at = owner[use], place[inverse[use]]
-    step = max(1, MATRIX // max(1, n))
-    for a in range(0, width, step):
-        some = (at >= a) & (at < a + step)
-        m = np.zeros((n, min(step, width - a)), dtype=np.float32)
-        m[owner[some], at[some] - a] = 1
-        out += m[: len(rows)] @ m[len(rows) :].T
-    return out
-
-
-def similarities(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
-    both = overlaps(rows, columns).astype(np.float64)
-    return both / (np.array([len(x) for x in rows])[:, None] + np.array([len(x) for x in columns]) - both)
+class Incidence:
+    """Which sets hold which of the keys that two or more of them hold: keys are numbered once, so that blocks of pairs need no sorting of their own."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in sets], dtype=np.int64)
+        keys = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+        by = np.argsort(keys)
+        keys = keys[by]
+        new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        del keys
+        each = np.diff(np.append(np.flatnonzero(new), len(new)))
+        place = np.where(each > 1, np.cumsum(each > 1) - 1, -1).astype(np.int32)
+        numbers = np.empty(len(by), dtype=np.int32)
+        numbers[by] = np.repeat(place, each)
+        use = numbers >= 0
+        self.width = int((each > 1).sum())
+        self.offsets = np.concatenate([[0], np.cumsum(use)])[np.concatenate([[0], np.cumsum(self.size)])]
+        self.numbers = numbers[use]
+
+    def _of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in x, number) of each key of the sets x"""
+        each = self.offsets[x + 1] - self.offsets[x]
+        ends = np.cumsum(each)
+        return np.repeat(np.arange(len(x)), each), self.numbers[np.arange(int(ends[-1])) + np.repeat(self.offsets[x] - (ends - each), each)]
+
+    def overlaps(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """|x & y| for every two: keys of many of these sets as products of 0/1 matrices, the others pair by pair."""
+        shape = len(x), len(y)
+        if not len(x) or not len(y):
+            return np.zeros(shape, dtype=np.float32)
+        (i, k), (j, l) = self._of(x), self._of(y)
+        in_x, in_y = np.bincount(k, minlength=self.width), np.bincount(l, minlength=self.width)
+        pairs = in_x * in_y
+        many = pairs * DENSE >= len(x) * len(y)
+        out = np.zeros(shape, dtype=np.float32)
+        place = np.cumsum(many) - 1
+        own, other = many[k], many[l]
+        p, q = (i[own], place[k[own]]), (j[other], place[l[other]])
+        step = max(1, MATRIX // (2 * max(shape)))
+        for a in range(0, int(many.sum()), step):
+            sides = []
+            for n, (who, at) in zip(shape, (p, q)):
+                some = (at >= a) & (at < a + step)
+                m = np.zeros((n, min(step, len(many), int(many.sum()) - a)), dtype=np.float32)
+                m[who[some], at[some] - a] = 1
+                sides.append(m)
+            out += sides[0] @ sides[1].T
+        few = (pairs > 0) & ~many
+        if few.any():
+            own, other = few[k], few[l]
+            i, k, j, l = i[own], k[own], j[other], l[other]
+            i = i[np.argsort(k, kind="stable")]
+            first = np.cumsum(np.where(few, in_x, 0)) - np.where(few, in_x, 0)
+            ends = np.cumsum(in_x[l])
+            a = 0
+            while a < len(l):
+                done = int(ends[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, done + MATRIX // 8, side="right")))
+                each = in_x[l[a:b]]
+                row = i[np.arange(int(ends[b - 1]) - done) + np.repeat(first[l[a:b]] - (ends[a:b] - each - done), each)]
+                out += np.bincount(row * len(y) + np.repeat(j[a:b], each), minlength=len(x) * len(y)).reshape(shape)
+                a = b
+        return out
+
+    def similarities(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        both = np.where(x[:, None] == y, self.size[y], self.overlaps(x, y).astype(np.float64))  # a set shares with itself what it shares with no other
+        return both / (self.size[x][:, None] + self.size[y] - both)
 
 
 Take = Callable[[np.ndarray, np.ndarray, np.ndarray], None]
@@ -429,12 +486,13 @@ Take = Callable[[np.ndarray, np.ndarray, np.ndarray], None]
 def join_region(sets: list[np.ndarray], threshold: float, take: Take, left: int | None = None) -> None:
     """take(i, j, similarity) for every two of these sets that are within 1 - threshold, each pair once; with `left`, only for those of the first `left` sets with the others."""
     eps = 1 - threshold
+    held = Incidence(sets)
 
     def compare(x_all: np.ndarray, y_all: np.ndarray, same: bool) -> None:
         for a in range(0, len(x_all), LEAF):
             for b in range(a if same else 0, len(y_all), LEAF):
                 x, y = x_all[a : a + LEAF], y_all[b : b + LEAF]
-                s = similarities([sets[i] for i in x], [sets[i] for i in y])
+                s = held.similarities(x, y)
                 i, j = np.nonzero(s >= threshold - 1e-9)
                 if same and a == b:
                     i, j = i[i < j], j[i < j]
@@ -449,7 +507,7 @@ def join_region(sets: list[np.ndarray], threshold: float, take: Take, left: int
             return
         pivots = home[np.linspace(0, len(home) - 1, PIVOTS).astype(int)]
         everyone = np.concatenate([home, guests])
-        d = 1 - np.concatenate([similarities([sets[i] for i in everyone[a : a + 4 * LEAF]], [sets[i] for i in pivots]) for a in range(0, len(everyone), 4 * LEAF)])
+        d = 1 - np.concatenate([held.similarities(everyone[a : a + LEAF], pivots) for a in range(0, len(everyone), LEAF)])
         nearest, own = d.min(axis=1), d.argmin(axis=1)
         own[len(home) :] = PIVOTS  # a guest has no home here
         for p in range(PIVOTS):
@@ -490,6 +548,28 @@ class Forest:
         return self.root
 
 
+def disjoint(sets: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that tells of sets i and sets j, by number, which two share nothing; none that is asked for is empty."""
+    if len(sets) <= PATTERNS:
+        apart: list[np.ndarray] = []
+
+        def every(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            if len(i) and not apart:
+                at, held = np.arange(len(sets)), Incidence(sets)
+                apart.append(np.concatenate([(held.overlaps(at[a : a + LEAF], at) == 0) & (at[a : a + LEAF, None] != at) for a in range(0, len(at), LEAF)]))
+            return apart[0][i, j] if len(i) else np.zeros(0, dtype=bool)
+
+        return every
+    as_sets = [frozenset(x.tolist()) for x in sets]
+
+    def once(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        code, back = np.unique(i * len(sets) + j, return_inverse=True)
+        a, b = np.divmod(code, len(sets))
+        return np.array([as_sets[x].isdisjoint(as_sets[y]) for x, y in zip(a.tolist(), b.tolist())], dtype=bool)[back]
+
+    return once
+
+
 _LINKS, _PAIRS = "doc_id long, peer long, n_links long", "doc_a long, doc_b long, jaccard double"
 
 
@@ -501,15 +581,17 @@ def _regions(threshold: float, links: bool, order, n_gram: int):
         rows = sorted(rows, key=lambda r: not r[3])
         ids = np.array([r[0] for r in rows], dtype=np.int64)
         copies = np.array([r[1] for r in rows], dtype=np.int64)
-        lower = [{p for p in r[2] if p < pivot} for r in rows]
-        shy = np.array([bool(x) for x in lower])
+        patterns: dict[tuple, int] = {}
+        lower = np.array([patterns.setdefault(tuple(sorted({p for p in r[2] if p < pivot})), len(patterns)) for r in rows])
+        shy = np.array([bool(x) for x in patterns])[lower]
+        apart = disjoint([np.array(x, dtype=np.int64) for x in patterns])
         total, forest = np.zeros(len(rows), dtype=np.int64), Forest(len(rows))
         out: list[tuple] = []
 
         def take(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> None:
             use = ids[i] != ids[j]
-            for k in np.flatnonzero(use & shy[i] & shy[j]).tolist():
-                use[k] = lower[i[k]].isdisjoint(lower[j[k]])
+            both = np.flatnonzero(use & shy[i] & shy[j])
+            use[both] = apart(lower[i[both]], lower[j[both]])
             i, j, s = i[use], j[use], s[use]
             if links:
                 np.add.at(total, i, copies[j])
@@ -574,6 +656,17 @@ def _few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _coloured(met: DataFrame, threshold: float, last: bool) -> DataFrame:
+    """The rows (id, size, pivot, n) of met that a pair may need, by the colours of the members of each region."""
+    met = met.withColumn("colour", colour_of(F.col("id"), F.col("size")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("colour") % 64)
+    names = [f"m{i}" for i in range(COLOURS // 64)]
+    masks = [F.bit_or(F.when(F.floor(F.col("colour") / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(m) for i, m in enumerate(names)]
+    seen = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), *masks).filter("k > 1")
+    coloured = met.join(seen, "pivot").repartition("id").select("id", "size", "pivot", "n", "colour", "k", *names)
+    return coloured.mapInArrow(release(_needed(threshold, last)), "id long, size int, pivot long, n int")
+
+
 def _joined(docs: DataFrame, threshold: float, n: int, links: bool, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(first pass, classes, rows of all regions)"""
     if not 0 < threshold <= 1:
@@ -591,17 +684,15 @@ def _joined(docs: DataFrame, threshold: float, n: int, links: bool, hot: int) ->
     blocks = _blocks(docs, order, n, threshold, plan).repartitionById(plan.buckets, F.col("bucket"))
     met = blocks.mapInArrow(release(_meetings(threshold)), "id long, pivot long, n long, size int").groupBy("id", "size", "pivot").agg(F.sum("n").cast("int").alias("n"))
     met = written(met, "met")
-    table, met = met, met.withColumn("colour", colour_of(F.col("id"), F.col("size")))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("colour") % 64)
-    masks = [F.bit_or(F.when(F.floor(F.col("colour") / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(COLOURS // 64)]
-    seen = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), *masks).filter("k > 1")
-    coloured = met.join(seen, "pivot").repartition("id").select("id", "size", "pivot", "n", "colour", "k", *[f"m{i}" for i in range(COLOURS // 64)])
-    needed = coloured.mapInArrow(release(_needed(threshold)), "id long, pivot long").distinct()
+    for _ in range(ROUNDS - 1):
+        table, met = met, written(_coloured(met, threshold, False), "met")
+        dropped(table)
+    needed = _coloured(met, threshold, True).select("id", "pivot").distinct()
     # Members of regions: classes by the 48 bits of their print; a region of one brings nobody together.
     own = classes.select(F.col("rep").alias("doc_id"), "h1", "copies", "bytes", F.shiftrightunsigned("h1", 16).alias("id"))
     members = written(needed.join(own, "id").drop("id"), "members")
-    dropped(table)
-    regions = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("b")).filter("k > 1").select("pivot", F.ceil(F.col("b") / TILE_BYTES).cast("int").alias("blocks"))
+    dropped(met)
+    regions = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("b")).filter("k > 1").select("pivot", F.greatest(F.ceil(F.col("b") / TILE_BYTES), F.ceil(F.col("k") / TILE_MEMBERS)).cast("int").alias("blocks"))
     places = members.join(regions, "pivot").groupBy("doc_id", "h1", "copies").agg(F.collect_list(F.struct("pivot", "blocks")).alias("places"))
     places = written(places.withColumn("pivots", F.col("places.pivot")), "places")
     dropped(members)

@@ -167,6 +167,38 @@ def test_regions_divide_exactly(monkeypatch):
         assert set(found) == expected and len(found) == len(expected)
 
 
+@pytest.mark.parametrize("dense", [0, 8, 1 << 40])
+def test_overlaps_of_blocks_by_hand(monkeypatch, dense):
+    """Keys of many sets as matrices, the others pair by pair, in several steps of each."""
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "MATRIX", 400)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, rng.choice([30, 3000]), rng.integers(0, 40))).astype(np.uint64) for _ in range(60)]
+    x, y = rng.permutation(60)[:25], rng.permutation(60)[:33]
+    assert (jaccard.Incidence(sets).overlaps(x, y) == [[len(np.intersect1d(*(np.array([k for k in sets[e] if sum(k in s for s in sets) > 1]) for e in (i, j)))) for j in y] for i in x]).all()
+
+
+@pytest.mark.parametrize("patterns", [0, 1 << 11])
+def test_lower_pivots_by_hand(monkeypatch, patterns):
+    monkeypatch.setattr(jaccard, "PATTERNS", patterns)
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(-3, 12, rng.integers(1, 4))) for _ in range(40)]
+    i, j = rng.integers(0, 40, 500), rng.integers(0, 40, 500)
+    assert jaccard.disjoint(sets)(i, j).tolist() == [not set(sets[a].tolist()) & set(sets[b].tolist()) for a, b in zip(i, j)]
+
+
+def test_keys_of_a_large_family_are_sorted_once(monkeypatch):
+    """A family's pairs grow with the square of its members; the keys of each block of pairs aren't sorted anew."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 56, 400)
+    sets = [np.unique(np.where(rng.random(400) < 0.05, rng.integers(0, 1 << 56, 400), base)).astype(np.uint64) for _ in range(1500)]
+    done, found = [], []
+    for name in ("unique", "argsort", "sort"):
+        monkeypatch.setattr(np, name, lambda x, *args, f=getattr(np, name), **more: (done.append(len(x)), f(x, *args, **more))[1])
+    jaccard.join_region(sets, 0.5, lambda i, j, s: found.append(len(i)))
+    assert sum(found) == 1500 * 1499 // 2 and sum(done) < 3 * sum(len(x) for x in sets)
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus(8)
     df = clashing(spark.createDataFrame(rows, "doc_id bigint, text string"))
