@@ -171,3 +171,21 @@ def test_config(tmp_path):
     c = config.apply_profile(config.Config(), "Research").with_folder("/a").with_folder("/a")
     config.save(c, str(tmp_path / "c.json"))
     assert config.load(str(tmp_path / "c.json")) == c and config.load(str(tmp_path / "none")) == config.Config()
+
+
+def test_titles_of_references_as_in_sql(spark, tmp_path):
+    """&amp without its semicolon and &quot;: the queries give what their SQL gives, the extraction the text that HTML means."""
+    import duckdb
+
+    from siftspark.plans.registry import QUERIES, SQL
+    from siftspark.sources.html import extract
+
+    titles = ["a &amp;&amp; b&amp", "x = &quot;1&quot;", "plain\n  title", "&lt;b&gt; &amp;amp; &#233;"]
+    rows = [(i, f"https://e.org/en/{i}", f'<html lang="en"><head><title>{t}</title></head><body><p>some words of a page</p><a href="/a">a</a></body></html>') for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_titles", "crawl_documents"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(db.sql(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall())
+    assert [extract(r[2])["title"] for r in rows] == ["a && b&", 'x = "1"', "plain title", "<b> &amp; é"]
