@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from siftspark.functions import batch as B
@@ -97,3 +99,30 @@ def test_urls(spark):
     r = one(spark, d=U.domain_of(F.lit("https://www.Example.com/x")), o=U.is_onion(F.lit("http://abc.onion:80/x")), n=U.is_onion(F.lit("http://x.org/a.onion")), m=U.query_map(F.lit("a=1&b=x%20y&a=2")))
     assert (r.d, r.o, r.n, r.m) == ("example.com", True, False, {"a": "2", "b": "x y"})
     assert U.parse_query_string("q=a+b&x") == {"q": "a b"}
+
+
+def test_digests_are_md5():
+    """Every length around the ends of blocks, and longer ranges."""
+    from hashlib import md5
+
+    raw = np.frombuffer(bytes(i * 7 % 251 for i in range(2000)), dtype=np.uint8)
+    ranges = [(i % 90, i % 90 + n) for i, n in enumerate([*range(140), 191, 192, 1000])]
+    got = B.digests_of(raw, *map(np.array, zip(*ranges)))
+    assert [bytes(x) for x in got] == [md5(raw[a:b].tobytes()).digest()[:8] for a, b in ranges]
+
+
+def test_words_of_a_pass_are_the_tokens(spark):
+    """Whatever way a text takes (ASCII, composed letters, NFKC in Python, scripts without spaces), without runs of marks and low lines."""
+    texts = ["Plain v2.0 words ___ a_b __", "Straße – “Écoles” 3,5 Łódź", "café ½ ﬁne ___ ́", "東京タワー に行く", "ไทย ำ", "", None, "___", "Ελλάδα и мир", "한국어 ㎏ x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, content string")
+    got = {r.doc_id: (r.terms, r.token_count) for r in B.analysed(df).select("doc_id", "terms", "token_count").collect()}
+    for r in df.select("doc_id", T.tokens(F.col("content")).alias("w")).collect():
+        kept = [w for w in r.w or [] if w not in T.STOP_WORDS]
+        assert (sorted(got[r.doc_id][0]), got[r.doc_id][1]) == (sorted(set(kept)), len(kept)), texts[r.doc_id]
+
+
+def test_one_python_worker_and_small_portions(spark):
+    """A text pass has no second Python step, and takes no more words at a time than it needs (at 0.1 GB it held 1 GB in four workers)."""
+    df = spark.createDataFrame([(1, "é x")], "doc_id int, content string")
+    plan = B.analysed(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and B.PORTION_WORDS <= 1 << 17
