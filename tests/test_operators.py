@@ -189,3 +189,13 @@ def test_titles_of_references_as_in_sql(spark, tmp_path):
         df = QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, df.collect())) == sorted(db.sql(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall())
     assert [extract(r[2])["title"] for r in rows] == ["a && b&", 'x = "1"', "plain title", "<b> &amp; é"]
+
+
+def test_texts_of_a_duplicate_search_are_read_once(spark, small):
+    """Texts were read anew for each of the five uses of their fingerprints."""
+    from siftspark.plans.registry import QUERIES
+
+    for name in ("duplicates_found", "near_duplicates_documents"):
+        assert "InArrow" not in QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    assert "InArrow" not in crawl.documents(pages, 0, copies=False)._jdf.queryExecution().optimizedPlan().toString()
