@@ -191,6 +191,23 @@ def test_titles_of_references_as_in_sql(spark, tmp_path):
     assert [extract(r[2])["title"] for r in rows] == ["a && b&", 'x = "1"', "plain title", "<b> &amp; é"]
 
 
+def test_within_by_blocks_is_every_pair(spark, monkeypatch):
+    """Blocks of both sides, a family of equal fingerprints across batches, and bits of both halves."""
+    import random
+
+    rnd = random.Random(4)
+    base = [rnd.getrandbits(64) for _ in range(40)]
+    values = [b ^ sum(1 << x for x in rnd.sample(range(64), rnd.randrange(16))) for b in base for _ in range(6)] + [base[0]] * 30 + [0, (1 << 64) - 1]
+    df = spark.createDataFrame([(i, v >> 32, v & 0xFFFFFFFF) for i, v in enumerate(values)], "doc_id bigint, hi bigint, lo bigint")
+    want = sorted((a, b, (x ^ y).bit_count()) for a, x in enumerate(values) if a % 3 == 0 for b, y in enumerate(values) if (x ^ y).bit_count() <= 12)
+    assert rows(dedup.within(df.filter("doc_id % 3 = 0"), df, 12)) == sorted(want, key=str)
+    monkeypatch.setattr(dedup, "LEFT_ROWS", 20)
+    monkeypatch.setattr(dedup, "RIGHT_ROWS", 50)
+    assert rows(dedup.within(df.filter("doc_id % 3 = 0"), df, 12)) == sorted(want, key=str)
+    plan = dedup.within(df, df, 12)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and rows(dedup.within(df.limit(0), df, 12)) == []
+
+
 def test_texts_of_a_duplicate_search_are_read_once(spark, small):
     """Texts were read anew for each of the five uses of their fingerprints."""
     from siftspark.plans.registry import QUERIES
