@@ -236,3 +236,20 @@ def test_file_permissions(tmp_path):
     for mode, public in ((0o644, True), (0o600, False)):
         (tmp_path / "x").chmod(mode)
         assert files.local_acl(str(tmp_path / "x"))["public"] is public
+
+
+def test_texts_are_read_for_what_is_asked(spark, small):
+    """A change gives documents without reading words; a search without fingerprints or vectors makes none, and both are there when asked for."""
+    from siftspark.operators.index import analysed
+    from siftspark.plans.corpus import local_docs, local_index
+    from siftspark.plans.registry import QUERIES
+
+    assert "MapInArrow" not in QUERIES["live_changes"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    index, whole = local_index(spark, small), Index(analysed(documents(local_docs(spark, small))))
+    assert not {"hi", "lo", "buckets", "weights"} & set(index.docs.columns) and {"terms", "token_count"} <= set(index.docs.columns)
+    for table in ("fingerprints", "vectors", "postings", "stats"):
+        mine, other = getattr(index, table), getattr(whole, table)
+        assert mine.columns == other.columns and mine.exceptAll(other).count() == 0 == other.exceptAll(mine).count()
+    new = local_docs(spark, small).limit(3).withColumn("content", F.lit("fresh words"))
+    after = index.upsert(new)
+    assert after.docs.count() == index.docs.count() and after.fingerprints.count() == after.docs.count()
